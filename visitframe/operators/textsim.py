@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitframe.functions.columns import ratio
 
@@ -120,7 +121,7 @@ def _lcs(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _lcs_length(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
         yield pd.Series([_lcs(list(a), list(b)) for a, b in zip(left, right)])

@@ -19,12 +19,14 @@ from visitframe.operators.discretize import discretize
 from visitframe.operators.restructure import number_stays, order_codes
 from visitframe.operators.tokens import tokenize
 from visitframe.operators.vocab import Metadata, learn_metadata
+from visitframe.schema import HOURS_EDGES
 from visitframe.session import durable
 
 CONTINUOUS = ["click", "error", "purchase", "signup", "view"]
 CATEGORICAL = ["k_band"]
 SYNONYMS = {"k_band": {"0": 0, "1": 1, "2": 2}}
 LABELS = ["filled", "urgent", "large"]
+FIXED_HOURS = HOURS_EDGES
 AGE_EDGES = [float(x) for x in range(-1000, 10001, 1000)]
 MIN_CODE_COUNT = 15
 TRIM_RATIO = 1.5
@@ -187,8 +189,3 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("label") <= 3, "real").when(F.col("label") <= 6, "synthetic").otherwise("test").alias("cohort"),
         F.col("embedding").cast("array<double>").alias("vector"),
     )
-
-
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns with the text of the next turn."""
-    return table(spark, sf_dir, "conversations")
