@@ -162,54 +162,6 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys, value).agg(F.count("*").alias("n"))
 
 
-def exact_quantiles(
-    counts: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    shares: Sequence[float] | DataFrame,
-) -> DataFrame:
-    """Exact linear-interpolation quantiles: one row per key and ``share``.
-
-    ``counts`` is the output of ``value_counts``. ``shares`` is a list, or a
-    table (keys, share) when they differ by key.
-    """
-    keys = list(keys)
-    present = counts.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("_v"), F.col("n").alias("_n")
-    )
-    ranked = prefix_by_value(present, keys, "_v", {"_before": F.col("_n")})
-    sizes = present.groupBy(*keys).agg((F.sum("_n") - 1).alias("_last"))
-    if isinstance(shares, DataFrame):
-        asked = sizes.join(shares, keys)
-    else:
-        asked = sizes.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-    asked = (
-        asked.select(*keys, F.struct("share", (F.col("share") * F.col("_last")).alias("_r")).alias("_a"))
-        .groupBy(*keys)
-        .agg(F.collect_list("_a").alias("_asked"))
-    )
-    if keys:
-        hits = ranked.join(asked, keys)
-    else:
-        hits = ranked.withColumn("_asked", asked.select("_asked").scalar())
-    end = F.col("_before") + F.col("_n")
-
-    def inside(rank: Column) -> Column:
-        return (rank >= F.col("_before")) & (rank < end)
-
-    hits = hits.withColumn(
-        "_asked",
-        F.filter("_asked", lambda a: inside(F.floor(a["_r"])) | inside(F.ceil(a["_r"]))),
-    )
-    hits = hits.select(*keys, "_v", "_before", "_n", F.inline("_asked"))
-    low = F.max(F.when(inside(F.floor("_r")), F.col("_v")))
-    high = F.max(F.when(inside(F.ceil("_r")), F.col("_v")))
-    rank = F.max("_r")
-    return hits.groupBy(*keys, "share").agg(
-        (low + (high - low) * (rank - F.floor(rank))).alias("quantile")
-    )
-
-
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     """Union of tables by column name."""
     return reduce(lambda a, b: a.unionByName(b), parts)

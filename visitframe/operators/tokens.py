@@ -22,6 +22,7 @@ from visitframe.functions.ordered import (
 )
 from visitframe.operators.discretize import CODE, COVAR, GAP_CELL, LABEL, SERIES
 from visitframe.operators.vocab import Metadata
+from visitframe.session import durable
 
 START_STAY, END_STAY, ADM = -1, 2_147_483_647, 9
 TOKEN = ["seq", "pos", "token_id"]
@@ -294,8 +295,11 @@ def detokenize(tokens: DataFrame, meta: Metadata, width: int = 4096) -> tuple[Da
     )
     live = known.join(ends, "seq").where(F.col("_end").isNull() | (F.col("pos") < F.col("_end")))
     live = live.withColumn("_block", block_of("pos", width))
-    live = prefix_over_blocks(
-        live, ["seq"], ["_block"], ["pos"], {"_stay": marks("</adm>").cast("long")}
+    # Each ordered pass reads its input twice, so the passes are written.
+    live = durable(
+        prefix_over_blocks(
+            live, ["seq"], ["_block"], ["pos"], {"_stay": marks("</adm>").cast("long")}
+        )
     )
 
     def at(condition: Column) -> Column:
@@ -307,8 +311,10 @@ def detokenize(tokens: DataFrame, meta: Metadata, width: int = 4096) -> tuple[Da
         "code": marks("</code>"),
         "series": F.col("kind") == "timestamp",
     }
-    live = first_from_here(
-        live, ["seq"], ["_block"], ["pos"], {f"_{n}": at(c) for n, c in closers.items()}
+    live = durable(
+        first_from_here(
+            live, ["seq"], ["_block"], ["pos"], {f"_{n}": at(c) for n, c in closers.items()}
+        )
     )
     # Stays: the closed ones, plus the open one of an unfinished sequence.
     closed = tokens.join(ends, "seq").groupBy("seq").agg(

@@ -7,12 +7,12 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from visitframe.functions.columns import ratio
-from visitframe.functions.ordered import exact_quantiles, position_in, union_all, value_counts
+from visitframe.functions.ordered import position_in, prefix_by_value, union_all, value_counts
 from visitframe.schema import FIXED_EDGES, PHENOTYPES, SPECIAL_TOKENS
 from visitframe.session import durable
 
@@ -46,68 +46,81 @@ def long_values(series: DataFrame, variables: Sequence[str], kind: str = "double
     )
 
 
-def series_counts(series: DataFrame, continuous: Sequence[str]) -> DataFrame:
-    """(var, value, n) of every continuous variable, written once.
+def series_ranks(series: DataFrame, continuous: Sequence[str]) -> DataFrame:
+    """(var, value, n, before) of every continuous variable, written once.
 
-    All statistics below are weighted sums over this table, so the series
-    itself is read a single time.
+    ``n`` rows have the value and ``before`` rows of the variable a smaller
+    one; NULL cells are one row with a NULL rank. All statistics below are
+    sums over this table, so the series itself is read a single time.
     """
-    return durable(value_counts(long_values(series, continuous), ["var"], "value"))
+    counts = durable(value_counts(long_values(series, continuous), ["var"], "value"))
+    present = counts.where(F.col("value").isNotNull())
+    ranked = prefix_by_value(present, ["var"], "value", {"before": F.col("n")})
+    nulls = counts.where(F.col("value").isNull()).withColumn("before", F.lit(None).cast("long"))
+    return durable(ranked.unionByName(nulls))
 
 
-def _moments(counts: DataFrame, suffix: str = "") -> DataFrame:
-    shares = {"q025": 0.025, "median": 0.5, "q975": 0.975}
+# The quantiles of a profile.
+SHARES = {"q025": 0.025, "median": 0.5, "q975": 0.975}
+
+
+def _ranked_quantiles(shares: Mapping[str, Column], base: Column, last: Column) -> list[Column]:
+    """Linear-interpolation quantiles as aggregates over a rank table.
+
+    ``base`` is the rank of the first row in play, ``last`` the number of rows
+    after it; both are constant within the group.
+    """
+    v, start = F.col("value"), F.col("before") - base
+    end = start + F.col("n")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= start) & (rank < end), v))
+
+    out = []
+    for name, share in shares.items():
+        rank = share * last
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        out.append((low + (high - low) * (F.max(rank) - F.floor(F.max(rank)))).alias(name))
+    return out
+
+
+def _moments(ranks: DataFrame, suffix: str = "") -> DataFrame:
     v, n = F.col("value"), F.col("n")
-    present = counts.where(v.isNotNull())
+    present = ranks.where(v.isNotNull())
     first = present.groupBy("var").agg(
         F.sum("n").alias("_n"),
         (F.sum(v * n) / F.sum("n")).alias("_mean"),
         F.min("value").alias("_min"),
         F.max("value").alias("_max"),
+        F.min("before").alias("_base"),
     )
     # One row per variable, that is per column of the series frame.
-    squares = (
-        present.join(F.broadcast(first.select("var", "_mean")), "var")
-        .groupBy("var")
-        .agg(F.sum(n * (v - F.col("_mean")) * (v - F.col("_mean"))).alias("_ss"))
-    )
-    quantiles = (
-        exact_quantiles(present, ["var"], "value", list(shares.values()))
-        .groupBy("var")
-        .agg(
-            *[
-                F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(q + suffix)
-                for q, s in shares.items()
-            ]
-        )
-    )
-    return (
-        first.join(squares, "var")
-        .select(
-            "var",
-            F.col("_mean").alias(f"mean{suffix}"),
-            F.sqrt(ratio(F.col("_ss"), F.col("_n") - 1)).alias(f"std{suffix}"),
-            F.col("_min").alias(f"min{suffix}"),
-            F.col("_max").alias(f"max{suffix}"),
-        )
-        .join(quantiles, "var")
+    around = present.join(F.broadcast(first), "var")
+    gap = v - F.col("_mean")
+    shares = {q + suffix: F.lit(s) for q, s in SHARES.items()}
+    return around.groupBy("var").agg(
+        F.max("_mean").alias(f"mean{suffix}"),
+        F.sqrt(ratio(F.sum(n * gap * gap), F.max("_n") - 1)).alias(f"std{suffix}"),
+        F.max("_min").alias(f"min{suffix}"),
+        F.max("_max").alias(f"max{suffix}"),
+        *_ranked_quantiles(shares, F.col("_base"), F.col("_n") - 1),
     )
 
 
-def missing_and_distinct(counts: DataFrame) -> DataFrame:
+def missing_and_distinct(ranks: DataFrame) -> DataFrame:
     """Missing rate over all rows and number of distinct values, per variable."""
     missing = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0))
-    return counts.groupBy("var").agg(
+    return ranks.groupBy("var").agg(
         (missing / F.sum("n")).alias("missing_rate"), F.count("value").alias("n_unique")
     )
 
 
-def profile(counts: DataFrame) -> DataFrame:
+def profile(ranks: DataFrame) -> DataFrame:
     """Missing rate, distinct values, moments and quantiles of each variable."""
-    return missing_and_distinct(counts).join(_moments(counts), "var")
+    return missing_and_distinct(ranks).join(_moments(ranks), "var")
 
 
-def trim_outliers(counts: DataFrame, stats: DataFrame, times: float = 3.0) -> DataFrame:
+def trim_outliers(ranks: DataFrame, stats: DataFrame, times: float = 3.0) -> DataFrame:
     """Drop the far tail of a variable when it is ``times`` too long.
 
     Both tests use the statistics before trimming.
@@ -120,17 +133,17 @@ def trim_outliers(counts: DataFrame, stats: DataFrame, times: float = 3.0) -> Da
         F.when(long_low, F.col("q025")).alias("_lo"),
     )
     # One row per variable, that is per column of the series frame.
-    kept = counts.where(F.col("value").isNotNull()).join(F.broadcast(limits), "var")
+    kept = ranks.where(F.col("value").isNotNull()).join(F.broadcast(limits), "var")
     return kept.where(
         (F.col("_hi").isNull() | (F.col("value") <= F.col("_hi")))
         & (F.col("_lo").isNull() | (F.col("value") >= F.col("_lo")))
-    ).select("var", "value", "n")
+    ).select("var", "value", "n", "before")
 
 
-def series_stats(counts: DataFrame, times: float = 3.0) -> DataFrame:
+def series_stats(ranks: DataFrame, times: float = 3.0) -> DataFrame:
     """Profile before (plain names) and after trimming (``*_2``), with bin counts."""
-    before = durable(profile(counts))
-    kept = trim_outliers(counts, before, times)
+    before = durable(profile(ranks))
+    kept = trim_outliers(ranks, before, times)
     return n_bins(before).join(_moments(kept, "_2"), "var")
 
 
@@ -155,17 +168,19 @@ def uniform_edges(stats: DataFrame) -> DataFrame:
     return stats.where(n > 0).select("var", edges.alias("edges"))
 
 
-def quantile_edges(counts: DataFrame, stats: DataFrame) -> DataFrame:
-    """Edges at equal shares of the values; duplicate edges are dropped."""
-    n = F.col("n_bins")
-    shares = stats.where(n > 0).select(
-        "var", F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: i / n)).alias("share")
+def quantile_edges(ranks: DataFrame, stats: DataFrame) -> DataFrame:
+    """Edges at equal shares of the trimmed values; duplicate edges are dropped."""
+    sizes = ranks.groupBy("var").agg(F.sum("n").alias("_n"), F.min("before").alias("_base"))
+    bins = sizes.join(stats.where(F.col("n_bins") > 0).select("var", "n_bins"), "var")
+    # One row per variable and edge.
+    asked = bins.select(
+        "var", "_n", "_base", F.explode(F.sequence(F.lit(0), F.col("n_bins"))).alias("_i"), "n_bins"
     )
-    return (
-        exact_quantiles(counts, ["var"], "value", shares)
-        .groupBy("var")
-        .agg(F.array_sort(F.collect_set("quantile")).alias("edges"))
+    share = {"edge": F.col("_i") / F.col("n_bins")}
+    found = ranks.join(F.broadcast(asked), "var").groupBy("var", "_i").agg(
+        *_ranked_quantiles(share, F.col("_base"), F.col("_n") - 1)
     )
+    return found.groupBy("var").agg(F.array_sort(F.collect_set("edge")).alias("edges"))
 
 
 def bin_histogram(counts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -371,13 +386,13 @@ def learn_metadata(
     sizes = dict(
         levels.groupBy("var").agg((F.max("value") + 1).alias("n")).collect()
     ) if categorical else {}
-    counts = series_counts(train_series, continuous)
-    stats = durable(series_stats(counts, trim_ratio))
+    ranks = series_ranks(train_series, continuous)
+    stats = durable(series_stats(ranks, trim_ratio))
     bins = {r["var"]: r["n_bins"] for r in stats.select("var", "n_bins").collect()}
     if bin_type == "uniform":
         found = uniform_edges(stats)
     else:
-        found = quantile_edges(trim_outliers(counts, stats, trim_ratio), stats)
+        found = quantile_edges(trim_outliers(ranks, stats, trim_ratio), stats)
     edges = {r["var"]: list(r["edges"]) for r in found.collect()}
     variables = [
         Variable(v, i, "ts", int(sizes.get(v, 0))) for i, v in enumerate(categorical)

@@ -271,7 +271,7 @@ def load_split(spark, d):
 @query(
     "sid:i row_idx:i hours:f age:f gender:i label_phe_0:i label_phe_1:i label_phe_2:i view:f",
     """SELECT s.sid, row_idx, hours, age, gender, l0 AS label_phe_0, l1 AS label_phe_1, l2 AS label_phe_2,
-    least(100.0, greatest(1.0, "view")) AS "view" FROM series s JOIN stays USING (sid, stay_idx) WHERE stay_idx = 0""",
+    CASE WHEN "view" IS NOT NULL THEN least(100.0, greatest(1.0, "view")) END AS "view" FROM series s JOIN stays USING (sid, stay_idx) WHERE stay_idx = 0""",
 )
 def export_series(spark, d):
     """First stay series with covariates and labels, through CSV."""
@@ -328,7 +328,7 @@ def coerce_types(spark, d):
 )
 def clip_series(spark, d):
     r = Records(spark, d)
-    stats = vocab.series_stats(vocab.series_counts(r.series, CONTINUOUS), proxy.TRIM_RATIO)
+    stats = vocab.series_stats(vocab.series_ranks(r.series, CONTINUOUS), proxy.TRIM_RATIO)
     bounds = {x["var"]: (x["min_2"], x["max_2"]) for x in stats.select("var", "min_2", "max_2").collect()}
     return clean.clip_series(r.series, bounds)
 
@@ -411,8 +411,8 @@ def vocab_sizes(spark, d):
     return vocab.vocab_sizes(Records(spark, d).meta)
 
 
-def _counts(spark, d):
-    return vocab.series_counts(proxy.series(spark, d), CONTINUOUS)
+def _ranks(spark, d):
+    return vocab.series_ranks(proxy.series(spark, d), CONTINUOUS)
 
 
 @query(
@@ -420,14 +420,14 @@ def _counts(spark, d):
     "SELECT * FROM prof",
 )
 def profile(spark, d):
-    return vocab.profile(_counts(spark, d))
+    return vocab.profile(_ranks(spark, d))
 
 
 @query(
     "var:s n_bins:i mean_2:f std_2:f min_2:f max_2:f q025_2:f median_2:f q975_2:f", "SELECT * FROM stats"
 )
 def trim(spark, d):
-    return vocab.series_stats(_counts(spark, d), proxy.TRIM_RATIO)
+    return vocab.series_stats(_ranks(spark, d), proxy.TRIM_RATIO)
 
 
 @query(
@@ -435,7 +435,7 @@ def trim(spark, d):
     "SELECT *, n_bins AS n_tokens FROM stats",
 )
 def variable_report(spark, d):
-    return vocab.variable_report(vocab.series_stats(_counts(spark, d), proxy.TRIM_RATIO))
+    return vocab.variable_report(vocab.series_stats(_ranks(spark, d), proxy.TRIM_RATIO))
 
 
 @query(
@@ -443,7 +443,7 @@ def variable_report(spark, d):
     "SELECT var, unnest(range(0, len(e))) AS i, unnest(e) AS edge FROM edges",
 )
 def uniform_edges(spark, d):
-    stats = vocab.series_stats(_counts(spark, d), proxy.TRIM_RATIO)
+    stats = vocab.series_stats(_ranks(spark, d), proxy.TRIM_RATIO)
     return vocab.uniform_edges(stats).select("var", F.posexplode("edges").alias("i", "edge"))
 
 
@@ -452,9 +452,9 @@ def uniform_edges(spark, d):
     "SELECT var, unnest(range(0, len(e))) AS i, unnest(e) AS edge FROM qedges",
 )
 def quantile_edges(spark, d):
-    counts = _counts(spark, d)
-    stats = durable(vocab.series_stats(counts, proxy.TRIM_RATIO))
-    kept = vocab.trim_outliers(counts, stats, proxy.TRIM_RATIO)
+    ranks = _ranks(spark, d)
+    stats = durable(vocab.series_stats(ranks, proxy.TRIM_RATIO))
+    kept = vocab.trim_outliers(ranks, stats, proxy.TRIM_RATIO)
     return vocab.quantile_edges(kept, stats).select("var", F.posexplode("edges").alias("i", "edge"))
 
 
@@ -468,16 +468,16 @@ def quantile_edges(spark, d):
     GROUP BY g.var, g.bin""",
 )
 def histogram(spark, d):
-    counts = _counts(spark, d)
-    stats = durable(vocab.series_stats(counts, proxy.TRIM_RATIO))
-    kept = vocab.trim_outliers(counts, stats, proxy.TRIM_RATIO)
+    ranks = _ranks(spark, d)
+    stats = durable(vocab.series_stats(ranks, proxy.TRIM_RATIO))
+    kept = vocab.trim_outliers(ranks, stats, proxy.TRIM_RATIO)
     return vocab.bin_histogram(kept, vocab.uniform_edges(stats))
 
 
 @query(
     "var:s text:s value:i",
-    """SELECT 'k_band' AS var, k_band AS text, row_number() OVER (ORDER BY at, k_band) - 1 AS value FROM (
-    SELECT k_band, min((sid, stay_idx, row_idx)) AS at FROM series WHERE k_band IS NOT NULL GROUP BY k_band)""",
+    """SELECT 'k_band' AS var, k_band AS text, row_number() OVER (ORDER BY seen, k_band) - 1 AS value FROM (
+    SELECT k_band, min(ROW(sid, stay_idx, row_idx)) AS seen FROM series WHERE k_band IS NOT NULL GROUP BY k_band)""",
 )
 def category_map(spark, d):
     return vocab.category_map(Records(spark, d).series, ["k_band"], ["sid", "stay_idx", "row_idx"])
@@ -752,7 +752,7 @@ def segments(spark, d):
     "seq:i pos:i seen:i",
     "SELECT seq, pos, row_number() OVER (PARTITION BY seq, token_id ORDER BY pos) AS seen FROM tokens",
 )
-def running_counts(spark, d):
+def running_ranks(spark, d):
     return tokens.running_counts(Records(spark, d).tokens)
 
 
@@ -1017,7 +1017,7 @@ def ffill(spark, d):
 
 @query(
     "cohort:s var_a:s var_b:s n_pairs:i corr:f",
-    "SELECT cohort, var_a, var_b, coalesce(n_pairs, 0) AS n_pairs, corr FROM (SELECT DISTINCT cohort FROM cohorts), pair_names LEFT JOIN corr USING (cohort, var_a, var_b)",
+    "SELECT cohort, var_a, var_b, coalesce(n_pairs, 0) AS n_pairs, corr FROM (SELECT DISTINCT cohort FROM cohorts) CROSS JOIN pair_names LEFT JOIN corr USING (cohort, var_a, var_b)",
 )
 def corr(spark, d):
     return _each(_cohorts(spark, d), lambda f: series.corr_matrix(f, CONTINUOUS, 100))
@@ -1151,9 +1151,9 @@ _ap = """SELECT label, sum(pos * tp / (tp + fp)) / any_value(p) AS average_preci
 _micro = "(SELECT * REPLACE ('micro' AS label) FROM doc_long)"
 
 
-def _with_micro(rows: DataFrame, score, **columns) -> DataFrame:
-    by = score(rows, **columns, keys=["label"])
-    return by.unionByName(score(rows, **columns).withColumn("label", F.lit("micro")))
+def _with_micro(rows: DataFrame, metric, value: str) -> DataFrame:
+    by_label = metric(rows, value, "truth", ["label"])
+    return by_label.unionByName(metric(rows, value, "truth").withColumn("label", F.lit("micro")))
 
 
 @query(
@@ -1161,12 +1161,12 @@ def _with_micro(rows: DataFrame, score, **columns) -> DataFrame:
     _auc.format(name="auroc", source="doc_long") + " UNION ALL " + _auc.format(name="auroc", source=_micro),
 )
 def auroc(spark, d):
-    return _with_micro(_scored(spark, d), scores.auroc, score="score", label="truth")
+    return _with_micro(_scored(spark, d), scores.auroc, "score")
 
 
 @query("label:s average_precision:f", _ap.format(source="doc_long") + " UNION ALL " + _ap.format(source=_micro))
 def average_precision(spark, d):
-    return _with_micro(_scored(spark, d), scores.average_precision, score="score", label="truth")
+    return _with_micro(_scored(spark, d), scores.average_precision, "score")
 
 
 _f1 = """SELECT label, 2.0 * sum(pred * truth) / nullif(sum(pred) + sum(truth), 0) AS f1 FROM {source} GROUP BY label"""
@@ -1174,7 +1174,7 @@ _f1 = """SELECT label, 2.0 * sum(pred * truth) / nullif(sum(pred) + sum(truth),
 
 @query("label:s f1:f", _f1.format(source="doc_long") + " UNION ALL " + _f1.format(source=_micro))
 def f1(spark, d):
-    return _with_micro(_scored(spark, d), scores.f1, pred="pred", label="truth")
+    return _with_micro(_scored(spark, d), scores.f1, "pred")
 
 
 @query(

@@ -120,7 +120,7 @@ CTES: dict[str, str] = {
       UNION ALL SELECT sid, stay_idx, 3, 0, 2, 'phe', -1, 1 FROM stays WHERE l1 = 1
       UNION ALL SELECT sid, stay_idx, 3, 0, 3, 'phe', -1, 2 FROM stays WHERE l2 = 1
       UNION ALL SELECT sid, stay_idx, 5, code_pos, 0, 'code', -1, code_id FROM stay_codes JOIN code_vocab USING (code)
-      UNION ALL SELECT c.sid, c.stay_idx, 7, c.row_idx, c.var_id, 'ts', c.var_id, c.value FROM cells c JOIN good_rows USING (sid, stay_idx, row_idx)
+      UNION ALL SELECT c.sid, c.stay_idx, 7, c.row_idx, row_number() OVER (PARTITION BY c.sid, c.stay_idx, c.row_idx ORDER BY c.var_id) - 1, 'ts', c.var_id, c.value FROM cells c JOIN good_rows USING (sid, stay_idx, row_idx)
       UNION ALL SELECT sid, stay_idx, 7, row_idx, 1000000, 'timestamp', 8, gap FROM good_rows""",
     "marks": """SELECT sid, stay_idx, section, token_id FROM stays, (SELECT unnest([2, 4, 6, 8, 9]) AS section,
       unnest(['</covar>', '</label>', '</code>', '</ts>', '</adm>']) AS literal) JOIN special USING (literal)
@@ -191,7 +191,7 @@ CTES["corr_id"] = """SELECT cohort, var_a, var_b, sum(coalesce(corr, 0.0)) / any
   FROM corr_id_raw JOIN (SELECT cohort, count(DISTINCT id) AS n FROM fill GROUP BY cohort) USING (cohort) GROUP BY cohort, var_a, var_b"""
 _band = """CASE WHEN corr >= 0.5 THEN 'high-pos' WHEN corr >= 0.2 THEN 'medium-pos' WHEN corr >= -0.2 THEN 'low'
   WHEN corr >= -0.5 THEN 'medium-neg' WHEN corr IS NOT NULL THEN 'high-neg' ELSE 'null' END"""
-CTES["corr_all"] = """SELECT cohort, var_a, var_b, corr FROM (SELECT DISTINCT cohort FROM cohorts), pair_names
+CTES["corr_all"] = """SELECT cohort, var_a, var_b, corr FROM (SELECT DISTINCT cohort FROM cohorts) CROSS JOIN pair_names
   LEFT JOIN corrf USING (cohort, var_a, var_b)"""
 CTES["bands"] = f"SELECT cohort, var_a, var_b, corr, {_band} AS band FROM corr_all"
 CTES["band_pairs"] = """SELECT a.var_a, a.var_b, a.corr AS ca, b.corr AS cb, a.band AS band_a, b.band AS band_b, b.cohort AS against
