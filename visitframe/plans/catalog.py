@@ -1212,10 +1212,10 @@ def _sets(spark, d) -> privacy.VectorSets:
 )
 def nearest_vector(spark, d):
     v = proxy.vectors(spark, d)
-    sets = {c: durable(v.where(F.col("cohort") == c)) for c in ("real", "test", "synthetic")}
+    sets = {c: v.where(F.col("cohort") == c) for c in ("real", "test", "synthetic")}
     return union_all(
         [
-            privacy.nearest_vector(sets[c], sets["synthetic"], c == "synthetic").withColumn("cohort", F.lit(c))
+            privacy.nearest_vector(sets[c], sets["synthetic"]).withColumn("cohort", F.lit(c))
             for c in sets
         ]
     )
@@ -1309,10 +1309,10 @@ def _record_sets(spark, d) -> dict[str, DataFrame]:
 )
 def nearest_record(spark, d):
     """Nearest training record of every record."""
-    sets = {k: durable(nearest.distinct_records(v)) for k, v in _record_sets(spark, d).items()}
+    sets = {k: nearest.record_set(v) for k, v in _record_sets(spark, d).items()}
     return union_all(
         [
-            nearest.nearest_records(sets[k], sets["t"], k == "t").select(
+            nearest.nearest_records(sets[k], sets["t"]).select(
                 F.lit(k).alias("part"), F.col("vid").alias("rid"), "dist"
             )
             for k in sets
