@@ -1,4 +1,4 @@
-"""Run queries against DuckDB: python tools_check.py [sf] [name ...]."""
+"""Run queries against DuckDB: python check.py [sf] [name ...]."""
 
 from __future__ import annotations
 

@@ -10,6 +10,12 @@ from visitframe.functions import ordered
 from visitframe.operators import sampling, series, tokens
 
 
+@pytest.fixture(params=[5, 1_000_000], autouse=True)
+def hot_rows(request, monkeypatch):
+    """Both ways: split keys, and plain windows."""
+    monkeypatch.setattr(ordered, "HOT_ROWS", request.param)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     rng = random.Random(3)

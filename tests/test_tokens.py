@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from visitframe.functions import ordered
 from visitframe.operators import tokens, vocab
 from visitframe.schema import FIXED_EDGES
 
@@ -56,8 +57,10 @@ def decode(spark, meta, words, width=4096):
     return [out[i] for i in sorted(out)]
 
 
-@pytest.mark.parametrize("width", [1, 3, 4096])
-def test_detokenize_rules(spark, meta, width):
+@pytest.mark.parametrize("width,hot", [(1, 1), (3, 1), (4096, 1_000_000)])
+def test_detokenize_rules(spark, meta, width, hot, monkeypatch):
+    monkeypatch.setattr(ordered, "HOT_ROWS", hot)
+
     def codes(words):
         return [s["code"] for s in decode(spark, meta, words, width)]
 
@@ -92,9 +95,11 @@ stay = st.fixed_dictionaries(
 )
 
 
-@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.lists(stay, min_size=1, max_size=3), min_size=1, max_size=3))
-def test_round_trip(spark, meta, patients):
+@pytest.mark.parametrize("hot", [2, 1_000_000])
+@settings(max_examples=2, deadline=None, suppress_health_check=list(HealthCheck))
+@given(patients=st.lists(st.lists(stay, min_size=1, max_size=3), min_size=1, max_size=3))
+def test_round_trip(spark, meta, hot, patients):
+    ordered.HOT_ROWS = hot
     events, stays = [], []
     for sid, patient in enumerate(patients):
         for i, s in enumerate(patient):
@@ -115,6 +120,7 @@ def test_round_trip(spark, meta, patients):
         return sorted(map(tuple, df.select("seq", "pos", "token_id").collect()))
 
     assert rows(first) == rows(again)
+    ordered.HOT_ROWS = 1_000_000
     shuffled = tokens.tokenize(ev, ss, meta, label_shuffle=True, ts_shuffle=True, seed=5)
     assert sorted(r[2] for r in rows(shuffled)) == sorted(r[2] for r in rows(first))
 

@@ -1,9 +1,10 @@
 """Ordered operators that never put a whole key into one task.
 
 A plain ``Window.partitionBy(key)`` sends every row of the key to one task.
-The functions here split each key into consecutive *blocks*, run the window
-inside a block, and correct it with a prefix over the (much smaller) table of
-block totals. The result equals the plain window whatever the block width.
+That is fine while keys are small, so a count per key (aggregated map-side)
+decides first. If some key exceeds ``HOT_ROWS``, each key is split into
+consecutive *blocks*: the window runs inside a block and a prefix over the
+much smaller table of block totals corrects it. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BEFORE = (Window.unboundedPreceding, -1)
-FROM_HERE = (0, Window.unboundedFollowing)
 AFTER = (1, Window.unboundedFollowing)
 BLOCK_ROWS = 4096
+HOT_ROWS = 1_000_000
 
 
 def block_of(position: str | Column, width: int = BLOCK_ROWS) -> Column:
@@ -27,6 +28,14 @@ def block_of(position: str | Column, width: int = BLOCK_ROWS) -> Column:
     return F.floor(column / F.lit(width)).cast("long")
 
 
+def has_hot_key(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether some key has more rows than one window task should hold."""
+    if not keys:
+        return True
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return not counts.where(F.col("_n") > HOT_ROWS).isEmpty()
+
+
 def prefix_over_blocks(
     df: DataFrame,
     keys: Sequence[str],
@@ -36,11 +45,15 @@ def prefix_over_blocks(
 ) -> DataFrame:
     """Add, per name in ``sums``, its total over the rows strictly before.
 
-    Rows are ordered by ``block`` and then ``order`` within ``keys``. Only one
-    shuffle on ``keys + block`` carries the rows; the block totals are
-    aggregated map-side first.
+    Rows are ordered by ``block`` and then ``order`` within ``keys``. One
+    shuffle carries the rows; block totals are aggregated map-side first.
     """
     keys, block = list(keys), list(block)
+    if not has_hot_key(df, keys):
+        plain = Window.partitionBy(*keys).orderBy(*block, *order).rowsBetween(*BEFORE)
+        return df.select(
+            "*", *[F.coalesce(F.sum(c).over(plain), F.lit(0)).alias(n) for n, c in sums.items()]
+        )
     totals = df.groupBy(*keys, *block).agg(
         *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()]
     )
@@ -72,6 +85,16 @@ def position_in(
     return prefix_over_blocks(df, keys, block, order, {name: F.lit(1).cast("long")})
 
 
+def _backwards(keys: Sequence[str], order: Sequence[str | Column]):
+    """Window over this row and all later ones, read in reverse.
+
+    A frame that grows row by row is one running value; the same frame written
+    as "current row to the end" would be recomputed for every row.
+    """
+    falling = [F.col(c).desc() if isinstance(c, str) else c.desc() for c in order]
+    return Window.partitionBy(*keys).orderBy(*falling).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def first_from_here(
     df: DataFrame,
     keys: Sequence[str],
@@ -84,6 +107,9 @@ def first_from_here(
     Picks must grow with the order (positions, or structs led by one).
     """
     keys, block = list(keys), list(block)
+    if not has_hot_key(df, keys):
+        back = _backwards(keys, [*block, *order])
+        return df.select("*", *[F.min(c).over(back).alias(n) for n, c in picks.items()])
     firsts = df.groupBy(*keys, *block).agg(
         *[F.min(c).alias(f"_b_{n}") for n, c in picks.items()]
     )
@@ -91,7 +117,7 @@ def first_from_here(
     later = firsts.select(
         *keys, *block, *[F.min(f"_b_{n}").over(across).alias(f"_l_{n}") for n in picks]
     )
-    inside = Window.partitionBy(*keys, *block).orderBy(*order).rowsBetween(*FROM_HERE)
+    inside = _backwards([*keys, *block], order)
     joined = df.join(later, keys + block)
     return joined.select(
         *[F.col(c) for c in df.columns],
@@ -153,6 +179,8 @@ def prefix_by_value(
 
     ``df`` holds one row per key and value, so aggregate copies first.
     """
+    if not has_hot_key(df, keys):
+        return prefix_over_blocks(df, keys, [], [order], sums)
     blocks = value_blocks(df, keys, order)
     return prefix_over_blocks(blocks, keys, ["_block"], [order], sums).drop("_block")
 

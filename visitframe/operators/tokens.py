@@ -72,8 +72,10 @@ def tokenize(
 ) -> DataFrame:
     """Token table (seq, pos, token_id, stay_idx, row_idx), not yet truncated.
 
-    ``row_idx`` marks the gap token of a series row. Blocks follow the natural
-    order (stay, section, item range), so a long history is spread out.
+    ``row_idx`` marks the gap token of a series row. Should a history be too
+    long for one task, its blocks are two per stay: what comes before
+    ``</code>``, in ranges of ``width`` codes, and the series, in ranges of
+    ``width`` rows. The closing tokens of a stay open the block of the next.
     """
     if ignore_ts:
         events = events.where(F.col("section") != SERIES)
@@ -98,9 +100,16 @@ def tokenize(
         F.when(is_gap, F.col("a")).alias("row_idx"),
     )
     rows = body.unionByName(_markers(stays, meta, ignore_ts))
-    blocked = rows.withColumn("_range", block_of("a", width))
+    closing, is_late = F.col("section") > SERIES, F.col("section") > CODE
+    part = block_of("a", width) + F.when(is_late, F.lit(1 << 40)).otherwise(F.lit(0))
+    blocked = rows.withColumns(
+        {
+            "_stay": F.col("stay_idx").cast("long") + closing.cast("long"),
+            "_part": F.when(closing | (F.col("section") < CODE), F.lit(0)).otherwise(part),
+        }
+    )
     placed = position_in(
-        blocked, ["seq"], ["stay_idx", "section", "_range"], ["a", "b", "token_id"], "pos"
+        blocked, ["seq"], ["_stay", "_part"], ["stay_idx", "section", "a", "b", "token_id"], "pos"
     )
     return placed.select(
         "seq", "pos", F.col("token_id").cast("int").alias("token_id"), "stay_idx", "row_idx"
