@@ -40,7 +40,7 @@ from visitframe.operators import (
 )
 from visitframe.plans import oracle, proxy, report
 from visitframe.plans.proxy import CONTINUOUS, Records, cohort_series, table
-from visitframe.session import durable
+from visitframe.session import durable, stage_folder
 from visitframe.sources import io
 
 N_CTX = 64
@@ -91,10 +91,9 @@ def query(columns: str, sql: str | None = None):
 
 def scratch(spark: SparkSession) -> str:
     """A fresh folder next to the written stages."""
-    folder = spark.sparkContext.getCheckpointDir()
+    folder = stage_folder(spark)
     if folder is None:
-        durable(spark.range(1))
-        folder = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
     return f"{folder}/scratch-{uuid.uuid4().hex}"
 
 

@@ -9,23 +9,33 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 
 
+def stage_folder(spark: SparkSession) -> str | None:
+    """The shared folder for written stages, or None on a cluster without one.
+
+    ``spark.checkpoint.dir`` names it. Only a local session (tests) gets one of
+    its own where that is unset: a machine-local folder on a cluster would be
+    lost with its executor.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="visitframe-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+    """Write ``df`` once to the stage folder and read it back.
 
-    Used at stage boundaries whose result is read more than once. The folder
-    comes from ``spark.checkpoint.dir``; only a local session (tests) gets one
-    of its own. On a cluster without it the plan is returned unchanged, because
-    a machine-local folder would be lost with its executor. A written table,
-    unlike a plain checkpoint, keeps column pruning and size statistics.
+    Used at stage boundaries whose result is read more than once. A written
+    table, unlike a plain checkpoint, keeps column pruning and size
+    statistics. Without a folder the plan is returned unchanged.
     """
     spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir()
+    folder = stage_folder(spark)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            warnings.warn("spark.checkpoint.dir is not set: the stage is not materialised")
-            return df
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="visitframe-"))
-        folder = spark.sparkContext.getCheckpointDir()
+        warnings.warn("spark.checkpoint.dir is not set: the stage is not written")
+        return df
     path = f"{folder}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
