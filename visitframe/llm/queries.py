@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitframe.llm import ann, bpe, decontam, langid, secretscan, tokenfile, urlfilter
+from visitframe.llm import ann, bpe, decontam, langid, ngramjoin, secretscan, tokenfile, urlfilter
 from visitframe.llm.common import fresh_path, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -73,9 +73,16 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; ``class_id`` is the least doc_id of its class."""
+    found = ngramjoin.classes(table(spark, sf_dir, "documents"))
+    least = found.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    return found.join(least, "class").select("doc_id", "class_id", "n_links")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_file, op2_bpe, op3_language_id, op4_secret_scan, op5_url_filter, op6_decontamination, op7_nearest)
+    for f in (op1_token_file, op2_bpe, op3_language_id, op4_secret_scan, op5_url_filter, op6_decontamination, op7_nearest, op9_ngram_join)
 }
 
 ORACLES: dict[str, str] = {}
