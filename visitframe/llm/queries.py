@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitframe.llm import ann, bpe, decontam, langid, ngramjoin, secretscan, tokenfile, urlfilter
+from visitframe.llm import ann, bpe, decontam, langid, licenses, ngramjoin, pii, secretscan, tokenfile, urlfilter
 from visitframe.llm.common import fresh_path, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -73,6 +73,11 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document; ``class_id`` is the least doc_id of its class."""
     found = ngramjoin.classes(table(spark, sf_dir, "documents"))
@@ -80,9 +85,16 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(least, "class").select("doc_id", "class_id", "n_links")
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_file, op2_bpe, op3_language_id, op4_secret_scan, op5_url_filter, op6_decontamination, op7_nearest, op9_ngram_join)
+    for f in (
+        op1_token_file, op2_bpe, op3_language_id, op4_secret_scan, op5_url_filter, op6_decontamination,
+        op7_nearest, op8_license_scan, op9_ngram_join, op10_pii_surrogates,
+    )
 }
 
 ORACLES: dict[str, str] = {}
