@@ -10,6 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from visitframe.session import local_session
 
-    session = local_session(4, "visitframe-tests")
+    session = local_session(int(os.environ.get("TEST_CPUS", "4")), "visitframe-tests")
     yield session
     session.stop()

@@ -10,12 +10,6 @@ from visitframe.functions import ordered
 from visitframe.operators import sampling, series, tokens
 
 
-@pytest.fixture(params=[5, 1_000_000], autouse=True)
-def hot_rows(request, monkeypatch):
-    """Both ways: split keys, and plain windows."""
-    monkeypatch.setattr(ordered, "HOT_ROWS", request.param)
-
-
 @pytest.fixture(scope="module")
 def skewed(spark):
     rng = random.Random(3)
@@ -83,3 +77,35 @@ def test_segments_and_counts_cross_blocks(spark):
     assert seg == {i: toks[: i + 1].count(0) for i in range(50)}
     seen = {r["pos"]: r["seen"] for r in tokens.running_counts(df, width=4).collect()}
     assert seen == {i: toks[: i + 1].count(toks[i]) for i in range(50)}
+
+
+def test_null_keys_and_orders_stay(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 0, 0, 0, 1]), rng.choice([None, *range(20)]), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, o long, x long").withColumn("_block", ordered.block_of("o", 4))
+    w = Window.partitionBy("k").orderBy("o", "x")
+    want = df.select("x", (F.row_number().over(w) - 1).alias("p")).collect()
+    got = ordered.position_in(df, ["k"], ["_block"], ["o", "x"], "p").select("x", "p").collect()
+    assert sorted(got) == sorted(want) and len(got) == 200
+    pick = F.when(F.col("x") % 7 == 0, F.struct("o", "x"))
+    back = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    want = df.select("x", F.min(pick).over(back).alias("m")).collect()
+    got = ordered.first_from_here(df, ["k"], ["_block"], ["o", "x"], {"m": pick}).select("x", "m").collect()
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_codes_without_a_sequence_number_stay(spark):
+    from visitframe.operators.restructure import order_codes
+
+    rows = [(1, "icd", 2, "b"), (1, "icd", None, "a"), (1, "icd", 1, "c"), (None, "icd", 1, "d")]
+    codes = spark.createDataFrame(rows, "hadm_id long, sys string, seq_num long, code string")
+    got = {(r["hadm_id"], r["code"]): r["code_pos"] for r in order_codes(codes).collect()}
+    assert got == {(1, "a"): 0, (1, "c"): 1, (1, "b"): 2, (None, "d"): 0}
+
+
+def test_auroc_of_a_null_group(spark):
+    from visitframe.operators.scores import auroc
+
+    rows = [(None, 1, 0.9), (None, 0, 0.1), ("g", 1, 0.2), ("g", 0, 0.8)]
+    got = auroc(spark.createDataFrame(rows, "grp string, label int, score double"), "score", "label", ["grp"]).collect()
+    assert {r["grp"]: r["auroc"] for r in got} == {None: 1.0, "g": 0.0}

@@ -40,9 +40,13 @@ def bin_index(value: Column, edges: Sequence[float]) -> Column:
 
 
 def hash_uniform(seed: int, *keys: str | Column) -> Column:
-    """Uniform in [0, 1) from a hash of the keys: the same on any partitioning."""
-    span = 1 << 53
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(span)) / F.lit(float(span))
+    """Uniform in [0, 1) from the MD5 of seed and keys: the same on any partitioning.
+
+    The first 52 bits of ``md5("seed|key|...")``; NULL keys are left out.
+    """
+    parts = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def pad_array(tokens: str | Column, length: int, pad_id: int) -> Column:

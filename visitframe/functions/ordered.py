@@ -1,10 +1,10 @@
 """Ordered operators that never put a whole key into one task.
 
 A plain ``Window.partitionBy(key)`` sends every row of the key to one task.
-That is fine while keys are small, so a count per key (aggregated map-side)
-decides first. If some key exceeds ``HOT_ROWS``, each key is split into
-consecutive *blocks*: the window runs inside a block and a prefix over the
-much smaller table of block totals corrects it. Both ways give the same rows.
+Here each key is split into consecutive *blocks*: the window runs inside a
+block, and a prefix over the much smaller table of block totals corrects it.
+Keys and blocks are compared null-safe, so rows with a NULL key, block or order
+value stay, in the place that a plain window gives them (NULL first).
 """
 
 from __future__ import annotations
@@ -17,9 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BEFORE = (Window.unboundedPreceding, -1)
-AFTER = (1, Window.unboundedFollowing)
 BLOCK_ROWS = 4096
-HOT_ROWS = 1_000_000
 
 
 def block_of(position: str | Column, width: int = BLOCK_ROWS) -> Column:
@@ -28,12 +26,13 @@ def block_of(position: str | Column, width: int = BLOCK_ROWS) -> Column:
     return F.floor(column / F.lit(width)).cast("long")
 
 
-def has_hot_key(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether some key has more rows than one window task should hold."""
-    if not keys:
-        return True
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return not counts.where(F.col("_n") > HOT_ROWS).isEmpty()
+def attach(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on ``on`` in which NULL equals NULL; ``other`` has one row per key."""
+    if not on:
+        return df.crossJoin(other)
+    named = other.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = reduce(lambda x, y: x & y, [df[c].eqNullSafe(named[f"_on_{c}"]) for c in on])
+    return df.join(named, same).drop(*[f"_on_{c}" for c in on])
 
 
 def prefix_over_blocks(
@@ -49,11 +48,6 @@ def prefix_over_blocks(
     shuffle carries the rows; block totals are aggregated map-side first.
     """
     keys, block = list(keys), list(block)
-    if not has_hot_key(df, keys):
-        plain = Window.partitionBy(*keys).orderBy(*block, *order).rowsBetween(*BEFORE)
-        return df.select(
-            "*", *[F.coalesce(F.sum(c).over(plain), F.lit(0)).alias(n) for n, c in sums.items()]
-        )
     totals = df.groupBy(*keys, *block).agg(
         *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()]
     )
@@ -64,7 +58,7 @@ def prefix_over_blocks(
         *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_o_{n}") for n in sums],
     )
     inside = Window.partitionBy(*keys, *block).orderBy(*order).rowsBetween(*BEFORE)
-    joined = df.join(offsets, keys + block)
+    joined = attach(df, offsets, keys + block)
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[
@@ -107,18 +101,15 @@ def first_from_here(
     Picks must grow with the order (positions, or structs led by one).
     """
     keys, block = list(keys), list(block)
-    if not has_hot_key(df, keys):
-        back = _backwards(keys, [*block, *order])
-        return df.select("*", *[F.min(c).over(back).alias(n) for n, c in picks.items()])
     firsts = df.groupBy(*keys, *block).agg(
         *[F.min(c).alias(f"_b_{n}") for n, c in picks.items()]
     )
-    across = Window.partitionBy(*keys).orderBy(*block).rowsBetween(*AFTER)
+    across = _backwards(keys, block).rowsBetween(*BEFORE)
     later = firsts.select(
         *keys, *block, *[F.min(f"_b_{n}").over(across).alias(f"_l_{n}") for n in picks]
     )
     inside = _backwards([*keys, *block], order)
-    joined = df.join(later, keys + block)
+    joined = attach(df, later, keys + block)
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[
@@ -163,10 +154,7 @@ def value_blocks(
     sketch = df.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(order, shares, 1000)).alias("_cuts")
     )
-    if keys:
-        with_cuts = df.join(sketch, keys)
-    else:
-        with_cuts = df.withColumn("_cuts", sketch.scalar())
+    with_cuts = attach(df, sketch, keys) if keys else df.withColumn("_cuts", sketch.scalar())
     return with_cuts.withColumn(
         "_block", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
     ).drop("_cuts")
@@ -179,8 +167,6 @@ def prefix_by_value(
 
     ``df`` holds one row per key and value, so aggregate copies first.
     """
-    if not has_hot_key(df, keys):
-        return prefix_over_blocks(df, keys, [], [order], sums)
     blocks = value_blocks(df, keys, order)
     return prefix_over_blocks(blocks, keys, ["_block"], [order], sums).drop("_block")
 

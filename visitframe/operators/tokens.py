@@ -230,7 +230,7 @@ def start_prompts(spark, n: int, start_id: int) -> DataFrame:
 
 
 def render_text(tokens: DataFrame, vocab: DataFrame, n_ctx: int) -> DataFrame:
-    """Sequences as text, e.g. ``<s> covar 41 3 </covar>``."""
+    """Sequences as text, e.g. ``<s> covar 41 3 </covar>``: a row per ``n_ctx`` tokens."""
     name = F.when(F.col("kind").isin("phe", "ihm"), F.lit("label")).otherwise(F.col("kind"))
     part = (
         F.when(F.col("kind") == "special", F.col("literal"))
@@ -238,9 +238,9 @@ def render_text(tokens: DataFrame, vocab: DataFrame, n_ctx: int) -> DataFrame:
         .when(name == "label", F.concat_ws(" ", name, "kind", F.col("value").cast("string")))
         .otherwise(F.concat_ws(" ", name, F.col("var_id").cast("string"), F.col("value").cast("string")))
     )
-    words = truncate(tokens, n_ctx).join(vocab.select("token_id", part.alias("_w")), "token_id")
-    packed = words.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "_w"))).alias("_x"))
-    return packed.select("seq", F.concat_ws(" ", F.transform("_x", lambda x: x["_w"])).alias("text"))
+    words = tokens.withColumn("chunk", block_of("pos", n_ctx)).join(vocab.select("token_id", part.alias("_w")), "token_id")
+    packed = words.groupBy("seq", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "_w"))).alias("_x"))
+    return packed.select("seq", "chunk", F.concat_ws(" ", F.transform("_x", lambda x: x["_w"])).alias("text"))
 
 
 # --- per-position features -----------------------------------------------------

@@ -24,16 +24,22 @@ VOCAB_SCHEMA = "token_id int, kind string, var_id int, value int, literal string
 def code_vocab(codes: DataFrame) -> DataFrame:
     """Code ids: diagnoses by falling count, then procedures; name breaks ties.
 
-    Codes of equal count form the blocks, so the vocabulary is ranked without
-    one task holding it.
+    Codes of equal count and equal first letters form the blocks, so the
+    vocabulary is ranked without one task holding it.
     """
     counts = (
         codes.where(F.col("code").isNotNull())
         .groupBy("sys", "code")
         .agg(F.count("*").alias("n"))
-        .withColumns({"_sys": F.when(F.col("sys") == "icd", 0).otherwise(1), "_rare": -F.col("n")})
+        .withColumns(
+            {
+                "_sys": F.when(F.col("sys") == "icd", 0).otherwise(1),
+                "_rare": -F.col("n"),
+                "_letters": F.substring("code", 1, 8),
+            }
+        )
     )
-    ranked = position_in(counts, [], ["_sys", "_rare"], ["code"], "code_id")
+    ranked = position_in(counts, [], ["_sys", "_rare", "_letters"], ["code"], "code_id")
     return ranked.select(F.col("code_id").cast("int").alias("code_id"), "sys", "code", "n")
 
 

@@ -321,23 +321,28 @@ def coerce_types(spark, d):
 
 
 @query(
-    "sid:i stay_idx:i row_idx:i click:f",
-    """SELECT sid, stay_idx, row_idx, CASE WHEN click IS NOT NULL THEN least(max_2, greatest(min_2, click)) END AS click
-    FROM series, (SELECT min_2, max_2 FROM stats WHERE var = 'click')""",
+    "sid:i stay_idx:i row_idx:i " + " ".join(f"{v}:f" for v in CONTINUOUS),
+    "SELECT sid, stay_idx, row_idx, "
+    + ", ".join(f"""CASE WHEN "{v}" IS NOT NULL THEN least({v}_b.max_2, greatest({v}_b.min_2, "{v}")) END AS "{v}\"""" for v in CONTINUOUS)
+    + " FROM series, "
+    + ", ".join(f"(SELECT min_2, max_2 FROM stats WHERE var = '{v}') {v}_b" for v in CONTINUOUS),
 )
 def clip_series(spark, d):
     r = Records(spark, d)
-    stats = vocab.series_stats(vocab.series_ranks(r.series, CONTINUOUS), proxy.TRIM_RATIO)
+    stats = vocab.series_stats(vocab.series_ranks(r.train_series, CONTINUOUS), proxy.TRIM_RATIO)
     bounds = {x["var"]: (x["min_2"], x["max_2"]) for x in stats.select("var", "min_2", "max_2").collect()}
     return clean.clip_series(r.series, bounds)
 
 
 @query(
     "var:s n_null:i n_inf:i",
-    "SELECT var, count(*) FILTER (WHERE value IS NULL) AS n_null, 0 AS n_inf FROM svals GROUP BY var",
+    "SELECT var, count(*) FILTER (WHERE value IS NULL) AS n_null, count(*) FILTER (WHERE value > 300) AS n_inf FROM ("
+    + oracle._unpivot("series", '"{v}"') + ") GROUP BY var",
 )
 def audit_nulls(spark, d):
-    return clean.audit_nulls(proxy.series(spark, d), CONTINUOUS)
+    """Values above 300 stand for overflows: they are made infinite first."""
+    made = {v: F.when(F.col(v) > 300, F.lit(float("inf"))).otherwise(F.col(v)) for v in CONTINUOUS}
+    return clean.audit_nulls(proxy.series(spark, d).withColumns(made), CONTINUOUS)
 
 
 @query(
@@ -349,10 +354,18 @@ def fill_mean(spark, d):
     return clean.fill_mean(Records(spark, d).series, CONTINUOUS)
 
 
-@query("id:i row_idx:i view:f")
+@query(
+    "id:s row_idx:i " + " ".join(f"{v}:f" for v in CONTINUOUS),
+    "SELECT id, row_idx, "
+    + ", ".join(
+        f"""coalesce("{v}", 0) + 1e-5 * sqrt(-2 * ln(1 - {oracle.uniform(0, str(2 * i), "id")})) * cos(2 * pi() * {oracle.uniform(0, str(2 * i + 1), "id")}) AS "{v}\""""
+        for i, v in enumerate(CONTINUOUS)
+    )
+    + " FROM (SELECT *, concat_ws('-', sid, stay_idx, row_idx) AS id FROM series)",
+)
 def jitter(spark, d):
     filled = clean.fill_zero(Records(spark, d).series, CONTINUOUS).withColumn(
-        "id", F.xxhash64("sid", "stay_idx", "row_idx")
+        "id", F.concat_ws("-", *[F.col(c).cast("string") for c in ("sid", "stay_idx", "row_idx")])
     )
     return clean.jitter(filled, CONTINUOUS, "id")
 
@@ -365,12 +378,15 @@ def top_codes(spark, d):
     return clean.top_codes(proxy.raw_codes(spark, d), 10)
 
 
-@query("sid:i stay_idx:i")
+@query(
+    "sid:i stay_idx:i",
+    f"SELECT sid, stay_idx FROM stays ORDER BY {oracle.uniform(0, 'hadm_id')}, hadm_id LIMIT 1000",
+)
 def sample_stays(spark, d):
     return sampling.sample_n(Records(spark, d).stays, "hadm_id", 1000)
 
 
-@query("sid:i stay_idx:i")
+@query("sid:i stay_idx:i", f"SELECT sid, stay_idx FROM stays WHERE {oracle.uniform(42, 'sid')} < 0.2")
 def sample_fraction(spark, d):
     return sampling.sample_frac(proxy.stays(spark, d), "sid", 0.2)
 
@@ -411,7 +427,7 @@ def vocab_sizes(spark, d):
 
 
 def _ranks(spark, d):
-    return vocab.series_ranks(proxy.series(spark, d), CONTINUOUS)
+    return vocab.series_ranks(Records(spark, d).train_series, CONTINUOUS)
 
 
 @query(
@@ -568,15 +584,19 @@ _grid_cells = ", ".join(
 
 
 @query(
-    "id:i cell:i " + " ".join(f"value_{v}:f mask_{v}:i" for v in CONTINUOUS),
-    f"""SELECT id, cell, {_grid_cells} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hours, click, error, purchase, signup, "view") - 1 AS cell
-    FROM (SELECT DISTINCT id, g * 3.0 AS hours FROM cohorts, (SELECT unnest(range(0, 16)) AS g) WHERE cohort = 'real')
-    FULL JOIN (SELECT * FROM cohorts WHERE cohort = 'real') USING (id, hours)) WHERE cell < 16""",
+    "cohort:s id:i cell:i " + " ".join(f"value_{v}:f mask_{v}:i" for v in CONTINUOUS),
+    f"""SELECT cohort, id, cell, {_grid_cells} FROM (SELECT *, row_number() OVER (PARTITION BY cohort, id ORDER BY hours, click, error, purchase, signup, "view") - 1 AS cell
+    FROM (SELECT DISTINCT cohort, id, g * 3.0 AS hours FROM cohorts, (SELECT unnest(range(0, 16)) AS g))
+    FULL JOIN cohorts USING (cohort, id, hours)) WHERE cell < 16""",
 )
 def to_grid(spark, d):
     """Three-hour grid of 16 rows; hourly rows in between push grid rows out."""
-    frame = cohort_series(Records(spark, d).series, "real")
-    return restructure.to_grid(frame, "id", "hours", CONTINUOUS, 3.0, 16)
+    series_ = Records(spark, d).series
+    grids = [
+        restructure.to_grid(cohort_series(series_, c), "id", "hours", CONTINUOUS, 3.0, 16).withColumn("cohort", F.lit(c))
+        for c in proxy.COHORTS.values()
+    ]
+    return union_all(grids)
 
 
 # --- discretize -----------------------------------------------------------------------
@@ -683,17 +703,21 @@ def training_rows(spark, d):
     return out.select("seq", *[F.concat_ws(" ", c).alias(c) for c in ("input_ids", "labels", "attention_mask")])
 
 
-@query("seq:i pos:i masked:i")
+@query(
+    "seq:i pos:i masked:i",
+    f"""SELECT seq, pos, CASE WHEN {oracle.uniform(3, "'pick'", "seq", "pos")} < 0.15 AND {oracle.uniform(3, "'replace'", "seq", "pos")} < 0.8
+    THEN pad ELSE token_id END AS masked FROM tokens, (SELECT token_id AS pad FROM special WHERE literal = '<pad>')""",
+)
 def masked_tokens(spark, d):
     r = Records(spark, d)
     return tokens.mask(r.tokens, r.meta.special("<pad>"), 0.15, 3)
 
 
 @query(
-    "seq:i text:s",
-    f"""SELECT seq, string_agg(CASE kind WHEN 'special' THEN literal WHEN 'code' THEN 'code ' || value
+    "seq:i chunk:i text:s",
+    f"""SELECT seq, pos // {N_CTX} AS chunk, string_agg(CASE kind WHEN 'special' THEN literal WHEN 'code' THEN 'code ' || value
     WHEN 'phe' THEN 'label phe ' || value WHEN 'ihm' THEN 'label ihm ' || value ELSE kind || ' ' || var_id || ' ' || value END, ' ' ORDER BY pos) AS text
-    FROM tokens JOIN vocab USING (token_id) WHERE pos < {N_CTX} GROUP BY seq""",
+    FROM tokens JOIN vocab USING (token_id) GROUP BY seq, pos // {N_CTX}""",
 )
 def render_text(spark, d):
     r = Records(spark, d)

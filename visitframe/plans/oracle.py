@@ -73,7 +73,8 @@ CTES: dict[str, str] = {
       FROM hours_wide WINDOW w AS (PARTITION BY sid, stay_idx ORDER BY h)""",
     "cohorts": """SELECT sid AS id, CASE stay_idx WHEN 0 THEN 'real' WHEN 1 THEN 'test' ELSE 'synthetic' END AS cohort,
       row_idx, hours, k_band, click, error, purchase, signup, "view" FROM series""",
-    "svals": _unpivot("series", '"{v}"'),
+    "train_series": "SELECT s.* FROM series s JOIN stays USING (sid, stay_idx) WHERE split = 'train'",
+    "svals": _unpivot("train_series", '"{v}"'),
     "prof": f"""SELECT * FROM (SELECT var, avg((value IS NULL)::INT) AS missing_rate, count(DISTINCT value) AS n_unique
       FROM svals GROUP BY var) JOIN ({_moments("svals")}) USING (var)""",
     "trimmed": f"""SELECT var, value FROM svals JOIN prof USING (var) WHERE value IS NOT NULL
@@ -256,6 +257,11 @@ CTES["doc_long"] = """SELECT doc_id, 'quality' AS label, score, pred, quality AS
   UNION ALL SELECT doc_id, 'toxic', score, pred, toxic FROM doc_score"""
 
 
+def uniform(seed: int, *keys: str) -> str:
+    """The SQL of ``columns.hash_uniform``."""
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
 def build(final: str) -> str:
     """Final SELECT with the blocks it needs in front."""
     names = list(CTES)

@@ -28,7 +28,7 @@ SYNONYMS = {"k_band": {"0": 0, "1": 1, "2": 2}}
 LABELS = ["filled", "urgent", "large"]
 FIXED_HOURS = HOURS_EDGES
 AGE_EDGES = [float(x) for x in range(-1000, 10001, 1000)]
-MIN_CODE_COUNT = 15
+MIN_CODE_COUNT = 5
 TRIM_RATIO = 1.5
 SPLIT_OF = {
     "AUTOMOBILE": "train", "BUILDING": "train", "FURNITURE": "val",
@@ -158,11 +158,17 @@ class Records:
         keys = self.stays.select("sid", "stay_idx")
         return self.series.join(keys, ["sid", "stay_idx"], "left_semi")
 
+    @cached_property
+    def train_series(self) -> DataFrame:
+        """Series rows of training stays: all that bins are learned from."""
+        keys = self.stays.where(F.col("split") == "train").select("sid", "stay_idx")
+        return self.series.join(keys, ["sid", "stay_idx"], "left_semi")
+
     @cached_property
     def meta(self) -> Metadata:
         return learn_metadata(
             self.codes,
-            self.series,
+            self.train_series,
             CATEGORICAL,
             CONTINUOUS,
             ["sid", "stay_idx", "row_idx"],

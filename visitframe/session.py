@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,13 +28,13 @@ def durable(df: DataFrame) -> DataFrame:
 
     Used at stage boundaries whose result is read more than once. A written
     table, unlike a plain checkpoint, keeps column pruning and size
-    statistics. Without a folder the plan is returned unchanged.
+    statistics. On a cluster without a shared folder it raises: the stage
+    would be computed anew for each use.
     """
     spark = df.sparkSession
     folder = stage_folder(spark)
     if folder is None:
-        warnings.warn("spark.checkpoint.dir is not set: the stage is not written")
-        return df
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{folder}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
