@@ -37,7 +37,7 @@ def test_nearest_with_copies(spark, rows, monkeypatch):
     got = by_row(spark, a, nearest.nearest_distances(va, vb, rows=rows), va)
     assert np.allclose(got, brute(a, b))
     for k in (1, 4):
-        got = by_row(spark, a, nearest.nearest_distances(va, va, k, rows=rows), va)
+        got = by_row(spark, a, nearest.nearest_distances(va, va, k, rows=rows, exclude_self=True), va)
         assert np.allclose(got, brute(a, a, k, True), atol=1e-9)
     radius = brute(b, b, 2, True)
     balls = spark.createDataFrame([(i, float(r)) for i, r in enumerate(radius)], "vid long, radius double")
@@ -47,6 +47,24 @@ def test_nearest_with_copies(spark, rows, monkeypatch):
     assert (by_row(spark, a, inside, va) == want).all()
 
 
+def test_nearest_far_from_the_origin(spark):
+    rng = np.random.default_rng(1)
+    a = 1e6 + 1e-2 * rng.normal(size=(300, 8))
+    va, other = nearest.vector_set(vectors(spark, a)), nearest.vector_set(vectors(spark, a))
+    want = brute(a, a, 1, True)
+    for b in (va, other):
+        got = by_row(spark, a, nearest.nearest_distances(va, b, exclude_self=True), va)
+        assert np.allclose(got, want, rtol=1e-12, atol=0)
+    assert (by_row(spark, a, nearest.nearest_distances(va, other), va) == 0).all()
+
+
+def test_equal_records_all_get_a_distance(spark):
+    rows = [record(i, [0, 1, 0], [[1, 2], [3]]) for i in range(3)] + [record(9, [0, 0, 0], [[1]])]
+    s = nearest.record_set(spark.createDataFrame(rows, SCHEMA))
+    got = {r["rid"]: r["dist"] for r in nearest.each_record(s, nearest.nearest_records(s, s, exclude_self=True)).collect()}
+    assert got == {r[0]: min([100] + [distance(r, y) for y in rows if y[0] != r[0]]) for r in rows}
+
+
 def test_set_against_itself_is_indistinct(spark):
     x = np.random.default_rng(1).normal(size=(30, 4))
     v = vectors(spark, x)
@@ -98,7 +116,7 @@ def test_nearest_records(spark, rows, monkeypatch):
     first = {r["vid"]: r["dist"] for r in nearest.nearest_records(sa, sb, rows=rows).collect()}
     alive = {r["vid"] for r in sa.table.collect()}
     assert first == {x[0]: min(distance(x, y) for y in b) for x in a if x[0] in alive}
-    own = {r["vid"]: r["dist"] for r in nearest.nearest_records(sa, sa, rows=rows).collect()}
+    own = {r["vid"]: r["dist"] for r in nearest.nearest_records(sa, sa, rows=rows, exclude_self=True).collect()}
     assert own == {
         x[0]: min([100] + [distance(x, y) for y in a if y[0] != x[0]]) for x in a if x[0] in alive
     }

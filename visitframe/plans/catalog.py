@@ -1238,7 +1238,7 @@ def nearest_vector(spark, d):
     sets = {c: v.where(F.col("cohort") == c) for c in ("real", "test", "synthetic")}
     return union_all(
         [
-            privacy.nearest_vector(sets[c], sets["synthetic"]).withColumn("cohort", F.lit(c))
+            privacy.nearest_vector(sets[c], sets["synthetic"], exclude_self=c == "synthetic").withColumn("cohort", F.lit(c))
             for c in sets
         ]
     )
@@ -1335,8 +1335,8 @@ def nearest_record(spark, d):
     sets = {k: nearest.record_set(v) for k, v in _record_sets(spark, d).items()}
     return union_all(
         [
-            nearest.nearest_records(sets[k], sets["t"]).select(
-                F.lit(k).alias("part"), F.col("vid").alias("rid"), "dist"
+            nearest.each_record(sets[k], nearest.nearest_records(sets[k], sets["t"], exclude_self=k == "t")).select(
+                F.lit(k).alias("part"), "rid", "dist"
             )
             for k in sets
         ]
