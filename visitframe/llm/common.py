@@ -7,6 +7,7 @@ import types
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,29 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES)
             yield batch.slice(begin)
 
 
+def bitmap_of(df: DataFrame, column: str, bits: int) -> Column:
+    """A literal of ``bits`` / 64 longs in which each value of a long column sets a bit.
+
+    Its size does not depend on the data; it only keeps rows from a shuffle,
+    what it lets through is compared exactly afterwards.
+    """
+    place = F.pmod(F.col(column), F.lit(bits))
+    words = df.groupBy(F.floor(place / 64).cast("int").alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("v")
+    )
+    out = np.zeros(bits // 64, dtype=np.int64)
+    for row in words.collect():
+        out[row["w"]] = row["v"]
+    return F.lit(out)
+
+
+def in_bitmap(bitmap: Column, value: Column, bits: int) -> Column:
+    """Whether the bit of ``value`` is set: always so for values that made the bitmap."""
+    place = F.pmod(value, F.lit(bits).cast("long")).cast("int")
+    shifted = F.call_function("shiftrightunsigned", bitmap[F.shiftright(place, 6)], place.bitwiseAND(F.lit(63)))
+    return shifted.bitwiseAND(F.lit(1)) == 1
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for each row."""
     return F.transform(F.array(value), body)[0]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitframe.llm.common import process_cache, steps, written
+from visitframe.llm.common import bitmap_of, in_bitmap, process_cache, steps, written
 from visitframe.llm.components import components
 
 SHINGLE = 5
@@ -40,6 +40,7 @@ STEP = 32
 TOLERANCE = 1e-4
 #: Texts in a block of a bucket or component; shingles in a block of a component.
 BLOCK, BLOCK_SHINGLES = 512, 400_000
+FILTER_BITS = 1 << 22
 #: Words that a Python worker keeps.
 CACHED_WORDS = 500_000
 
@@ -317,7 +318,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     load = reps.join(candidates.withColumnRenamed("node", "rid"), "rid").select("rid", "root", "key", "size", "copies")
     total = load.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("n"))
     load = written(load.join(total, "root"), "members")
-    texts = rows.select("key", "text").join(load.select("key"), "key", "left_semi")
+    # Texts of other rows stay where they are, but for a few that share a bit.
+    hashed = F.xxhash64("key")
+    wanted = bitmap_of(load.select(hashed.alias("h")), "h", FILTER_BITS)
+    texts = rows.where(in_bitmap(wanted, hashed, FILTER_BITS)).select("key", "text").join(load.select("key"), "key", "left_semi")
     texts = texts.groupBy("key").agg(F.any_value("text").alias("text"))
     work = _blocked(load.join(texts, "key").select("root", "rid", "copies", "n", "text"), "root", "n")
     checked = work.groupBy("root", "i", "j").applyInArrow(_verify(threshold), "rid long, links long, root long")
