@@ -74,7 +74,7 @@ def shingle_sets(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.
     weights = _constants("word", size)
     ends = np.cumsum(lengths)
     sums = np.zeros(len(flat), dtype=np.uint64)
-    for k in range(size):
+    for k in range(min(size, len(flat))):
         sums[: len(flat) - k] += flat[k:] * weights[k]
     counts = np.where(lengths >= size, lengths - size + 1, np.minimum(lengths, 1))
     at = np.arange(counts.sum()) + np.repeat(ends - lengths - np.cumsum(counts) + counts, counts)
