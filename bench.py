@@ -13,6 +13,7 @@ QUERIES = [
     "code_prob_r2", "code_triples", "frequent_codes", "stay_codes", "trim", "discretized",
     "token_table", "roundtrip", "sequence_model", "ngram_4", "ngram_compare", "tfidf", "rouge",
     "corr_ffill", "features", "auroc", "vector_nnaa", "prdc",
+    "nearest_record", "record_nnaa", "code_statistics_r2", "identifiability",
 ]
 
 
