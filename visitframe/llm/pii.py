@@ -2,14 +2,14 @@
 
 Kinds: e-mail addresses, IPv4 addresses, payment cards (Luhn), phone numbers,
 and names after a title. An entity is its kind with a normal form (an address
-in lower case, the digits of a number, a name without its title), so it keeps
-one surrogate in all documents and notations (coreference). A surrogate is
+in lower case, the digits of a card, the last ten of a phone number, a name without its
+title), so it keeps one surrogate in all documents and notations (coreference). A surrogate is
 drawn from a keyed digest of kind, normal form and attempt:
 
 * address: same length pattern of letters and digits, at a reserved domain;
 * IPv4: an address of the private range 10.0.0.0/8;
 * card: same issuer digit and length, right check digit, written as found;
-* phone: same digits of the country and the 555 exchange, written as found;
+* phone: the same country code, an area code and the 555 exchange, written as found;
 * name: of the title's gender and of the letters' script.
 
 Collision check: surrogates of one kind must be distinct and none may be an
@@ -99,7 +99,8 @@ def normal_form(kind: Column, piece: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(piece))
         .when(kind == "ipv4", piece)
-        .when(kind.isin("card", "phone"), _digits(piece))
+        .when(kind == "card", _digits(piece))
+        .when(kind == "phone", F.right(_digits(piece), F.lit(10)))
         .otherwise(F.concat_ws(":", _gender(piece), script, F.lower(bare)))
     )
 
@@ -168,8 +169,10 @@ def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column
 
 def written_like(kind: Column, piece: Column, normal: Column) -> Column:
     """The surrogate in the notation of the found piece."""
-    digits = F.split(normal, "")
-    # Digit by digit into the places of the old ones.
+    # Digit by digit into the places of the old ones; a country code stays.
+    old = _digits(piece)
+    code = F.substring(old, F.lit(1), F.length(old) - F.length(normal))
+    digits = F.split(F.concat(code, normal), "")
     count = F.transform(F.split(piece, ""), lambda c: F.when(c.rlike("[0-9]"), 1).otherwise(0))
     places = F.transform(count, lambda c, i: F.aggregate(F.slice(count, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
     number = F.array_join(
@@ -230,7 +233,7 @@ def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
     pieces = parted.select("_row", F.posexplode("_parts").alias("n", "piece")).where(F.col("n") % 2 == 1)
     found = pieces.withColumn("kind", kind_of(F.col("piece"))).where(F.col("kind").isNotNull())
     found = written(found.withColumn("normal", normal_form(F.col("kind"), F.col("piece"))), "found")
-    table = surrogates(found)
+    table = surrogates(found, key)
     named = found.join(table, ["kind", "normal"]).select(
         "_row", F.struct("n", "kind", written_like(F.col("kind"), F.col("piece"), F.col("surrogate")).alias("new")).alias("e")
     )
