@@ -7,9 +7,10 @@ title), so it keeps one surrogate in all documents and notations (coreference).
 drawn from a keyed digest of kind, normal form and attempt:
 
 * address: same length pattern of letters and digits, at a reserved domain;
-* IPv4: an address of the private range 10.0.0.0/8;
+* IPv4: an address of the private range 10.0.0.0/8, after three clashes of the reserved 240.0.0.0/4;
 * card: same issuer digit and length, right check digit, written as found;
-* phone: the same country code, an area code and the 555 exchange, written as found;
+* phone: the same country code, an area code and the 555 exchange (after three clashes another
+  one), written as found;
 * name: of the title's gender and of the letters' script.
 
 Collision check: surrogates of one kind must be distinct and none may be an
@@ -144,13 +145,16 @@ def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column
     )
     # A short local part has few values of its pattern: the domain tells more of them apart.
     email = F.concat(alike, F.lit("@m"), F.lower(F.substring(digest, 60, 4)), F.lit(".example.org"))
-    ipv4 = F.concat_ws(".", F.lit("10"), _number(digest, 1, 256), _number(digest, 13, 256), _number(digest, 25, 256))
+    # The small ranges come first; who clashes there draws from a large one.
+    block = F.when(attempt < 3, F.lit(10)).otherwise(_number(digest, 37, 16) + 240)
+    ipv4 = F.concat_ws(".", block, _number(digest, 1, 256), _number(digest, 13, 256), _number(digest, 25, 256))
     size = F.length(normal)
     body = F.concat(F.substring(normal, 1, 1), F.substring(digits, F.lit(1), size - 2))
     rest = F.pmod(-luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
     card = F.concat(body, rest)
+    exchange = F.when(attempt < 3, F.lit("555")).otherwise((_number(digest, 37, 800) + 200).cast("string"))
     country = F.substring(normal, F.lit(1), F.greatest(size - 10, F.lit(0)))
-    phone = F.concat(country, F.lpad((_number(digest, 1, 800) + 200).cast("string"), 3, "0"), F.lit("555"), F.lpad(_number(digest, 13, 10**4).cast("string"), 4, "0"))
+    phone = F.concat(country, F.lpad((_number(digest, 1, 800) + 200).cast("string"), 3, "0"), exchange, F.lpad(_number(digest, 13, 10**4).cast("string"), 4, "0"))
     phone = F.substring(phone, F.lit(1), size)
     parts = F.split(normal, ":", 3)
     names = F.lit(None).cast("string")
