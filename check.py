@@ -32,7 +32,7 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "sf0.01"
     names = sys.argv[2:] or list(CATALOG)
     folder = f"/root/testdata/{sf}"
-    spark = local_session(8)
+    spark = local_session(int(__import__("os").environ.get("CHECK_CPUS", "8")))
     db = duckdb.connect()
     for t in TABLES:
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
