@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visitframe.llm.common import written
+from visitframe.llm.common import lowest_hashes, written
 
 SAMPLE = 4096
 PARTS = 32
@@ -144,7 +144,7 @@ def usable(vector: Column) -> Column:
 
 def fit(vectors: DataFrame, sample: int = SAMPLE, **options) -> Router | None:
     """Router from the ``sample`` rows of lowest hash (prepared rows); NULL-free input."""
-    by_hash = vectors.select("vector", F.xxhash64("vec_id", "vector").alias("_h")).orderBy("_h").limit(sample)
+    by_hash = lowest_hashes(vectors.select("vector", F.xxhash64("vec_id", "vector").alias("_h")), "_h", sample)
     rows = [np.array(r["vector"], dtype=np.float64) for r in by_hash.select("vector").collect()]
     if not rows:
         return None

@@ -38,9 +38,15 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def process_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, across its tasks."""
-    module = sys.modules.setdefault("visitframe_worker_cache", types.ModuleType("visitframe_worker_cache"))
-    return module.__dict__.setdefault(name, {})
+    """A dictionary that a Python worker keeps across its tasks.
+
+    A worker serves one operator at a time. When another one asks, what the
+    last one kept is dropped, so caches do not add up over the stages of a job.
+    """
+    held = sys.modules.setdefault("visitframe_worker_cache", types.ModuleType("visitframe_worker_cache")).__dict__
+    if held.get("owner") != name:
+        held["owner"], held["kept"] = name, {}
+    return held["kept"]
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -81,6 +87,17 @@ def in_bitmap(bitmap: Column, value: Column, bits: int) -> Column:
     return shifted.bitwiseAND(F.lit(1)) == 1
 
 
+def lowest_hashes(df: DataFrame, column: str, most: int) -> DataFrame:
+    """At most ``most`` rows: those of the lowest hash (modulo 2**40) in ``column``.
+
+    A bound that leaves about four times as many rows is set first, so the
+    ranking gathers a number of rows that does not grow with the data.
+    """
+    low = F.pmod(F.col(column), F.lit(1 << 40))
+    share = min(1.0, 4 * most / max(1, df.count()))
+    return df.where(low < int(share * (1 << 40))).orderBy(low, column).limit(most)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for each row."""
     return F.transform(F.array(value), body)[0]

@@ -30,7 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitframe.llm.common import written
+from visitframe.llm.common import lowest_hashes, written
 from visitframe.llm.decontam import words_of
 
 # Customary notices of each family, and words that carry no content.
@@ -190,8 +190,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templ
     )
     positive = notices.select("family", F.explode(cuts).alias("paragraph"))
     ordinary = _rows(spark, [(UNKNOWN, t) for t in ORDINARY], ("family", "paragraph"))
-    lowest = docs.select(id_col, text_col, F.xxhash64(id_col, text_col).alias("_h")).where(F.length(text_col) > 0).orderBy("_h").limit(sample)
-    corpus = paragraphs(lowest.drop("_h"), id_col, text_col).where(~F.col("paragraph").rlike(cue))
+    lowest = docs.select(id_col, text_col, F.xxhash64(id_col, text_col).alias("_h")).where(F.length(text_col) > 0)
+    corpus = paragraphs(lowest_hashes(lowest, "_h", sample).drop("_h"), id_col, text_col).where(~F.col("paragraph").rlike(cue))
     corpus = written(corpus.select(F.lit(UNKNOWN).alias("family"), "paragraph", (F.pmod(F.xxhash64("paragraph"), F.lit(2)) == 0).alias("held")), "negatives")
     data = positive.unionByName(ordinary).unionByName(corpus.where(~F.col("held")).drop("held"))
     families = sorted({*templates, UNKNOWN})
