@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from visitframe.llm.common import process_cache, steps
 #: The pre-tokenizer's pattern and special token, fixed values.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a Python worker keeps.
-CACHED_PIECES = 700_000
+CACHED_PIECES = 250_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -59,6 +60,7 @@ class Model:
         sizes = np.array([len(b) for b in raw], dtype=np.int64)
         self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
         self.raw_size, self.raw_start = sizes, np.cumsum(sizes) - sizes
+        self.words = regex.compile(PATTERN)
         self.head: dict[str, bytes] = {}
         self.tail: dict[str, bytes] = {}
 
@@ -108,12 +110,7 @@ class Model:
 
     def _learn(self, pieces: set[str], space: str, into: dict[str, bytes]) -> None:
         """Cut pieces into words and merge all words that are new together."""
-        cut = process_cache("bpe_pattern")
-        if "cut" not in cut:
-            import regex
-
-            cut["cut"] = regex.compile(PATTERN)
-        rows = [cut["cut"].findall(space + p) for p in pieces]
+        rows = [self.words.findall(space + p) for p in pieces]
         words = list(set().union(*rows))
         ids = dict(zip(words, self.merge([w.encode() for w in words])))
         into.update((p, b"".join([ids[w] for w in row])) for p, row in zip(pieces, rows))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from visitframe.session import stage_folder
 
 #: Text bytes that one step of a Python worker holds at a time.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

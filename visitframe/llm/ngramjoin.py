@@ -42,7 +42,7 @@ TOLERANCE = 1e-4
 BLOCK, BLOCK_SHINGLES = 512, 400_000
 FILTER_BITS = 1 << 22
 #: Words that a Python worker keeps.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 
 
 def _constants(name: str, count: int) -> np.ndarray:
