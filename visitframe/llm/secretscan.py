@@ -27,11 +27,12 @@ def either_case(word: str) -> str:
 
 
 NAMES = "|".join(either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
-#: Kind to (pattern, group whose length counts, its least length).
+#: Kind to (pattern of two groups, least length of the second). A shorter assignment is a match
+#: that uses up its text and is dropped; a shorter run of the others is none from the start.
 FORMS = {
     "assign": (rf"""((?:{NAMES})["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", 12),
-    "access": (r"()(AKIA[A-Z0-9]+)", 18),
-    "hex": (r"()([0-9a-f]+)", 16),
+    "access": (r"()(AKIA[A-Z0-9]{14,})", 18),
+    "hex": (r"()([0-9a-f]{16,})", 16),
 }
 #: Character class to (pattern of the whole candidate, least entropy in bits).
 CLASSES = {
