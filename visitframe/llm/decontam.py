@@ -139,6 +139,9 @@ def contaminated(
     """
     kept = items.select(F.col(item_col).alias("item_id"), shingle_hashes(F.col(item_text)).alias("_item"))
     kept = written(kept.where(F.size("_item") > 0), "items")
+    # No window needs fewer known hashes than the smallest item does.
+    smallest = kept.agg(F.min(F.size("_item"))).first()[0] or 1
+    fewest = max(1, int(np.ceil(smallest * threshold - 1e-9)))
     sizes = written(kept.select(F.explode("_item").alias("h"), F.size("_item").alias("n")).distinct(), "item-sizes")
     # One literal of a fixed size: the Java array goes along with the tasks.
     bitmap = F.lit(_filter_words(sizes.select("h").distinct(), filter_bits))
@@ -151,7 +154,7 @@ def contaminated(
 
     def touched(hashes: Column) -> Column:
         places = F.filter(F.transform(hashes, lambda h, i: F.when(held(h), i)), lambda i: i.isNotNull())
-        row = let(places, lambda p: F.when(F.size(p) > 0, F.array(F.struct(hashes.alias("hs"), p.alias("hits")))))
+        row = let(places, lambda p: F.when(F.size(p) >= fewest, F.array(F.struct(hashes.alias("hs"), p.alias("hits")))))
         return row
 
     base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
