@@ -109,13 +109,21 @@ def fit(
     """Profiles of the languages of ``docs``; None if there is no labelled text.
 
     Rows with a NULL label or a text without letters teach nothing. At most
-    ``sample`` rows per language are read as text: those whose hash of the id
-    and text is lowest, so the choice does not depend on the order of rows. What comes
-    to the driver is one profile of ``length`` n-grams per language.
+    ``sample`` rows per language teach: those whose hash of id and text is
+    lowest (modulo 2**40 below a bound, then by itself), so the choice does not depend on the
+    order of rows. What comes to the driver is one profile of ``length``
+    n-grams per language.
     """
     letters = F.col("_text").rlike(r"\p{L}")
     rows = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("_h"))
     rows = rows.where(F.col("lang").isNotNull() & letters)
+    # Hashes below a bound that leaves about four times the sample of each language: one number
+    # per language comes to the driver, and no task ranks more than those rows.
+    totals = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not totals:
+        return None
+    bound = F.create_map(*[F.lit(v) for r in totals for v in (r["lang"], min(1.0, 4 * sample / r["n"]))])
+    rows = rows.where(F.pmod("_h", F.lit(1 << 40)) / float(1 << 40) < bound[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("_h", "_text")
     chosen = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
 
