@@ -21,7 +21,6 @@ All on the JVM: DataFrame functions and Spark ML.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -127,13 +126,9 @@ def content_words(templates: dict[str, tuple[str, ...]]) -> list[str]:
     return sorted(found)
 
 
-def cue_pattern(words: list[str]) -> str:
-    """A regular expression for any of the words, grouped by their first letter."""
-    groups = defaultdict(list)
-    for w in words:
-        groups[w[0]].append(w[1:])
-    parts = [f"[{k}{k.upper()}](?i:{'|'.join(sorted(map(re.escape, v), reverse=True))})" for k, v in sorted(groups.items())]
-    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(parts)})(?![\p{{L}}\p{{N}}])"
+def has_cue(text: str, words: list[str]) -> Column:
+    """Whether one of the words stands in the text."""
+    return F.coalesce(F.arrays_overlap(words_of(F.col(text)), F.array(*[F.lit(w) for w in words])), F.lit(False))
 
 
 def _pairs(words: Column) -> Column:
@@ -177,7 +172,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templ
     """Fit and calibrate. Of the corpus at most ``sample`` documents are looked at."""
     templates = templates or TEMPLATES
     spark = docs.sparkSession
-    cue = cue_pattern(content_words(templates))
+    cues = content_words(templates)
     notices = _rows(spark, [(k, t) for k, v in templates.items() for t in v], ("family", "paragraph"))
     words = F.split("paragraph", " ")
     size = F.size(words)
@@ -191,7 +186,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templ
     positive = notices.select("family", F.explode(cuts).alias("paragraph"))
     ordinary = _rows(spark, [(UNKNOWN, t) for t in ORDINARY], ("family", "paragraph"))
     lowest = docs.select(id_col, text_col, F.xxhash64(id_col, text_col).alias("_h")).where(F.length(text_col) > 0)
-    corpus = paragraphs(lowest_hashes(lowest, "_h", sample).drop("_h"), id_col, text_col).where(~F.col("paragraph").rlike(cue))
+    corpus = paragraphs(lowest_hashes(lowest, "_h", sample).drop("_h"), id_col, text_col).where(~has_cue("paragraph", cues))
     corpus = written(corpus.select(F.lit(UNKNOWN).alias("family"), "paragraph", (F.pmod(F.xxhash64("paragraph"), F.lit(2)) == 0).alias("held")), "negatives")
     data = positive.unionByName(ordinary).unionByName(corpus.where(~F.col("held")).drop("held"))
     families = sorted({*templates, UNKNOWN})
@@ -215,9 +210,9 @@ def scan(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_c
     first. Rows with one id are scanned each on its own. No shuffle.
     """
     templates = templates or TEMPLATES
-    cue = cue_pattern(content_words(templates))
-    hit = docs.where(F.col(text_col).rlike(cue))
-    lines = paragraphs(hit, id_col, text_col).where(F.col("paragraph").rlike(cue))
+    cues = content_words(templates)
+    hit = docs.where(has_cue(text_col, cues))
+    lines = paragraphs(hit, id_col, text_col).where(has_cue("paragraph", cues))
     found = classifier.probabilities(lines).where(F.col("probability") >= classifier.least)
     known = F.array_distinct(_pairs(F.col("_words")))
     choices = []
