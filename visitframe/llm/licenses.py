@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from visitframe.llm.common import lowest_hashes, written
 from visitframe.llm.decontam import words_of
 
-# Customary notices of each family, and words that carry no content.
+# Customary notices of each family, and words that carry no content or are
+# everyday words of another language.
 TEMPLATES = {
     "MIT": (
         "Released under the MIT License.",
@@ -100,7 +101,7 @@ ORDINARY = (
     "The permission slip must be signed by a parent.",
     "They published a common code of conduct for the project.",
 )
-FUNCTION_WORDS = set("a an and any are as at be by for from in into is it its may no not of or our that the this to under use with who whose you your v".split())
+FUNCTION_WORDS = set("mit nc sa a an and any are as at be by for from in into is it its may no not of or our that the this to under use with who whose you your v".split())
 UNKNOWN = "unknown"
 #: Bound of the sample of the corpus: documents, those of the lowest hash.
 SAMPLE_DOCS = 400
