@@ -84,6 +84,18 @@ def test_surrogates_stay_distinct(spark):
     assert not {(r["kind"], r["surrogate"]) for r in out} & set(rows)
 
 
+def test_name_surrogates_do_not_run_out(spark):
+    """576 one-word names of one gender and script come first; more names than that need further parts."""
+    letters = "abcdefghij"
+    rows = [("name", f"{g}:{script}:{a}{b}{c}{d}") for g, script, most in (("m", "latin", 5), ("f", "cyrillic", 1)) for a in letters[:most] for b in letters for c in letters for d in letters]
+    out = pii.surrogates(spark.createDataFrame(rows, "kind string, normal string")).collect()
+    assert len(out) == len(rows) == len({r["surrogate"] for r in out})
+    for r in out:
+        gender, script, name = r["surrogate"].split(":")
+        assert [gender, script] == r["normal"].split(":")[:2]
+        assert re.fullmatch("[a-z-]+" if script == "latin" else "[а-яё-]+а", name)
+
+
 def test_pii_query_on_documents(spark):
     folder = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}

@@ -11,7 +11,8 @@ drawn from a keyed digest of kind, normal form and attempt:
 * card: same issuer digit and length, right check digit, written as found;
 * phone: the same country code, an area code and the 555 exchange (after three clashes another
   one), written as found;
-* name: of the title's gender and of the letters' script.
+* name: of the title's gender and of the letters' script (after three clashes a further family
+  part of syllables joins, one syllable more with each attempt, so names do not run out).
 
 Collision check: surrogates of one kind must be distinct and none may be an
 entity of the corpus. Losers of a clash draw again, the least normal form wins; so
@@ -44,6 +45,8 @@ FAMILY = {
     "latin": ("Arden", "Berg", "Costa", "Duval", "Ekman", "Fischer", "Garner", "Holm", "Ibarra", "Jansen", "Keller", "Lorente", "Moreau", "Novak", "Olsen", "Perrin", "Quist", "Romero", "Stein", "Torres", "Ullman", "Vidal", "Weber", "Zeller"),
     "cyrillic": ("Белов", "Волков", "Громов", "Дымов", "Зимин", "Котов", "Лавров", "Морозов", "Орлов", "Попов", "Серов", "Чернов"),
 }
+#: 16 consonants, 4 vowels and the ending of a drawn family part: six bits of the digest are a syllable.
+SYLLABLES = {"latin": ("bcdfghklmnprstvz", "aeio", "n"), "cyrillic": ("бвгджзклмнпрстфх", "аеио", "в")}
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}+"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"
@@ -120,6 +123,23 @@ def _pick(names: tuple[str, ...], digest: Column, place: int) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (_number(digest, place, len(names)) + 1).cast("int"))
 
 
+def _syllables(script: str, digest: Column, place: int, count: Column) -> Column:
+    """``count`` syllables (8 at most) from the 48 bits at ``place``, then the ending."""
+    consonants, vowels, ending = SYLLABLES[script]
+    number = _number(digest, place, 1 << 48)
+    parts = [
+        F.when(
+            F.lit(k) < count,
+            F.concat(
+                F.substring(F.lit(consonants), (F.shiftright(number, 6 * k).bitwiseAND(F.lit(15)) + 1).cast("int"), F.lit(1)),
+                F.substring(F.lit(vowels), (F.shiftright(number, 6 * k + 4).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)),
+            ),
+        ).otherwise("")
+        for k in range(8)
+    ]
+    return F.concat(*parts, F.lit(ending))
+
+
 def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
     """The surrogate's normal form."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, normal, attempt.cast("string"), F.lit(key)), 256)
@@ -162,7 +182,8 @@ def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column
         family = FAMILY[script]
         first = _pick(given, digest, 1)
         ending = F.when((F.lit(gender) == "f") & (F.lit(script) == "cyrillic"), "а").otherwise("")
-        last = F.concat(_pick(family, digest, 13), F.lit("-"), _pick(family, digest, 25), ending)
+        further = F.when(attempt < 3, "").otherwise(F.concat(F.lit("-"), _syllables(script, digest, 37, attempt - 1)))
+        last = F.concat(_pick(family, digest, 13), F.lit("-"), _pick(family, digest, 25), further, ending)
         one = F.when(F.instr(parts[2], " ") > 0, F.concat_ws(" ", first, last)).otherwise(last)
         names = F.when((parts[0] == gender) & (parts[1] == script), one).otherwise(names)
     full = F.concat_ws(":", parts[0], parts[1], F.lower(names))
