@@ -1,6 +1,7 @@
 """License paragraphs, PII surrogates and the pipeline."""
 
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,31 @@ def test_every_template_is_its_own_family(spark, trained):
     assert right >= len(rows) - 2
 
 
+GPL = (
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+    "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+)
+BSD = (
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n"
+    "1. Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer."
+)
+ISC = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+
+
+def test_wrapped_notices(spark, trained):
+    want = [(k, "\n".join(textwrap.wrap(t, 30))) for k, v in licenses.TEMPLATES.items() for t in v] + [("GPL-3.0", GPL), ("BSD", BSD), ("ISC", ISC)]
+    rows = [f"Some prose.\n\n# {t.replace(chr(10), chr(10) + '# ')}\n#\nOther prose.\nAnd more." for _, t in want]
+    rows.append(f"{GPL}\n\n{BSD}\nReleased under the MIT License.\n \n{ISC}")
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {}
+    for r in licenses.scan(docs, trained).collect():
+        got.setdefault(r["doc_id"], []).append((r["paragraph"], r["family"]))
+    wrong = {i: (k, got.get(i)) for i, (k, _) in enumerate(want) if [f for _, f in got.get(i, [])] != [k]}
+    assert not [i for i in wrong if i >= len(want) - 3], wrong
+    assert len(wrong) <= 2, wrong
+    assert sorted(got[len(want)]) == [(0, "GPL-3.0"), (5, "BSD"), (10, "MIT"), (12, "ISC")]
+
+
 def test_license_query_on_documents(spark):
     folder = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}

@@ -10,6 +10,10 @@
 4. A prediction counts if most word pairs of one of the family's templates
    stand in the paragraph.
 
+A paragraph is a single line, or the lines up to a blank one (without letter or
+digit), since notices are often wrapped. A line that is a hit by itself is taken
+out of its run, so it is told once.
+
 Only paragraphs with a content word of a template are classified. That loses
 nothing: in each template fewer than CONFIRM of the word pairs are free of
 such words, so no other paragraph could be confirmed (checked when the
@@ -20,6 +24,7 @@ All on the JVM: DataFrame functions and Spark ML.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -29,7 +34,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitframe.llm.common import lowest_hashes, written
+from visitframe.llm.common import let, lowest_hashes, written
 from visitframe.llm.decontam import words_of
 
 # Customary notices of each family, and words that carry no content or are
@@ -143,14 +148,64 @@ def _rows(spark: SparkSession, rows: list[tuple[str, str]], names: tuple[str, st
 
 
 def _features(df: DataFrame, text: str = "paragraph") -> DataFrame:
-    words = df.withColumn("_words", words_of(F.col(text)))
-    return words.withColumn("_terms", F.array_distinct(F.concat("_words", _pairs(F.col("_words")))))
+    return df.withColumn("_terms", let(words_of(F.col(text)), lambda w: F.array_distinct(F.concat(w, _pairs(w)))))
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, paragraph): the lines of every text, numbered from 0."""
+    """(doc_id, _row, n, run, paragraph): the lines of every text, numbered from 0, and the runs
+    of several lines up to a blank one, under the number of their first line."""
+
+    def runs(lines: Column, blank: Column) -> Column:
+        # Blank marks stand around the lines: line i has mark i + 1.
+        at = F.sequence(F.lit(0), F.size(lines) - 1)
+        first = F.filter(at, lambda i: ~F.get(blank, i + 1) & F.get(blank, i))
+        last = F.filter(at, lambda i: ~F.get(blank, i + 1) & F.get(blank, i + 2))
+        ends = F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] < x["b"])
+        return F.transform(
+            ends,
+            lambda x: F.struct(x["a"].alias("n"), F.lit(True).alias("run"), F.array_join(F.slice(lines, x["a"] + 1, x["b"] - x["a"] + 1), "\n").alias("paragraph")),
+        )
+
+    def units(lines: Column) -> Column:
+        single = F.transform(lines, lambda x, i: F.struct(i.alias("n"), F.lit(False).alias("run"), x.alias("paragraph")))
+        edge = F.array(F.lit(True))
+        blank = F.concat(edge, F.transform(lines, lambda x: ~x.rlike(r"[\p{L}\p{N}]")), edge)
+        return F.concat(single, let(blank, lambda b: runs(lines, b)))
+
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\R")
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("n", "paragraph"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), let(lines, units).alias("_units"))
+    return rows.select("doc_id", "_row", F.inline("_units"))
+
+
+def confirmed(df: DataFrame, templates: dict[str, tuple[str, ...]], text: str = "paragraph") -> DataFrame:
+    """``_shares``: similarity and template for each template of which CONFIRM of the word pairs stand in the text; empty if none."""
+    wanted = {}
+    for family, notices in templates.items():
+        for k, notice in enumerate(notices):
+            words = _words(notice)
+            wanted[family, k] = sorted({" ".join(p) for p in zip(words, words[1:])})
+    # Few paragraphs hold as many pairs of all templates together as the smallest needs.
+    least = min(math.ceil(CONFIRM * len(v)) for v in wanted.values())
+    known = F.array(*[F.lit(p) for p in sorted({p for v in wanted.values() for p in v})])
+
+    def shares(own: Column) -> Column:
+        each = [
+            F.struct(
+                (F.size(F.array_intersect(own, F.array(*[F.lit(p) for p in v]))) / F.lit(len(v))).alias("similarity"),
+                F.lit(-k).alias("_first"), F.lit(f"{family}/{k}").alias("template"), F.lit(family).alias("family"),
+            )
+            for (family, k), v in wanted.items()
+        ]
+        every = F.filter(F.array(*each), lambda x: x["similarity"] >= CONFIRM)
+        return F.when(F.size(own) >= least, every).otherwise(F.slice(every, 1, 0))
+
+    own = let(words_of(F.col(text)), lambda w: F.array_intersect(_pairs(w), known))
+    return df.withColumn("_shares", let(own, shares))
+
+
+def candidates(docs: DataFrame, id_col: str, text_col: str, cues: list[str]) -> DataFrame:
+    """The paragraphs with a cue word."""
+    return paragraphs(docs.where(has_cue(text_col, cues)), id_col, text_col).where(has_cue("paragraph", cues))
 
 
 @dataclass
@@ -166,7 +221,7 @@ class Classifier:
         p = vector_to_array("probability")
         ranked = F.array_max(F.array(*[F.struct(p[k].alias("p"), F.lit(name).alias("family")) for k, name in enumerate(self.families) if name != UNKNOWN]))
         out = scored.withColumn("_best", ranked)
-        return out.select(*df.columns, "_words", F.col("_best.family").alias("family"), F.col("_best.p").alias("probability"))
+        return out.select(*df.columns, F.col("_best.family").alias("family"), F.col("_best.p").alias("probability"))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, sample: int = SAMPLE_DOCS) -> Classifier:
@@ -187,7 +242,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templ
     positive = notices.select("family", F.explode(cuts).alias("paragraph"))
     ordinary = _rows(spark, [(UNKNOWN, t) for t in ORDINARY], ("family", "paragraph"))
     lowest = docs.select(id_col, text_col, F.xxhash64(id_col, text_col).alias("_h")).where(F.length(text_col) > 0)
-    corpus = paragraphs(lowest_hashes(lowest, "_h", sample).drop("_h"), id_col, text_col).where(~has_cue("paragraph", cues))
+    corpus = paragraphs(lowest_hashes(lowest, "_h", sample).drop("_h"), id_col, text_col).where(~F.col("run") & ~has_cue("paragraph", cues))
     corpus = written(corpus.select(F.lit(UNKNOWN).alias("family"), "paragraph", (F.pmod(F.xxhash64("paragraph"), F.lit(2)) == 0).alias("held")), "negatives")
     data = positive.unionByName(ordinary).unionByName(corpus.where(~F.col("held")).drop("held"))
     families = sorted({*templates, UNKNOWN})
@@ -196,7 +251,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templ
     terms = CountVectorizer(inputCol="_terms", outputCol="features", binary=True, vocabSize=20_000).fit(data.where(F.col("family") != UNKNOWN))
     fit = LogisticRegression(regParam=0.001, elasticNetParam=1.0, maxIter=60, family="multinomial").fit(terms.transform(data))
     out = Classifier(terms, fit, families, 0.5)
-    held = out.probabilities(corpus.where("held").unionByName(ordinary.withColumn("held", F.lit(True))))
+    held = out.probabilities(corpus.where("held").drop("held").unionByName(ordinary))
     reached = held.agg(F.percentile("probability", 1 - FALSE_SHARE)).first()[0]
     out.least = max(0.5, float(reached or 0.0))
     return out
@@ -205,27 +260,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templ
 def scan(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(id, paragraph, family, probability, template, similarity): license paragraphs.
 
-    One row per paragraph (line, numbered from 0) whose family is predicted
-    and confirmed; other paragraphs give none, nor do NULL and empty texts. Of equally
+    One row per paragraph (line or run of lines, by its first line, numbered from 0) whose
+    family is predicted and confirmed; other paragraphs give none, nor do NULL and empty texts.
+    A run is judged without the lines that are hits themselves. Of equally
     probable families the last in the alphabet is taken, of equally similar templates the
-    first. Rows with one id are scanned each on its own. No shuffle.
+    first. Rows with one id are scanned each on its own. Only confirmed paragraphs are shuffled.
     """
     templates = templates or TEMPLATES
     cues = content_words(templates)
-    hit = docs.where(has_cue(text_col, cues))
-    lines = paragraphs(hit, id_col, text_col).where(has_cue("paragraph", cues))
-    found = classifier.probabilities(lines).where(F.col("probability") >= classifier.least)
-    known = F.array_distinct(_pairs(F.col("_words")))
-    choices = []
-    for family, notices in templates.items():
-        for k, notice in enumerate(notices):
-            words = _words(notice)
-            pairs = sorted(set(zip(words, words[1:])))
-            want = F.array(*[F.lit(" ".join(p)) for p in pairs])
-            share = F.size(F.array_intersect(known, want)) / F.lit(len(pairs))
-            choices.append(
-                F.when(F.col("family") == family, F.struct(share.alias("similarity"), F.lit(-k).alias("_first"), F.lit(f"{family}/{k}").alias("template")))
-            )
-    out = found.withColumn("_t", F.array_max(F.array(*choices)))
-    out = out.where(F.col("_t.similarity") >= CONFIRM)
+
+    def told(df: DataFrame) -> DataFrame:
+        found = classifier.probabilities(df).where(F.col("probability") >= classifier.least)
+        own = F.filter("_shares", lambda x: x["family"] == F.col("family"))
+        return found.withColumn("_t", F.array_max(own)).where(F.col("_t").isNotNull())
+
+    # Few are confirmed; only those are classified.
+    kept = written(confirmed(candidates(docs, id_col, text_col, cues), templates).where(F.size("_shares") > 0), "confirmed")
+    lines = written(told(kept.where(~F.col("run"))), "lines")
+    hits = lines.groupBy("_row").agg(F.collect_set("n").alias("_hits"))
+    runs = kept.where("run").drop("_shares").join(hits, "_row", "left")
+    # A word of no template stands for a line taken out.
+    rest = F.transform(F.split("paragraph", "\n"), lambda x, i: F.when(F.array_contains("_hits", i + F.col("n")), "x0x0x").otherwise(x))
+    runs = runs.withColumn("paragraph", F.when(F.col("_hits").isNull(), F.col("paragraph")).otherwise(F.array_join(rest, "\n"))).drop("_hits")
+    out = lines.unionByName(told(confirmed(runs, templates).where(F.size("_shares") > 0)))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("paragraph"), "family", "probability", "_t.template", "_t.similarity")
