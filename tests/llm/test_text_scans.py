@@ -63,6 +63,17 @@ def test_wrapped_notices(spark, trained):
     assert sorted(got[len(want)]) == [(0, "GPL-3.0"), (5, "BSD"), (10, "MIT"), (12, "ISC")]
 
 
+def test_unknown_is_calibrated_on_what_is_scanned(spark):
+    """Corpus lines with cue words raise the least probability; before, they were left out."""
+    lines = [f"It is licensed and released under the version {i} of a public permission." for i in range(40)]
+    docs = spark.createDataFrame([(i, t + "\nword") for i, t in enumerate(lines)], "doc_id long, text string")
+    cues = licenses.content_words(licenses.TEMPLATES)
+    seen = licenses.candidates(docs, "doc_id", "text", cues)
+    assert seen.count() == 80 and licenses.confirmed(seen, licenses.TEMPLATES).where(F.size("_shares") > 0).count() == 0
+    model = licenses.train(docs)
+    assert model.probabilities(seen).where(F.col("probability") >= model.least).count() <= 1
+
+
 def test_license_query_on_documents(spark):
     folder = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}

@@ -1,12 +1,13 @@
 """License scan: a trained paragraph classifier, confirmed by templates.
 
 1. Training paragraphs: notices of each family below, whole and cut; as class
-   ``unknown`` ordinary sentences with license words, and paragraphs of a bounded
-   sample of the corpus.
+   ``unknown`` ordinary sentences with license words, and the paragraphs of a bounded
+   sample of the corpus that scan() would look at and no template confirms.
 2. Features are the words and word pairs of a paragraph, present or not. A
    multinomial logistic regression with an L1 penalty keeps few of them.
 3. ``unknown`` is calibrated: a family needs at least the probability that
-   no more than ``FALSE_SHARE`` of held-out corpus paragraphs reach.
+   no more than ``FALSE_SHARE`` of held-out sentences and paragraphs of that kind
+   reach. Half of each kind is held out and teaches nothing.
 4. A prediction counts if most word pairs of one of the family's templates
    stand in the paragraph.
 
@@ -240,18 +241,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templ
         F.concat(F.col("paragraph"), F.lit(" See the file for details.")),
     )
     positive = notices.select("family", F.explode(cuts).alias("paragraph"))
-    ordinary = _rows(spark, [(UNKNOWN, t) for t in ORDINARY], ("family", "paragraph"))
+    # Every other sentence is held out.
+    ordinary = [_rows(spark, [(UNKNOWN, t) for t in half], ("family", "paragraph")) for half in (ORDINARY[::2], ORDINARY[1::2])]
     lowest = docs.select(id_col, text_col, F.xxhash64(id_col, text_col).alias("_h")).where(F.length(text_col) > 0)
-    corpus = paragraphs(lowest_hashes(lowest, "_h", sample).drop("_h"), id_col, text_col).where(~F.col("run") & ~has_cue("paragraph", cues))
-    corpus = written(corpus.select(F.lit(UNKNOWN).alias("family"), "paragraph", (F.pmod(F.xxhash64("paragraph"), F.lit(2)) == 0).alias("held")), "negatives")
-    data = positive.unionByName(ordinary).unionByName(corpus.where(~F.col("held")).drop("held"))
+    negative = candidates(lowest_hashes(lowest, "_h", sample).drop("_h"), id_col, text_col, cues)
+    negative = confirmed(negative, templates).where(F.size("_shares") == 0)
+    corpus = written(negative.select(F.lit(UNKNOWN).alias("family"), "paragraph", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("held")), "negatives")
+    data = positive.unionByName(ordinary[0]).unionByName(corpus.where(~F.col("held")).drop("held"))
     families = sorted({*templates, UNKNOWN})
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
     data = _features(written(data.withColumn("label", label), "training"))
     terms = CountVectorizer(inputCol="_terms", outputCol="features", binary=True, vocabSize=20_000).fit(data.where(F.col("family") != UNKNOWN))
     fit = LogisticRegression(regParam=0.001, elasticNetParam=1.0, maxIter=60, family="multinomial").fit(terms.transform(data))
     out = Classifier(terms, fit, families, 0.5)
-    held = out.probabilities(corpus.where("held").drop("held").unionByName(ordinary))
+    held = out.probabilities(corpus.where("held").drop("held").unionByName(ordinary[1]))
     reached = held.agg(F.percentile("probability", 1 - FALSE_SHARE)).first()[0]
     out.least = max(0.5, float(reached or 0.0))
     return out
