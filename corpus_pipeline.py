@@ -10,10 +10,22 @@ from visitframe.llm import bpe, decontam, langid, ngramjoin, secretscan
 from visitframe.llm.common import table, written
 from visitframe.llm.queries import BYTE_BPE, held_out
 
-#: A text with a lower score is in no learned language.
+#: Of the labelled texts that taught nothing and are told rightly, so small a share may score lower
+#: than the quantile; the margin leaves room for short and odd texts.
+LOW_SHARE, MARGIN = 0.01, 0.65
+#: The least score if no labelled text is held out.
 MIN_SCORE = 0.1
 
 
+def least_score(docs: DataFrame, ranker: langid.Ranker) -> float:
+    """A text with a lower score is in no learned language: MARGIN times the LOW_SHARE
+    quantile of the held-out labelled texts' scores. One number comes to the driver."""
+    held = docs.where(held_out() & F.col("lang").isNotNull()).select("lang", "text")
+    right = langid.predict(held, ranker, keep=("lang",)).where(F.col("lang") == F.col("lang_pred"))
+    low = right.agg(F.percentile_approx("score", LOW_SHARE, 10_000)).first()[0]
+    return MIN_SCORE if low is None else max(MIN_SCORE, MARGIN * low)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and texts unlike every learned language, go.
 
@@ -24,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if ranker is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.predict(docs, ranker, keep=tuple(docs.columns))
-    known = found.where((F.col("lang_pred") != langid.NO_LETTER) & (F.col("score") >= MIN_SCORE))
+    known = found.where((F.col("lang_pred") != langid.NO_LETTER) & (F.col("score") >= least_score(docs, ranker)))
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -60,3 +60,26 @@ def test_odd_rows(spark):
     assert langid.fit(none) is None
     assert langid.predict(docs, None).where("lang_pred != 'und'").count() == 0
     assert langid.predict(none, ranker).count() == 0
+
+
+def test_pipeline_rejects_unlearned_languages_and_gibberish(spark):
+    import corpus_pipeline
+
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van.", "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền.",
+        "xkqz vwpj ghtr bnmz qwrt plkj zxcv mnbv jhgf trwq ppqz kkxw vvbn", "SGVsbG8gd29ybGQhIFRoaXMgaXMgYSB0ZXN0IG9mIGJhc2U2NCBlbmNvZGluZyBmb3IgdGhlIGZpbHRlcg",
+    ]
+    clean = [
+        "The weather was fine and they walked to the river before dinner.", "Das Wetter war schön und sie gingen vor dem Essen an den Fluss.",
+        "Le temps était beau et ils sont allés à la rivière avant le dîner.", "El tiempo era bueno y caminaron hasta el río antes de la cena.",
+    ]
+    extra = [(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(foreign + clean)]
+    docs = base.unionByName(spark.createDataFrame(extra, base.schema))
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, docs, "").select("doc_id", "lang").collect()}
+    assert [kept.get(10**6 + i) for i in range(len(extra))] == [None] * len(foreign) + ["en", "de", "fr", "es"]
+    lost = {r["doc_id"] for r in base.where("lang is not null").collect()} - set(kept)
+    assert not lost
