@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitframe.llm import ann, bpe, decontam, langid, licenses, ngramjoin, pii, secretscan, tokenfile, urlfilter
+from visitframe.llm import ann, bpe, decontam, langid, licenses, ngramjoin, pii, secretscan, tiktok, tokenfile, urlfilter
 from visitframe.llm.common import fresh_path, table
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +90,20 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents"))
 
 
+def op12_tiktoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
+    ids = tiktok.encode(table(spark, sf_dir, "documents"), path, pattern)
+    return tiktok.decode(ids, path, pattern).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_file, op2_bpe, op3_language_id, op4_secret_scan, op5_url_filter, op6_decontamination,
         op7_nearest, op8_license_scan, op9_ngram_join, op10_pii_surrogates,
+        op12_tiktoken,
     )
 }
 
