@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitframe.llm import ann, bpe, decontam, langid, licenses, ngramjoin, pii, secretscan, tiktok, tokenfile, urlfilter
+from visitframe.llm import ann, bpe, decontam, langid, licenses, ngramjoin, pii, secretscan, tiktok, tokenfile, urlfilter, variants
 from visitframe.llm.common import fresh_path, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -90,6 +90,12 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = variants.runs(table(spark, sf_dir, "documents"))
+    words = found.select(variants.misspelt(F.col("doc"), F.col("run")).alias("word"))
+    return variants.group(variants.word_counts(words))
+
+
 def op12_tiktoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
     ids = tiktok.encode(table(spark, sf_dir, "documents"), path, pattern)
@@ -103,7 +109,7 @@ QUERIES = {
     for f in (
         op1_token_file, op2_bpe, op3_language_id, op4_secret_scan, op5_url_filter, op6_decontamination,
         op7_nearest, op8_license_scan, op9_ngram_join, op10_pii_surrogates,
-        op12_tiktoken,
+        op11_spelling_variants, op12_tiktoken,
     )
 }
 
