@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitframe.llm import ann, bpe, decontam, langid, licenses, ngramjoin, pii, secretscan, tiktok, tokenfile, urlfilter, variants
+from visitframe.llm import ann, bpe, convrepair, decontam, langid, licenses, ngramjoin, pii, secretscan, tiktok, tokenfile, urlfilter, variants
 from visitframe.llm.common import fresh_path, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -104,12 +104,18 @@ def op12_tiktoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    edits = convrepair.repair(convrepair.damaged(conversations))
+    return convrepair.summary(edits, conversations)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_file, op2_bpe, op3_language_id, op4_secret_scan, op5_url_filter, op6_decontamination,
         op7_nearest, op8_license_scan, op9_ngram_join, op10_pii_surrogates,
-        op11_spelling_variants, op12_tiktoken,
+        op11_spelling_variants, op12_tiktoken, op13_conversation_repair,
     )
 }
 
