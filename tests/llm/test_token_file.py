@@ -61,6 +61,19 @@ def test_token_file_holds_every_document_in_order(spark, docs, tmp_path):
     assert not left
 
 
+def test_words_through_pieces_have_the_tokenizers_ids():
+    rng = random.Random(11)
+    bits = [chr(c) for c in range(1, 0x250) if not chr(c).isspace()] + ["'s", "'LL", "<|endoftext|>", "Σ", "é", "İ", "the", "ING", "12"]
+    words = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(6000)] + bits
+    encoder = tokenfile.WordEncoder(WORD)
+    encoder.words.most = encoder.pieces.most = 500  # generations turn
+    whole = library(WORD)
+    for begin in range(0, len(words), 300):
+        part = words[begin : begin + 300] + words[:50]
+        for word, ids in zip(part, encoder.encode(part, None)):
+            assert ids.tolist() == whole.encode(word, add_special_tokens=False).ids, repr(word)
+
+
 def test_random_access(spark, docs, tmp_path):
     path = f"{tmp_path}/{uuid.uuid4().hex}"
     unique = docs.where("doc_id > 20")

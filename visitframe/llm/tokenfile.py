@@ -26,6 +26,7 @@ per level; no block is decoded.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from visitframe.llm.bpe import byte_letters
 from visitframe.llm.common import process_cache, steps
 
 BLOCK_BITS = 512
 #: A segment is closed at the first end of a document beyond so many tokens.
 SEGMENT_TOKENS = 1 << 18
-#: Encoded words that a Python worker keeps.
-CACHED_WORDS = 500_000
+#: Encoded words and pieces of words in a generation that a Python worker keeps; there are two.
+CACHED_WORDS, CACHED_PIECES = 350_000, 200_000
 #: Python splits on these four characters, the tokenizer does not.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 MARK = "\x02"
@@ -103,16 +105,49 @@ def dac_access(levels: list[dict[str, bytes]], i: int) -> int:
     return value
 
 
+class Kept:
+    """A dictionary of two generations: once the young one is full, it becomes the old one.
+
+    What is asked for again comes back from the old generation, so common
+    entries stay and rare ones go; at most twice ``most`` entries are held.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys that are not known; those of the old generation come back into the young one."""
+        old, new, again = self.old, [], {}
+        for key in keys.difference(self.young):
+            if key in old:
+                again[key] = old[key]
+            else:
+                new.append(key)
+        self.young.update(again)
+        return new
+
+
 class WordEncoder:
-    """Encodes with the tokenizers library, each word between spaces once.
+    """Encodes with the tokenizers library, each word and each piece of a word once.
 
     The tokenizer's pattern never spans white space and its normalizer works
     on each character or composed character alone, so a text's ids are those
-    of its words in a row. Texts for which Python's notion of white space is
-    wider than the tokenizer's go through the library whole.
+    of its words in a row. A word of characters below U+0250 is cut into the
+    pattern's pieces here (these characters are composed, and their lower case
+    depends on no neighbour), and only new pieces go to the library's model.
+    Other words, and those that may hold a special token, go through the whole
+    tokenizer, as do texts for which Python's notion of white space is wider
+    than the tokenizer's.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -121,7 +156,32 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.words, self.pieces = Kept(CACHED_WORDS), Kept(CACHED_PIECES)
+        self.letters = dict(enumerate(byte_letters()))
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.special = tuple(t["content"] for t in spec["added_tokens"])
+        self.plain, self.latin = self._patterns(spec)
+
+    @staticmethod
+    def _patterns(spec: dict):
+        """The tokenizer's own pattern, for ASCII and for Latin words; None if its steps are others."""
+        import re
+
+        import regex
+
+        normal, before = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+        steps_ = [n["type"] for n in normal.get("normalizers", [])]
+        cuts = before.get("pretokenizers", [])
+        if steps_ != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"]:
+            return None, None
+        pattern = cuts[0]["pattern"].get("Regex")
+        if not pattern or not cuts[0].get("invert") or cuts[1].get("add_prefix_space") or cuts[1].get("use_regex"):
+            return None, None
+        latin = regex.compile(pattern)
+        ascii_only = pattern.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}\p{N}", "a-z0-9")
+        return re.compile(ascii_only) if r"\p" not in ascii_only else latin, latin
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -134,14 +194,39 @@ class WordEncoder:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words in long rows with a mark between them.
+    def _piece(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, words: list[str], special: bool) -> None:
+        """Ids of new words: from their pieces, or from the whole tokenizer. ``special``: some may hold a special token."""
+        if special:
+            rest = [w for w in words if any(s in w for s in self.special)]
+            words = set(words).difference(rest)
+        else:
+            rest = []
+        plain = [w for w in words if w.isascii()] if self.plain else []
+        latin = [w for w in words if not w.isascii() and max(w) < "\u0250"] if self.latin else []
+        rest += set(words).difference(plain, latin)
+        cut = dict(zip(plain, [self.plain.findall(w.lower()) for w in plain]))
+        cut.update((w, self.latin.findall(w.lower())) for w in latin)
+        self.pieces.turn()
+        new = self.pieces.missing(set().union(*cut.values()))
+        known = self.pieces.young
+        known.update((p, self._piece(p)) for p in new)
+        self.words.young.update((w, b"".join(map(known.__getitem__, row))) for w, row in cut.items())
+        self._learn_whole(rest)
+
+    def _learn_whole(self, words: list[str]) -> None:
+        """Encode words in long rows with a mark between them.
 
         The mark stands between spaces, so it is a word of its own there and
         its id falls nowhere else.
         """
+        known = self.words.young
         plain = [w for w in words if MARK not in w]
-        self.known.update((w, self._whole(w)) for w in words if MARK in w)
+        known.update((w, self._whole(w)) for w in words if MARK in w)
         mark = self._whole(MARK)
         for begin in range(0, len(plain), 2000):
             part = plain[begin : begin + 2000]
@@ -149,18 +234,18 @@ class WordEncoder:
             ids = np.frombuffer(raw, dtype="<u4")
             cuts = np.flatnonzero(ids == np.frombuffer(mark, dtype="<u4")[0])
             if len(mark) != 4 or len(cuts) != len(part) - 1:  # a vocabulary without that mark
-                self.known.update((w, self._whole(w)) for w in part)
+                known.update((w, self._whole(w)) for w in part)
                 continue
             starts = [0, *(cuts + 1).tolist()]
             ends = [*cuts.tolist(), len(ids)]
-            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, starts, ends))
+            known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, starts, ends))
 
     def encode(self, texts: list[str], end_id: int | None) -> list[np.ndarray]:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known = self.known
+        self.words.turn()
         words = [None if any(c in t for c in NOT_SPACE) else t.split() for t in texts]
-        self._learn(list(set().union(*filter(None, words)).difference(known)))
+        special = any(s in t for s in self.special for t in texts)
+        self._learn(self.words.missing(set().union(*filter(None, words))), special)
+        known = self.words.young
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         rows = [self._whole(t) if row is None else b"".join(map(known.__getitem__, row)) for t, row in zip(texts, words)]
         return [np.frombuffer(row + end, dtype="<u4") for row in rows]
