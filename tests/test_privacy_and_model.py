@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from visitframe.operators import nearest, privacy, seqmodel
+from visitframe.operators import nearest, privacy, records, seqmodel
 from visitframe.sources import io
 
 
@@ -60,8 +60,8 @@ def test_nearest_far_from_the_origin(spark):
 
 def test_equal_records_all_get_a_distance(spark):
     rows = [record(i, [0, 1, 0], [[1, 2], [3]]) for i in range(3)] + [record(9, [0, 0, 0], [[1]])]
-    s = nearest.record_set(spark.createDataFrame(rows, SCHEMA))
-    got = {r["rid"]: r["dist"] for r in nearest.each_record(s, nearest.nearest_records(s, s, exclude_self=True)).collect()}
+    s = long_form(spark, {"a": rows})
+    got = {r["rid"]: r["dist"] for r in records.each_record(s, records.nearest_records(s, s)).collect()}
     assert got == {r[0]: min([100] + [distance(r, y) for y in rows if y[0] != r[0]]) for r in rows}
 
 
@@ -82,44 +82,84 @@ def distance(a, b):
     return d - 2 * len(set(a[3]) & set(b[3]))
 
 
-SCHEMA = "rid long, labels array<int>, sizes array<long>, features array<string>"
+def long_form(spark, parts):
+    """The tables of records (rid, labels, sizes, features) by part."""
+    codes, visits, labels = [], [], []
+    for part, rows in parts.items():
+        for rid, label, sizes, features in rows:
+            labels.append((part, rid, label))
+            for i, size in enumerate(sizes):
+                visits.append((part, rid, i))
+                own = [f.split(":")[1] for f in features if f.startswith(f"{i}:")]
+                codes += [(part, rid, i, c) for c in own + own[:1] * (size - len(own))]
+    return records.record_set(
+        spark.createDataFrame(codes, "part string, rid long, visit_idx int, code string"),
+        spark.createDataFrame(visits, "part string, rid long, visit_idx int"),
+        spark.createDataFrame(labels, "part string, rid long, labels array<int>"),
+    )
 
 
 def test_record_distance(spark):
     a = record(1, [1, 0], [[1, 2, 3], [4]])
     b = record(2, [0, 0], [[2, 3, 5]])
     c, e = record(3, [0, 0], [[1, 1, 2]]), record(4, [0, 0], [[1, 2]])
-    left = spark.createDataFrame([(0, *a), (1, *b), (2, *c)], "pair int, " + SCHEMA)
-    right = spark.createDataFrame([(0, *b), (1, *a), (2, *e)], "pair int, " + SCHEMA)
-    got = {r["rid_a"]: r["dist"] for r in privacy.record_distance(left, right).collect()}
+    s = long_form(spark, {"x": [a, b, c, e]})
+    ids = [(("x", 1), ("x", 2)), (("x", 2), ("x", 1)), (("x", 3), ("x", 4))]
+    pairs = spark.createDataFrame(ids, "rec struct<part:string,rid:long>, rec_b struct<part:string,rid:long>")
+    got = {r["rec"]["rid"]: r["dist"] for r in records.record_distance(s, s, pairs).collect()}
     assert got == {1: 5, 2: 4, 3: 1}
 
 
-@pytest.mark.parametrize("rows", [4, 512])
-def test_nearest_records(spark, rows, monkeypatch):
-    monkeypatch.setattr(nearest, "FEW_PAIRS", 0)
-    rng = np.random.default_rng(4)
+def some_records(rng, n, start, n_codes=6, longest=9, most=5):
+    return [
+        record(
+            start + i, [int(x) for x in rng.integers(0, 2, 3)],
+            [[int(c) for c in rng.integers(0, n_codes, rng.integers(0, most))] for _ in range(rng.integers(1, longest))],
+        )
+        for i in range(n)
+    ]
 
-    def some(n, start):
-        return [
-            record(
-                start + i, [int(x) for x in rng.integers(0, 2, 3)],
-                [[int(c) for c in rng.integers(0, 6, rng.integers(0, 5))] for _ in range(rng.integers(1, 9))],
-            )
-            for i in range(n)
-        ]
 
-    a, b = some(25, 0), some(20, 100)
-    a += [(900 + i, *a[0][1:]) for i in range(5)]
-    sa = nearest.record_set(spark.createDataFrame(a, SCHEMA), rows)
-    sb = nearest.record_set(spark.createDataFrame(b, SCHEMA), rows)
-    first = {r["vid"]: r["dist"] for r in nearest.nearest_records(sa, sb, rows=rows).collect()}
-    alive = {r["vid"] for r in sa.table.collect()}
-    assert first == {x[0]: min(distance(x, y) for y in b) for x in a if x[0] in alive}
-    own = {r["vid"]: r["dist"] for r in nearest.nearest_records(sa, sa, rows=rows, exclude_self=True).collect()}
-    assert own == {
-        x[0]: min([100] + [distance(x, y) for y in a if y[0] != x[0]]) for x in a if x[0] in alive
+def check_nearest(spark, parts):
+    s = long_form(spark, parts)
+    found = records.each_record(s, records.nearest_records(s, s)).collect()
+    got = {(r["part"], r["rid"], r["part_b"]): r["dist"] for r in found}
+    want = {
+        (p, x[0], q): min([100] * (p == q) + [distance(x, y) for y in other if p != q or y[0] != x[0]])
+        for p, rows in parts.items() for x in rows for q, other in parts.items()
     }
+    assert len(found) == len(got) and got == want
+
+
+@pytest.mark.parametrize("salt", [1, 4096])
+def test_nearest_records(spark, salt, monkeypatch):
+    monkeypatch.setattr(records, "SALT_ROWS", salt)
+    rng = np.random.default_rng(4)
+    a, b = some_records(rng, 25, 0), some_records(rng, 20, 100)
+    a += [(900 + i, *a[0][1:]) for i in range(5)]
+    check_nearest(spark, {"a": a, "b": b})
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_nearest_records_of_long_and_like_ones(spark, seed):
+    rng = np.random.default_rng(seed)
+    long = some_records(rng, 12, 0, n_codes=3, longest=20, most=9)
+    cut = [record(500 + r[0], r[1], [[int(f.split(":")[1]) for f in r[3] if f.startswith(f"{i}:")] for i in range(len(r[2]) // 2 + 1)]) for r in long]
+    check_nearest(spark, {"a": long + cut[:6], "b": cut[6:] + [record(i, *long[0][1:2], [[1], [2]]) for i in (900, 901)], "c": [record(77, [1, 1, 1], [[]])]})
+
+
+def test_a_frequent_feature_makes_few_pairs(spark):
+    """Every record has one code in common; it is never met under it."""
+    rng = np.random.default_rng(0)
+    n = 1500
+    rows = [record(i, [0, 0, 0], [[0, *map(int, rng.integers(1, 50_000, 6))]]) for i in range(n - 1)] + [record(n, [0, 0, 0], [[]])]
+    s = long_form(spark, {"a": rows})
+    bounds = records.without_common(s, s, 100.0)
+    met = records.candidates(s, records.postings(s, s, bounds)).agg(F.sum("seen").alias("n")).first()["n"] or 0
+    assert met <= n, met
+    found = {r["rid"]: r["dist"] for r in records.each_record(s, records.nearest_records(s, s)).collect()}
+    few = rows[:60]
+    assert all(found[x[0]] == min(distance(x, y) for y in rows if y[0] != x[0]) for x in few)
 
 
 def test_kde(spark):

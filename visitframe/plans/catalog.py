@@ -25,9 +25,9 @@ from visitframe.operators import (
     clean,
     codestats,
     discretize,
-    nearest,
     ngrams,
     privacy,
+    records,
     restructure,
     sampling,
     scores,
@@ -1309,21 +1309,21 @@ def identifiability(spark, d):
     return privacy.identifiability(v.where(F.col("cohort") == "real"), v.where(F.col("cohort") == "synthetic"))
 
 
-def packed_records(r: Records) -> DataFrame:
-    """Packed records with the split."""
-    codes = r.stay_codes.select(F.col("sid").alias("rid"), F.col("stay_idx").alias("visit_idx"), "code")
-    visits = r.stays.select(F.col("sid").alias("rid"), F.col("stay_idx").alias("visit_idx"))
+PART_OF = {"train": "t", "val": "e", "test": "e", "synthetic": "s"}
+
+
+def record_tables(r: Records) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Codes, visits and labels of every record with the part its split is in."""
+    part = F.when(F.lit(False), F.lit(""))
+    for split, name in PART_OF.items():
+        part = part.when(F.col("split") == split, name)
+    codes = r.stay_codes.select(part.alias("part"), F.col("sid").alias("rid"), F.col("stay_idx").alias("visit_idx"), "code")
+    visits = r.stays.select(part.alias("part"), F.col("sid").alias("rid"), F.col("stay_idx").alias("visit_idx"))
     labels = codestats.record_labels(r.stays).groupBy(F.col("seq").alias("rid")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("label", "value"))), lambda x: x["value"]).alias("labels")
     )
-    split = proxy.subjects(r.spark, r.sf_dir).select(F.col("sid").alias("rid"), "split")
-    return nearest.pack_records(codes, visits, labels).join(split, "rid")
-
-
-def _record_sets(spark, d) -> dict[str, DataFrame]:
-    packed = durable(packed_records(Records(spark, d)))
-    part = {"t": ["train"], "e": ["val", "test"], "s": ["synthetic"]}
-    return {k: packed.where(F.col("split").isin(v)) for k, v in part.items()}
+    split = proxy.subjects(r.spark, r.sf_dir).select(part.alias("part"), F.col("sid").alias("rid"))
+    return codes, visits, labels.join(split, "rid")
 
 
 @query(
@@ -1332,15 +1332,8 @@ def _record_sets(spark, d) -> dict[str, DataFrame]:
 )
 def nearest_record(spark, d):
     """Nearest training record of every record."""
-    sets = {k: nearest.record_set(v) for k, v in _record_sets(spark, d).items()}
-    return union_all(
-        [
-            nearest.each_record(sets[k], nearest.nearest_records(sets[k], sets["t"], exclude_self=k == "t")).select(
-                F.lit(k).alias("part"), "rid", "dist"
-            )
-            for k in sets
-        ]
-    )
+    sets = records.record_set(*record_tables(Records(spark, d)))
+    return records.each_record(sets, records.nearest_records(sets, sets.only("t")))
 
 
 _rshare = "(SELECT count(*) FROM rnn o JOIN rnn s ON o.ra = s.ra AND s.pb = s.pa WHERE o.pa = '{0}' AND o.pb = '{1}' AND o.d > s.d) / (SELECT count(*) FROM rset WHERE part = 't')"
@@ -1354,14 +1347,16 @@ _rv["aaet"] = f"({_rv['t_s']} + {_rv['s_t']}) / 2"
     " UNION ALL ".join(f"SELECT '{k}' AS metric, {v} AS value" for k, v in _rv.items()),
 )
 def record_nnaa(spark, d):
-    s = _record_sets(spark, d)
-    return privacy.record_nnaa(s["t"], s["e"], s["s"])
+    return privacy.record_nnaa(records.record_set(*record_tables(Records(spark, d))))
 
 
-@query("metric:s value:f")
+@query(
+    "metric:s value:f",
+    " UNION ALL ".join(f"SELECT '{k}' AS metric, {v.replace('rnn', 'rnn_picked').replace('rset', 'rset_picked')} AS value" for k, v in _rv.items()),
+)
 def record_privacy(spark, d):
-    s = _record_sets(spark, d)
-    return privacy.record_privacy(s["t"], s["e"], s["s"])
+    """On 1,000 records of each part, drawn by hash."""
+    return privacy.record_privacy(*record_tables(Records(spark, d)))
 
 
 @query("part:s metric:s value:f")

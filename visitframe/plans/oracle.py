@@ -250,6 +250,10 @@ CTES["rdist"] = """SELECT a.rid AS ra, b.rid AS rb, a.part AS pa, b.part AS pb,
   FROM rset a JOIN rset b ON TRUE JOIN prefix pa ON pa.rid = a.rid AND pa.k = a.nv
   JOIN prefix pb ON pb.rid = b.rid AND pb.k = least(a.nv, b.nv) LEFT JOIN rcommon ON ra = a.rid AND rb = b.rid"""
 CTES["rnn"] = "SELECT pa, ra, pb, min(d) AS d FROM rdist GROUP BY ALL"
+CTES["rset_picked"] = """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY
+  ('0x' || substr(md5(concat_ws('|', '0', rid)), 1, 13))::BIGINT / 4503599627370496.0, rid) AS rn FROM rset) WHERE rn <= 1000"""
+CTES["rnn_picked"] = """SELECT pa, ra, pb, min(d) AS d FROM rdist WHERE ra IN (SELECT rid FROM rset_picked)
+  AND rb IN (SELECT rid FROM rset_picked) GROUP BY ALL"""
 CTES["turns"] = """SELECT conv_id * 1000 + a.turn AS pair_id, b.text AS pred, a.text AS ref FROM conversations a
   JOIN conversations b USING (conv_id) WHERE b.turn = a.turn + 1"""
 CTES["doc_score"] = """SELECT doc_id, n_chars AS score, quality, toxic, (n_chars > 1000)::INT AS pred FROM documents JOIN labels USING (doc_id)"""
