@@ -1,6 +1,7 @@
 """Nearest neighbours against NumPy, record distances, sampling, sources."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,42 +21,69 @@ def brute(a, b, k=1, same=False):
     return np.sort(d, 1)[:, k - 1]
 
 
-def by_row(spark, x, found, vs):
-    pairs = found.join(vs.table.select("vid", "vector"), "vid").collect()
+def by_row(x, found, index):
+    """The found distance of each row of ``x``."""
+    pairs = index.rows.select("vid", "vector").join(found, "vid").collect()
     table = {tuple(r["vector"]): r["dist"] for r in pairs}
     return np.array([table[tuple(map(float, r))] for r in x])
 
 
 @pytest.mark.parametrize("rows", [8, 2048])
-def test_nearest_with_copies(spark, rows, monkeypatch):
-    monkeypatch.setattr(nearest, "FEW_PAIRS", 0)
+def test_nearest_with_copies(spark, rows):
     rng = np.random.default_rng(0)
     clusters = rng.normal(size=(4, 3)) * 20
     a = np.concatenate([clusters[rng.integers(0, 4, 40)] + rng.normal(size=(40, 3)), np.ones((20, 3))])
     b = clusters[rng.integers(0, 4, 30)] + rng.normal(size=(30, 3))
-    va, vb = nearest.vector_set(vectors(spark, a)), nearest.vector_set(vectors(spark, b))
-    got = by_row(spark, a, nearest.nearest_distances(va, vb, rows=rows), va)
-    assert np.allclose(got, brute(a, b))
+    index = nearest.vector_index({"a": vectors(spark, a), "b": vectors(spark, b)})
     for k in (1, 4):
-        got = by_row(spark, a, nearest.nearest_distances(va, va, k, rows=rows, exclude_self=True), va)
-        assert np.allclose(got, brute(a, a, k, True), atol=1e-9)
+        found = nearest.nearest_pairs(index, [("a", "a"), ("a", "b"), ("b", "b")], k, rows).cache()
+        to_a, to_b = found.where("c = 0"), found.where("c = 1")
+        assert np.allclose(by_row(a, to_a, index), brute(a, a, k, True), atol=1e-9)
+        assert np.allclose(by_row(a, to_b, index), brute(a, b, k))
+        assert np.allclose(by_row(b, to_b, index), brute(b, b, k, True))
     radius = brute(b, b, 2, True)
-    balls = spark.createDataFrame([(i, float(r)) for i, r in enumerate(radius)], "vid long, radius double")
-    ringed = nearest.VectorSet(vb.table.join(balls, "vid"), vb.n)
-    inside = nearest.count_balls(va, ringed, rows=rows).withColumnRenamed("inside", "dist")
+    balls = spark.createDataFrame([([float(v) for v in r], float(d)) for r, d in zip(b, radius)], "vector array<double>, radius double")
+    ringed = index.rows.select("vid", "vector").join(balls, "vector").select("vid", "radius")
+    inside = nearest.count_balls(index, "a", "b", ringed, rows).withColumnRenamed("inside", "dist")
     want = (np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)) < radius[None]).sum(1)
-    assert (by_row(spark, a, inside, va) == want).all()
+    assert (by_row(a, inside, index) == want).all()
 
 
 def test_nearest_far_from_the_origin(spark):
     rng = np.random.default_rng(1)
     a = 1e6 + 1e-2 * rng.normal(size=(300, 8))
-    va, other = nearest.vector_set(vectors(spark, a)), nearest.vector_set(vectors(spark, a))
+    sets = privacy.VectorSets({"a": vectors(spark, a), "b": vectors(spark, a)})
     want = brute(a, a, 1, True)
-    for b in (va, other):
-        got = by_row(spark, a, nearest.nearest_distances(va, b, exclude_self=True), va)
-        assert np.allclose(got, want, rtol=1e-12, atol=0)
-    assert (by_row(spark, a, nearest.nearest_distances(va, other), va) == 0).all()
+    assert np.allclose(by_row(a, sets.distance("a", "a"), sets.index), want, rtol=1e-12, atol=0)
+    assert (by_row(a, sets.distance("a", "b"), sets.index) == 0).all()
+
+
+def test_few_neighbours_and_empty_sets(spark):
+    one, none = vectors(spark, np.ones((1, 2))), vectors(spark, np.ones((0, 2)))
+    sets = privacy.VectorSets({"a": one, "b": none})
+    assert [tuple(r) for r in sets.distance("a", "a").collect()] == [(sets.index.rows.first()["vid"], 1, None)]
+    assert sets.distance("a", "b").first()["dist"] is None and sets.distance("b", "a").count() == 0
+    assert privacy.VectorSets({"a": none, "b": none}).distance("a", "b").count() == 0
+
+
+def test_clustered_vectors_visit_few_leaves(spark):
+    """Copies of rows sent to leaves stay bounded at 100,000 vectors, for all pairs of cohorts."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(400, 8)) * 50
+    x = centres[rng.integers(0, 400, 100_000)] + rng.normal(size=(100_000, 8)) * 0.05
+    frame = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "vector": list(x)}), "id long, vector array<double>").repartition(8)
+    index = nearest.vector_index({n: frame.where(F.col("id") % 2 == i) for i, n in enumerate(("a", "b"))})
+    pairs = [(0, 0), (0, 1), (1, 0), (1, 1)]
+    first = nearest.first_visits(index, pairs, 1)
+    sample = first.where(F.col("vid") % 50 == 0)  # the attained distances of some rows are enough here
+    found = nearest._blocks(sample, index.rows.select("vid", "vector", "weights", "leaf"), nearest._search_kernel(1), nearest.FOUND, 2048)
+    best = found.groupBy("vid", "c").agg(F.min("dist").alias("dist"))
+    bounds = best.groupBy("vid").agg(F.map_from_entries(F.collect_list(F.struct("c", "dist"))).alias("bounds"), F.map_from_arrays(F.array(), F.array()).cast("map<int,int>").alias("seen"))
+    few = nearest.VectorIndex(index.names, index.rows.where(F.col("vid") % 50 == 0), index.pivots, index.radius, index.weight, index.count)
+    rows = few.rows.count()
+    assert first.count() <= 2 * 100_000
+    sent = nearest.later_visits(few, pairs, bounds).count()
+    assert sent <= 6 * rows, (sent, rows, len(index.pivots))
 
 
 def test_equal_records_all_get_a_distance(spark):
@@ -68,7 +96,7 @@ def test_equal_records_all_get_a_distance(spark):
 def test_set_against_itself_is_indistinct(spark):
     x = np.random.default_rng(1).normal(size=(30, 4))
     v = vectors(spark, x)
-    got = {r["metric"]: r["value"] for r in privacy.vector_nnaa(privacy.VectorSets(v, v, v)).collect()}
+    got = {r["metric"]: r["value"] for r in privacy.vector_nnaa(privacy.VectorSets({"real": v, "synthetic": v, "test": v})).collect()}
     assert got["aa_train_syn"] == 0 and got["nnaa"] == 0
 
 

@@ -1224,9 +1224,9 @@ def utility_regimes(spark, d):
 
 # --- privacy -----------------------------------------------------------------------------------
 
-def _sets(spark, d) -> privacy.VectorSets:
+def _sets(spark, d, pairs=None) -> privacy.VectorSets:
     v = proxy.vectors(spark, d)
-    return privacy.VectorSets(*[v.where(F.col("cohort") == c) for c in ("real", "synthetic", "test")])
+    return privacy.VectorSets({c: v.where(F.col("cohort") == c) for c in ("real", "synthetic", "test")}, pairs)
 
 
 @query(
@@ -1278,7 +1278,7 @@ def vector_nnaa_directional(spark, d):
       (p.y + q.y) / sum(p.y + q.y) OVER () AS m FROM (SELECT * FROM kde WHERE ca = 'real') p JOIN (SELECT * FROM kde WHERE ca = 'test') q USING (i)) WHERE x > 0 AND z > 0""",
 )
 def mia(spark, d):
-    return privacy.mia_knn(_sets(spark, d))
+    return privacy.mia_knn(_sets(spark, d, [("real", "synthetic"), ("test", "synthetic")]))
 
 
 def _prdc_sql(other: str) -> str:
@@ -1290,7 +1290,7 @@ def _prdc_sql(other: str) -> str:
 
 @query("other:s metric:s value:f", _prdc_sql("test") + " UNION ALL " + _prdc_sql("synthetic"))
 def prdc(spark, d):
-    sets = _sets(spark, d)
+    sets = _sets(spark, d, [("real", "test"), ("real", "synthetic")])
     return union_all(
         [privacy.prdc(sets, o).withColumn("other", F.lit(o)) for o in ("test", "synthetic")]
     )
