@@ -197,22 +197,77 @@ def test_kde(spark):
     assert got[0] == pytest.approx(0.106977, abs=1e-6) and got[1] == pytest.approx(0.214895, abs=1e-6)
 
 
-def test_generate_paths_agree(spark):
+def toy_tokens(spark, n=40):
     rng = np.random.default_rng(7)
-    rows = [(s, p, int(t)) for s in range(40) for p, t in enumerate([1, *rng.integers(2, 6, 8), 9])]
-    toks = spark.createDataFrame(rows, "seq long, pos long, token_id int")
-    model = seqmodel.fit_sequence_model(toks)
-    dist = seqmodel.next_token_dist(model, top_k=3)
-    prompts = spark.range(12).select(F.col("id").alias("seq"), F.array(F.lit(1)).alias("input_ids"))
-    a = sorted(map(tuple, seqmodel.generate(dist, prompts.repartition(5), 6, 9, 3).collect()))
-    b = sorted(map(tuple, seqmodel.generate(dist, prompts, 6, 9, 3, max_model_rows=0).collect()))
-    assert a == b and max(r[1] for r in a) <= 5
+    rows = [(s, p, int(t)) for s in range(n) for p, t in enumerate([1, *rng.integers(2, 6, rng.integers(1, 9)), 9])]
+    return rows, spark.createDataFrame(rows, "seq long, pos long, token_id int")
+
+
+@pytest.mark.parametrize("order", [0, 1, 3, 5])
+def test_model_of_any_order(spark, order):
+    rows, toks = toy_tokens(spark)
+    seqs, want = {}, {}
+    for s, _, t in rows:
+        seqs.setdefault(s, []).append(t)
+    for tokens in seqs.values():
+        for p in range(1, len(tokens)):
+            for k in range(min(order, p) + 1):
+                key = (k, tuple(tokens[p - 1 : p - 1 - k if p > k else None : -1]) if k else (), tokens[p])
+                want[key] = want.get(key, 0) + 1
+    got = {(r["order"], tuple(r["context"]), r["next"]): r["n"] for r in seqmodel.fit_sequence_model(toks, order).collect()}
+    assert got == want
+
+
+def sampled_plainly(model, prompt, seq, n_ctx, end, seed, top_k, top_p, penalty, temperature):
+    """One sequence, context by context."""
+    tokens = list(prompt)
+    while tokens and len(tokens) < n_ctx and tokens[-1] != end:
+        known = max((c for k, c in {(len(c), c) for c, _ in model} if k <= len(tokens) and c == tuple(tokens[::-1][:k])), key=len)
+        p = {t: n for (c, t), n in model.items() if c == known}
+        total = sum(p.values())
+        p = {t: ((n / total) ** (penalty if t in tokens else 1.0)) ** (1 / temperature) for t, n in p.items()}
+        ranked = sorted(p, key=lambda t: (-p[t], t))[:top_k]
+        mass, head = sum(p[t] for t in ranked), []
+        for t in ranked:
+            if sum(p[h] for h in head) / mass < top_p:
+                head.append(t)
+        head.sort()
+        u, run = float(seqmodel.uniform(seed, seq, len(tokens))) * sum(p[t] for t in head), 0.0
+        for t in head:
+            run += p[t]
+            if u < run:
+                break
+        tokens.append(t)
+    return tokens
+
+
+@pytest.mark.parametrize("bucket_rows", [7, 60, 10**6])
+@pytest.mark.parametrize("options", [dict(top_k=3), dict(repetition_penalty=1.7, temperature=0.9, top_p=0.8)])
+def test_sampling_is_that_of_a_plain_loop(spark, bucket_rows, options, monkeypatch):
+    monkeypatch.setattr(seqmodel, "BUCKET_SEQUENCES", 5)
+    _, toks = toy_tokens(spark)
+    fitted = seqmodel.fit_sequence_model(toks, 3)
+    model = {(tuple(r["context"]), r["next"]): r["n"] for r in fitted.collect()}
+    prompts = [(s, [1] if s % 3 else [1, 2, 4]) for s in range(12)] + [(90, []), (91, [9]), (92, [1] * 9), (93, [77])]
+    frame = spark.createDataFrame(prompts, "seq long, input_ids array<int>").repartition(3)
+    got = {}
+    for r in seqmodel.generate(fitted, frame, 7, 9, 3, bucket_rows=bucket_rows, **options).orderBy("seq", "pos").collect():
+        got.setdefault(r["seq"], []).append(r["token_id"])
+    o = dict(top_k=None, top_p=1.0, repetition_penalty=1.0, temperature=1.0) | options
+    for seq, prompt in prompts:
+        want = sampled_plainly(model, prompt[:7], seq, 7, 9, 3, o["top_k"], o["top_p"], o["repetition_penalty"], o["temperature"])
+        assert got.get(seq, []) == want, seq
+
+
+def test_distribution_of_a_model(spark):
+    _, toks = toy_tokens(spark)
+    dist = seqmodel.next_token_dist(seqmodel.fit_sequence_model(toks), top_k=3)
     sums = dist.groupBy(*seqmodel.CONTEXT).agg(F.sum("p").alias("s"), F.count("*").alias("n")).collect()
     assert all(abs(r["s"] - 1) < 1e-9 and r["n"] <= 3 for r in sums)
 
 
 def test_repetition_penalty(spark):
-    model = spark.createDataFrame([(0, -1, -1, 1, 5), (0, -1, -1, 2, 5)], "order int, c1 int, c2 int, next int, n long")
+    model = spark.createDataFrame([(0, [], 1, 5), (0, [], 2, 5)], "order int, context array<int>, next int, n long")
     seen = spark.createDataFrame([(1,)], "token_id int")
     p = {r["next"]: r["p"] for r in seqmodel.next_token_dist(model, repetition_penalty=2.0, seen=seen).collect()}
     assert p[1] == pytest.approx(0.25 / 0.75) and p[2] == pytest.approx(0.5 / 0.75)

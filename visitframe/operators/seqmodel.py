@@ -1,13 +1,12 @@
-"""Count-based sequence model: fit, next-token distribution, sampling, scoring.
+"""Count-based sequence model of any order: fit, next-token distribution, sampling, scoring.
 
-Model rows are ``(order, c1, c2, next, n)``: ``c1`` is the token before
-``next``, ``c2`` the one before it, -1 where the order does not use it.
+Model rows are ``(order, context, next, n)``. ``context`` holds the ``order``
+tokens before ``next``, nearest first, so the context to back off to, which
+lacks the farthest token, is its prefix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,51 +17,43 @@ from visitframe.functions.columns import ratio
 from visitframe.functions.ordered import union_all, with_halo
 from visitframe.session import durable
 
-CONTEXT = ["order", "c1", "c2"]
-NONE = -1
-MAX_MODEL_ROWS = 5_000_000
+CONTEXT = ["order", "context"]
+#: Model rows that one sampling task holds, and sequences that it carries on.
+BUCKET_ROWS, BUCKET_SEQUENCES = 400_000, 1024
 
 
-def _contexts(tokens: DataFrame, width: int = 4096) -> DataFrame:
-    """Each token after the first with the two tokens before it."""
-    near = with_halo(tokens.select("seq", "pos", "token_id"), "pos", before=2, width=width)
+def _contexts(tokens: DataFrame, order: int, width: int = 4096) -> DataFrame:
+    """(context, next): each token after the first with up to ``order`` tokens before it."""
+    near = with_halo(tokens.select("seq", "pos", "token_id"), "pos", before=max(1, order), width=width)
     w = Window.partitionBy("seq", "_block").orderBy("pos")
-    rows = near.select(
-        "_home",
-        "pos",
-        F.col("token_id").alias("next"),
-        F.lag("token_id", 1).over(w).alias("c1"),
-        F.lag("token_id", 2).over(w).alias("c2"),
-    )
-    return rows.where(F.col("_home") & (F.col("pos") > 0)).select(
-        F.col("c1"), F.coalesce("c2", F.lit(NONE)).alias("c2"), "next"
-    )
+    before = F.array(*[F.lag("token_id", j).over(w) for j in range(1, order + 1)]) if order else F.array().cast("array<int>")
+    rows = near.select("_home", "pos", F.col("token_id").alias("next"), before.alias("context"))
+    return rows.where(F.col("_home") & (F.col("pos") > 0)).select(F.array_compact("context").alias("context"), "next")
+
+
+def parent(context: str | Column = "context") -> Column:
+    """The context without its farthest token."""
+    return F.slice(context, F.lit(1), F.greatest(F.size(context) - 1, F.lit(0)))
 
 
 def fit_sequence_model(tokens: DataFrame, order: int = 2) -> DataFrame:
-    """Next-token counts for every context of length 0 to ``order`` (at most 2)."""
-    if order not in (0, 1, 2):
-        raise ValueError("order must be 0, 1 or 2")
-    grams = _contexts(tokens).groupBy("c1", "c2", "next").agg(F.count("*").alias("n"))
-    levels = [
-        (F.lit(0), F.lit(NONE), F.lit(NONE), F.lit(True)),
-        (F.lit(1), F.col("c1"), F.lit(NONE), F.lit(True)),
-        (F.lit(2), F.col("c1"), F.col("c2"), F.col("c2") != NONE),
-    ]
-    rows = F.array_compact(
-        F.array(
-            *[
-                F.when(use, F.struct(k.alias("order"), a.alias("c1"), b.alias("c2")))
-                for k, a, b, use in levels[: order + 1]
-            ]
-        )
-    )
-    return (
-        grams.select(F.explode(rows).alias("_k"), "next", "n")
-        .select("_k.*", "next", "n")
-        .groupBy(*CONTEXT, "next")
-        .agg(F.sum("n").alias("n"))
-    )
+    """(order, context, next, n): counts for every context of length 0 to ``order``.
+
+    Tokens are read and counted once, at full length. Each shorter level is
+    summed up from the counts of the level above and the few contexts that a
+    sequence's start cuts short.
+    """
+    if order < 0:
+        raise ValueError("order must not be negative")
+    grams = durable(_contexts(tokens, order).groupBy("context", "next").agg(F.count("*").alias("n")))
+    length = F.size("context")
+    level = grams.where(length == order)
+    levels = [level]
+    for k in range(order - 1, -1, -1):
+        shorter = level.select(parent().alias("context"), "next", "n").unionByName(grams.where(length == k))
+        level = durable(shorter.groupBy("context", "next").agg(F.sum("n").alias("n")))
+        levels.append(level)
+    return union_all(levels).select(length.alias("order"), "context", "next", "n")
 
 
 def next_token_dist(
@@ -73,7 +64,7 @@ def next_token_dist(
     repetition_penalty: float = 1.0,
     seen: DataFrame | None = None,
 ) -> DataFrame:
-    """(order, c1, c2, next, p): the sampling distribution of each context.
+    """(order, context, next, p): the sampling distribution of each context.
 
     Tokens in ``seen`` are penalised, then temperature, the ``top_k`` most
     likely, and the smallest head reaching ``top_p``. A context holds at most
@@ -101,7 +92,7 @@ def next_token_dist(
 
 # --- sampling --------------------------------------------------------------------
 
-def _uniform(seed: int, seq: np.ndarray, step: np.ndarray | int) -> np.ndarray:
+def uniform(seed: int, seq: np.ndarray, step: np.ndarray | int) -> np.ndarray:
     """Uniform draw of (seed, seq, step): a 64-bit mix, the same everywhere."""
     with np.errstate(over="ignore"):
         x = np.asarray(seq).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -113,132 +104,174 @@ def _uniform(seed: int, seq: np.ndarray, step: np.ndarray | int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
-def _tables(dist: DataFrame) -> DataFrame:
-    """One row per context: tokens and their running probability."""
-    packed = dist.groupBy(*CONTEXT).agg(
-        F.array_sort(F.collect_list(F.struct("next", "p"))).alias("_x")
-    )
-    running = F.transform(
-        "_x", lambda x, i: F.aggregate(F.slice("_x", 1, i + 1), F.lit(0.0), lambda t, v: t + v["p"])
-    )
-    return packed.select(
-        *CONTEXT, F.transform("_x", lambda x: x["next"]).alias("nexts"), running.alias("cums")
-    )
+def sampling_weights(
+    nexts: np.ndarray, n: np.ndarray, seen: set[int], temperature: float, top_k: int | None, top_p: float, penalty: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens (ascending) and weights of one context, as ``next_token_dist`` filters them."""
+    p = n / n.sum()
+    if penalty != 1.0:
+        p = np.where([t in seen for t in nexts.tolist()], p**penalty, p)
+    if temperature != 1.0:
+        p = p ** (1.0 / temperature)
+    if top_k is not None or top_p < 1.0:
+        order = np.lexsort((nexts, -p))[:top_k]
+        head = p[order] / p[order].sum()
+        if top_p < 1.0:
+            order = order[np.cumsum(head) - head < top_p]
+        kept = np.sort(order)
+        nexts, p = nexts[kept], p[kept]
+    return nexts, p
+
+
+class Sampler:
+    """Walks sequences on the model rows of one bucket."""
+
+    def __init__(self, rows: pd.DataFrame, order: int, options: tuple):
+        rows = rows.sort_values(["key", "next"], kind="stable")
+        keys = rows["key"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=int)
+        self.place = dict(zip(keys[starts], zip(starts.tolist(), np.r_[starts[1:], len(keys)].tolist())))
+        self.nexts, self.n = rows["next"].to_numpy(), rows["n"].to_numpy(dtype=float)
+        self.order, self.options = order, options
+        self.tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def table(self, tokens: list[int], seen: set[int]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Tokens and running weights for the longest known context."""
+        for length in range(min(self.order, len(tokens)), -1, -1):
+            key = ",".join(map(str, tokens[: -length - 1 : -1])) if length else ""
+            at = self.place.get(key)
+            if at is None:
+                continue
+            if key in self.tables:
+                return self.tables[key]
+            nexts, weights = sampling_weights(self.nexts[slice(*at)], self.n[slice(*at)], seen, *self.options)
+            found = nexts, np.cumsum(weights)
+            if self.options[-1] == 1.0:  # the same for every sequence
+                self.tables[key] = found
+            return found
+        return None
+
+    def step(self, tokens: list[int], seen: set[int], draw: float) -> bool:
+        """Append a token; False if the model is empty."""
+        found = self.table(tokens, seen)
+        if found is None:
+            return False
+        nexts, cums = found
+        at = int(np.searchsorted(cums, draw * cums[-1], side="right"))
+        token = int(nexts[min(at, len(nexts) - 1)])
+        tokens.append(token)
+        seen.add(token)
+        return True
+
+
+def _bucket(c1: Column, sub: Column, buckets: int) -> Column:
+    return F.pmod(c1.cast("long") * 7919 + sub * 104_729, F.lit(buckets)).cast("int")
 
 
 def generate(
-    dist: DataFrame,
+    model: DataFrame,
     prompts: DataFrame,
     n_ctx: int,
     end_id: int,
     seed: int = 0,
-    max_model_rows: int = MAX_MODEL_ROWS,
+    temperature: float = 1.0,
+    top_k: int | None = None,
+    top_p: float = 1.0,
+    repetition_penalty: float = 1.0,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Token table (seq, pos, token_id) sampled from prompts (seq, input_ids).
 
-    One sequence per prompt, until ``end_id`` or ``n_ctx`` tokens. Draws hash
-    (seed, seq, step), so partitioning does not matter. The longest known
-    context is used. A model of at most ``max_model_rows`` rows is broadcast;
-    a larger one is joined step by step.
+    One sequence per prompt, until ``end_id`` or ``n_ctx`` tokens; a prompt is
+    cut at ``n_ctx``, and an empty one stays so. The longest known context is
+    used, and tokens a sequence already holds are penalised. Draws hash (seed,
+    seq, step), so partitioning does not matter.
+
+    The model is dealt into buckets of about ``bucket_rows`` rows by the last
+    token, of frequent tokens by the last two; shorter contexts lie in every
+    bucket that may back off to them. Sequences go to the bucket of their last
+    tokens, a bounded number to a task, and walk on as long as they stay in
+    it. Each round is written; a model of one bucket takes one round.
     """
-    if dist.count() <= max_model_rows:
-        return _generate_broadcast(dist, prompts, n_ctx, end_id, seed)
-    return _generate_joined(dist, prompts, n_ctx, end_id, seed)
-
-
-def _generate_broadcast(dist, prompts, n_ctx, end_id, seed) -> DataFrame:
-    spark = prompts.sparkSession
-    rows = dist.orderBy(*CONTEXT, "next").toPandas()
-    table = {
-        key: (g["next"].to_numpy(), np.cumsum(g["p"].to_numpy()))
-        for key, g in rows.groupby(CONTEXT, sort=False)
-    }
-    shared = spark.sparkContext.broadcast(table)
-
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for batch in batches:
-            for seq, start in zip(batch["seq"], batch["input_ids"]):
-                tokens = [int(t) for t in start][:n_ctx]
-                draws = _uniform(seed, np.full(n_ctx, seq), np.arange(n_ctx))
-                while len(tokens) < n_ctx and tokens[-1] != end_id:
-                    c1 = tokens[-1]
-                    c2 = tokens[-2] if len(tokens) > 1 else NONE
-                    found = model.get((2, c1, c2)) or model.get((1, c1, NONE)) or model.get((0, NONE, NONE))
-                    if found is None:
-                        break
-                    nexts, cums = found
-                    at = np.searchsorted(cums, draws[len(tokens)] * cums[-1], side="right")
-                    tokens.append(int(nexts[min(at, len(nexts) - 1)]))
-                yield pd.DataFrame({"seq": seq, "pos": np.arange(len(tokens)), "token_id": tokens})
-
-    return prompts.select("seq", "input_ids").mapInPandas(sample, "seq long, pos long, token_id int")
-
-
-def _generate_joined(dist, prompts, n_ctx, end_id, seed) -> DataFrame:
-    """The same sampling with the model kept distributed; every step is written."""
-    tables = durable(_tables(dist))
-
-    @F.pandas_udf("double")
-    def draw(seq: pd.Series, step: pd.Series) -> pd.Series:
-        return pd.Series(_uniform(seed, seq.to_numpy(), step.to_numpy()))
-
-    cut = prompts.select("seq", F.slice("input_ids", 1, n_ctx).alias("ids"))
-    written = [cut.select("seq", F.posexplode("ids").alias("pos", "token_id"))]
-    state = cut.select(
-        "seq",
-        F.size("ids").cast("long").alias("pos"),
-        F.element_at("ids", -1).alias("c1"),
-        F.coalesce(F.try_element_at("ids", F.lit(-2)), F.lit(NONE)).alias("c2"),
+    order = model.agg(F.max("order")).first()[0] or 0
+    total = model.count()
+    buckets = max(1, -(-total // bucket_rows))
+    last = F.try_element_at("context", F.lit(1))
+    sizes = model.where("order > 0").groupBy(last.alias("c1")).agg(F.count("*").alias("m")).where(F.col("m") > bucket_rows)
+    # At most one row per full bucket of the model.
+    subs = {r["c1"]: -(-r["m"] // bucket_rows) for r in sizes.collect()}
+    hot = F.create_map(*[F.lit(x) for c1, m in subs.items() for x in (int(c1), int(m))]) if subs else None
+
+    def count_of(c1: Column) -> Column:
+        return F.lit(1) if hot is None else F.coalesce(F.try_element_at(hot, c1), F.lit(1))
+
+    keyed = model.select("order", "context", "next", "n", F.array_join(F.col("context").cast("array<string>"), ",").alias("key"))
+    longer = keyed.where("order > 0").withColumns({"c1": last, "c2": F.try_element_at("context", F.lit(2))})
+    places = F.when(F.col("order") > 1, F.array(F.pmod(F.col("c2"), count_of(F.col("c1"))))).otherwise(
+        F.sequence(F.lit(0), count_of(F.col("c1")) - 1)
+    )
+    longer = longer.withColumn("sub", F.explode(places)).select(_bucket(F.col("c1"), F.col("sub"), buckets).alias("bucket"), "key", "next", "n")
+    # The zeroth level has a row per token of the vocabulary; every bucket holds it.
+    zeroth = keyed.where("order = 0").select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "key", "next", "n")
+    dealt = durable(longer.unionByName(zeroth).distinct())
+
+    options = (temperature, top_k, top_p, repetition_penalty)
+
+    def home(tokens: list[int]) -> int:
+        sub = tokens[-2] % subs.get(tokens[-1], 1) if len(tokens) > 1 else 0
+        return (tokens[-1] * 7919 + sub * 104_729) % buckets
+
+    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        sampler = Sampler(right, order, options)
+        rows = []
+        for seq, ids in zip(left["seq"], left["ids"]):
+            tokens = [int(t) for t in ids]
+            seen, here, alive = set(tokens), home(tokens), True
+            draws = uniform(seed, np.full(n_ctx, seq), np.arange(n_ctx))
+            while alive and len(tokens) < n_ctx and tokens[-1] != end_id and home(tokens) == here:
+                alive = sampler.step(tokens, seen, draws[len(tokens)])
+            rows.append((seq, tokens, not alive or len(tokens) >= n_ctx or tokens[-1] == end_id))
+        return pd.DataFrame(rows, columns=["seq", "ids", "done"])
+
+    ids = F.slice("input_ids", 1, n_ctx).cast("array<int>")
+    end = F.try_element_at("ids", F.lit(-1))
+    state = prompts.select("seq", ids.alias("ids")).withColumn("done", F.coalesce(end == end_id, F.lit(True)) | (F.size("ids") >= n_ctx))
+    state = durable(state)
+    while not state.where("NOT done").isEmpty():
+        before = F.coalesce(F.try_element_at("ids", F.lit(-2)), F.lit(0))
+        at = _bucket(end, F.pmod(before, count_of(end)), buckets)
+        live = durable(state.where("NOT done").withColumn("bucket", at))
+        salts = live.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_SEQUENCES).cast("int").alias("salts"))
+        left = live.join(F.broadcast(salts), "bucket").withColumn("salt", F.pmod(F.xxhash64("seq"), F.col("salts")).cast("int"))
+        right = dealt.join(F.broadcast(salts), "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        key = ["bucket", "salt"]
+        moved = left.drop("salts").groupBy(*key).cogroup(right.drop("salts").groupBy(*key)).applyInPandas(walk, "seq long, ids array<int>, done boolean")
+        state = durable(state.where("done").unionByName(moved))
+    return state.select("seq", F.posexplode("ids").alias("pos", "token_id")).select(
+        "seq", F.col("pos").cast("long").alias("pos"), "token_id"
     )
-    first = tables.where("order = 0").select(F.struct("nexts", "cums")).scalar()
-    for _ in range(n_ctx):
-        live = state.where((F.col("c1") != end_id) & (F.col("pos") < n_ctx))
-        if live.isEmpty():
-            break
-        two = tables.where("order = 2").select("c1", "c2", F.struct("nexts", "cums").alias("_2"))
-        one = tables.where("order = 1").select("c1", F.struct("nexts", "cums").alias("_1"))
-        found = live.join(two, ["c1", "c2"], "left").join(one, "c1", "left")
-        found = found.withColumn("_m", F.coalesce("_2", "_1", first)).where(F.col("_m").isNotNull())
-        found = found.withColumn("_u", draw("seq", "pos") * F.element_at("_m.cums", -1))
-        at = F.least(
-            F.size(F.filter("_m.cums", lambda c: c <= F.col("_u"))), F.size("_m.nexts") - 1
-        )
-        state = durable(
-            found.select(
-                "seq", (F.col("pos") + 1).alias("pos"),
-                F.get("_m.nexts", at).alias("c1"), F.col("c1").alias("c2"),
-            )
-        )
-        written.append(state.select("seq", (F.col("pos") - 1).alias("pos"), F.col("c1").alias("token_id")))
-    return union_all([w.select("seq", F.col("pos").cast("long").alias("pos"), F.col("token_id").cast("int").alias("token_id")) for w in written])
 
 
 # --- scoring ---------------------------------------------------------------------
 
 def _log_probs(model: DataFrame, wanted: DataFrame, vocab_size: Column | int, alpha: float) -> DataFrame:
-    """Add ``logp`` to rows (c1, c2, next): longest known context, add-alpha."""
+    """Add ``logp`` to rows (context, next): longest known context, add-alpha."""
     size = vocab_size if isinstance(vocab_size, Column) else F.lit(vocab_size)
-    totals = durable(model.groupBy(*CONTEXT).agg(F.sum("n").alias("_total")))
-    two = totals.where("order = 2").select("c1", "c2", F.col("_total").alias("_t2"))
-    one = totals.where("order = 1").select("c1", F.col("_total").alias("_t1"))
-    zero = totals.where("order = 0").agg(F.max("_total")).scalar()
-    rows = wanted.join(two, ["c1", "c2"], "left").join(one, "c1", "left")
-    level = F.when(F.col("_t2").isNotNull(), 2).when(F.col("_t1").isNotNull(), 1).otherwise(0)
-    rows = rows.withColumns({"_order": level, "_total": F.coalesce("_t2", "_t1", zero, F.lit(0))})
-    rows = rows.withColumns(
-        {
-            "_k1": F.when(F.col("_order") > 0, F.col("c1")).otherwise(NONE),
-            "_k2": F.when(F.col("_order") > 1, F.col("c2")).otherwise(NONE),
-        }
-    )
-    known = model.select(
-        F.col("order").alias("_order"), F.col("c1").alias("_k1"), F.col("c2").alias("_k2"),
-        "next", F.col("n").alias("_hits"),
+    totals = model.groupBy("context").agg(F.sum("n").alias("_total"))
+    cuts = F.transform(F.sequence(F.lit(0), F.size("context")), lambda k: F.slice("context", F.lit(1), k))
+    asked = wanted.select("context").distinct().select(F.col("context").alias("_whole"), F.explode(cuts).alias("context"))
+    known = asked.join(totals, "context", "left").groupBy("_whole").agg(
+        F.max(F.when(F.col("_total").isNotNull(), F.struct(F.size("context"), "context", "_total"))).alias("_k")
     )
-    rows = rows.join(known, ["_order", "_k1", "_k2", "next"], "left")
+    rows = wanted.withColumnRenamed("context", "_whole").join(known, "_whole")
+    rows = rows.withColumns({"context": F.coalesce("_k.context", F.array().cast("array<int>")), "_total": F.coalesce("_k._total", F.lit(0))})
+    rows = rows.join(model.select("context", "next", F.col("n").alias("_hits")), ["context", "next"], "left")
     p = (F.coalesce("_hits", F.lit(0)) + alpha) / (F.col("_total") + alpha * size)
-    return rows.withColumn("logp", F.log(p))
+    return rows.drop("_k").withColumn("logp", F.log(p))
+
+
+def _order_of(model: DataFrame) -> int:
+    return model.agg(F.max("order")).first()[0] or 0
 
 
 def perplexity(
@@ -249,8 +282,8 @@ def perplexity(
     Equal (context, token) rows are counted before the joins, so a frequent
     token is one row. Padding is left out by the caller.
     """
-    wanted = _contexts(tokens).groupBy("c1", "c2", "next").agg(F.count("*").alias("m"))
-    scored = _log_probs(model, wanted, vocab_size, alpha)
+    wanted = _contexts(tokens, _order_of(model)).groupBy("context", "next").agg(F.count("*").alias("m"))
+    scored = _log_probs(model, durable(wanted), vocab_size, alpha)
     return scored.agg(
         F.sum("m").alias("n_tokens"),
         F.exp(-F.sum(F.col("m") * F.col("logp")) / F.sum("m")).alias("perplexity"),
@@ -261,13 +294,11 @@ def soft_perplexity(
     model: DataFrame, tokens: DataFrame, soft: DataFrame, vocab_size: Column | int, alpha: float = 1.0
 ) -> DataFrame:
     """Perplexity against soft targets: every true token spreads over ``soft``."""
-    counted = _contexts(tokens).groupBy("c1", "c2", "next").agg(F.count("*").alias("m"))
+    counted = _contexts(tokens, _order_of(model)).groupBy("context", "next").agg(F.count("*").alias("m"))
     spread = counted.join(
         soft.select(F.col("token_id").alias("next"), "target_id", "weight"), "next"
-    ).select(
-        "c1", "c2", F.col("target_id").alias("next"), "m", "weight",
-    )
-    scored = _log_probs(model, spread, vocab_size, alpha)
+    ).select("context", F.col("target_id").alias("next"), "m", "weight")
+    scored = _log_probs(model, durable(spread), vocab_size, alpha)
     mass = F.sum(F.col("m") * F.col("weight") * F.col("logp")) / F.sum(F.col("m") * F.col("weight"))
     return scored.agg(F.exp(-mass).alias("perplexity"))
 

@@ -44,6 +44,8 @@ from visitframe.session import durable, stage_folder
 from visitframe.sources import io
 
 N_CTX = 64
+#: Longest context of a generated or prompted sequence.
+CONTEXT_TOKENS = 1024
 
 
 @dataclass
@@ -803,10 +805,35 @@ def _model(r: Records) -> tuple[DataFrame, DataFrame]:
     return durable(seqmodel.fit_sequence_model(train)), rows
 
 
+def _two_tokens(df: DataFrame) -> DataFrame:
+    """The context of a model of order 2 as two columns, -1 where there is none."""
+    return df.withColumns({f"c{i}": F.coalesce(F.try_element_at("context", F.lit(i)), F.lit(-1)) for i in (1, 2)})
+
+
 @query("order:i c1:i c2:i next:i n:i", 'SELECT "order", c1, c2, next, n FROM seq_model')
 def sequence_model(spark, d):
     rows = split_tokens(Records(spark, d))
-    return seqmodel.fit_sequence_model(rows.where(F.col("split") == "train"))
+    return _two_tokens(seqmodel.fit_sequence_model(rows.where(F.col("split") == "train")))
+
+
+_lags = ", ".join(f"lag(token_id, {j}) OVER w AS c{j}" for j in range(1, 6))
+_levels = " UNION ALL ".join(
+    f"""SELECT {k} AS "order", {f"concat_ws(',', {', '.join(f'c{j}' for j in range(1, k + 1))})" if k else "''"} AS context, next, count(*) AS n
+    FROM g WHERE {f'c{k} IS NOT NULL' if k else 'pos > 0'} GROUP BY ALL"""
+    for k in range(6)
+)
+
+
+@query(
+    "order:i context:s next:i n:i",
+    f"""SELECT * FROM (WITH g AS (SELECT pos, token_id AS next, {_lags} FROM split_tokens WHERE split = 'train'
+    WINDOW w AS (PARTITION BY seq ORDER BY pos)) {_levels})""",
+)
+def sequence_model_5(spark, d):
+    """Orders 0 to 5."""
+    rows = split_tokens(Records(spark, d))
+    model = seqmodel.fit_sequence_model(rows.where(F.col("split") == "train"), 5)
+    return model.withColumn("context", F.array_join(F.col("context").cast("array<string>"), ","))
 
 
 @query(
@@ -820,7 +847,7 @@ def sequence_model(spark, d):
 )
 def next_tokens(spark, d):
     model, _ = _model(Records(spark, d))
-    return seqmodel.next_token_dist(model, temperature=0.8, top_k=20, top_p=0.9)
+    return _two_tokens(seqmodel.next_token_dist(model, temperature=0.8, top_k=20, top_p=0.9))
 
 
 _logp = """ln((coalesce(m.n, 0) + 1.0) / (coalesce(t2.total, t1.total, t0.total) + 1.0 * (SELECT count(*) FROM vocab)))"""
@@ -888,14 +915,15 @@ def lookahead_scores(spark, d):
 
 @query("seq:i pos:i token_id:i")
 def generate(spark, d):
-    """One synthetic sequence per subject of the tables."""
+    """One synthetic sequence per subject of the tables, of at most 1024 tokens."""
     r = Records(spark, d)
     model, _ = _model(r)
-    dist = durable(seqmodel.next_token_dist(model, top_k=50))
     prompts = r.stays.select(F.col("sid").alias("seq")).distinct().withColumn(
         "input_ids", F.array(F.lit(r.meta.special("<s>")))
     )
-    return seqmodel.generate(dist, prompts, 256, r.meta.special("</s>"), seed=11)
+    return seqmodel.generate(
+        model, prompts, CONTEXT_TOKENS, r.meta.special("</s>"), seed=11, top_k=50, repetition_penalty=1.05
+    )
 
 
 # --- n-grams and text --------------------------------------------------------------------
