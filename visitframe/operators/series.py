@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql.window import Window
 
 from visitframe.functions.columns import ratio
 from visitframe.functions.ordered import union_all, with_halo
+from visitframe.operators import moments
 from visitframe.operators.restructure import intersect_ids
 from visitframe.session import durable
 
@@ -33,39 +33,18 @@ def ffill(
     return filled.where("_home").drop("_home", "_block")
 
 
-def _pair_structs(variables: Sequence[str], min_pairs: int) -> Column:
-    """Correlation of every variable pair, as aggregate expressions.
+def corr_matrix(df: DataFrame, variables: Sequence[str], min_pairs: int = 100) -> DataFrame:
+    """Lower triangle (var_a, var_b, corr, n_pairs) over complete pairs.
 
-    Deviations use complete pairs only; zero variance gives NULL.
+    Fewer than ``min_pairs`` rows or a constant side give NULL.
     """
-    rows = []
-    for a, b in combinations(variables, 2):
-        x, y = F.col(a), F.col(b)
-        n = F.count_if(x.isNotNull() & y.isNotNull())
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        value = F.try_divide(F.covar_pop(x, y), spread)
-        rows.append(
-            F.struct(
-                F.lit(b).alias("var_a"),
-                F.lit(a).alias("var_b"),
-                F.when(n >= min_pairs, value).alias("corr"),
-                n.alias("n_pairs"),
-            )
-        )
-    return F.array(*rows)
-
-
-def corr_matrix(df: DataFrame, variables: Sequence[str], min_pairs: int = 100) -> DataFrame:
-    """Lower triangle (var_a, var_b, corr, n_pairs), all pairs in one aggregate."""
-    return df.agg(_pair_structs(variables, min_pairs).alias("_m")).select(F.inline("_m"))
+    found = moments.pair_moments(df, variables)
+    return found.select(*PAIR, moments.corr_of(min_pairs).alias("corr"), F.col("n").alias("n_pairs"))
 
 
 def corr_by_id(df: DataFrame, variables: Sequence[str], key: str = "id") -> DataFrame:
     """Correlation per id, NULL as 0, averaged over ids."""
-    per_id = df.groupBy(key).agg(_pair_structs(variables, 1).alias("_m")).select(key, F.inline("_m"))
-    return per_id.groupBy(*PAIR).agg(
-        F.avg(F.coalesce("corr", F.lit(0.0))).alias("corr"), F.sum("n_pairs").alias("n_pairs")
-    )
+    return moments.mean_corr_by_key(df, variables, key)
 
 
 def correlation(
@@ -158,22 +137,27 @@ def correlation_report(
     th: float = 0.2,
     key: str = "id",
 ) -> DataFrame:
-    """Real against test and against synthetic: distance, band accuracy and F1."""
+    """(against, metric, value): real against test and against synthetic.
+
+    ``corr_distance``; ``accuracy/band`` and ``f1/band``; the confusion of the
+    six classes as ``confusion/band/band``; the masked difference of each pair
+    of variables as ``difference/var/var`` (NULL where it is not shown).
+    """
     base = durable(correlation(real, variables, method, key))
     parts = []
     for name, frame in (("test", test), ("synthetic", synthetic)):
         other = durable(correlation(frame, variables, method, key))
-        parts.append(
-            corr_distance(base, other, th).select(
-                F.lit(name).alias("against"),
-                F.lit("corr_distance").alias("metric"),
-                F.col("corr_distance").alias("value"),
-            )
-        )
         scores = band_scores(base, other).unpivot(["band"], ["accuracy", "f1"], "metric", "value")
-        parts.append(
-            scores.select(F.lit(name).alias("against"), F.concat_ws("/", "metric", "band").alias("metric"), "value")
-        )
+        found = [
+            (F.lit("corr_distance"), corr_distance(base, other, th).withColumnRenamed("corr_distance", "value")),
+            (F.concat_ws("/", "metric", "band"), scores),
+            (F.concat_ws("/", F.lit("confusion"), "band_a", "band_b"), band_confusion(base, other).withColumnRenamed("n", "value")),
+            (F.concat_ws("/", F.lit("difference"), *PAIR), corr_diff(base, other, th).withColumnRenamed("diff", "value")),
+        ]
+        parts += [
+            t.select(F.lit(name).alias("against"), metric.alias("metric"), F.col("value").cast("double").alias("value"))
+            for metric, t in found
+        ]
     return union_all(parts)
 
 

@@ -40,6 +40,7 @@ from visitframe.operators import (
 )
 from visitframe.plans import oracle, proxy, report
 from visitframe.plans.proxy import CONTINUOUS, Records, cohort_series, table
+from visitframe.schema import HORIZON_HOURS
 from visitframe.session import durable, stage_folder
 from visitframe.sources import io
 
@@ -269,20 +270,28 @@ def load_split(spark, d):
     return io.load_split(spark, path, "test")
 
 
+BOUNDS = {v: (float(i + 1), 100.0 + i) for i, v in enumerate(CONTINUOUS)}
+_clipped = ", ".join(
+    f'CASE WHEN "{v}" IS NOT NULL THEN least({hi}, greatest({lo}, "{v}")) END AS "{v}"' for v, (lo, hi) in BOUNDS.items()
+)
+
+
 @query(
-    "sid:i row_idx:i hours:f age:f gender:i label_phe_0:i label_phe_1:i label_phe_2:i view:f",
-    """SELECT s.sid, row_idx, hours, age, gender, l0 AS label_phe_0, l1 AS label_phe_1, l2 AS label_phe_2,
-    CASE WHEN "view" IS NOT NULL THEN least(100.0, greatest(1.0, "view")) END AS "view" FROM series s JOIN stays USING (sid, stay_idx) WHERE stay_idx = 0""",
+    "sid:i row_idx:i hours:f age:f gender:i label_ihm:i label_phe_0:i label_phe_1:i label_phe_2:i k_band:s "
+    + " ".join(f"{v}:f" for v in CONTINUOUS),
+    f"""SELECT s.sid, row_idx, hours, age, gender, label_ihm, l0 AS label_phe_0, l1 AS label_phe_1, l2 AS label_phe_2,
+    k_band, {_clipped} FROM series s JOIN stays USING (sid, stay_idx) WHERE stay_idx = 0""",
 )
 def export_series(spark, d):
-    """First stay series with covariates and labels, through CSV."""
+    """First stay series, every variable clipped, with covariates and labels, through CSV."""
     r = Records(spark, d)
-    flat = io.flat_first_stay(r.series, r.stays, proxy.CATEGORICAL, CONTINUOUS, {"view": (1.0, 100.0)}, 3)
+    flat = io.flat_first_stay(r.series, r.stays, proxy.CATEGORICAL, CONTINUOUS, BOUNDS, 3)
     path = scratch(spark)
     io.export_series_csv(flat, path)
     return io.read_table(spark, path, {
-        "sid": "long", "row_idx": "long", "hours": "double", "age": "double", "gender": "int",
-        "label_phe_0": "int", "label_phe_1": "int", "label_phe_2": "int", "view": "double",
+        "sid": "long", "row_idx": "long", "hours": "double", "age": "double", "gender": "int", "label_ihm": "int",
+        "label_phe_0": "int", "label_phe_1": "int", "label_phe_2": "int", "k_band": "string",
+        **{v: "double" for v in CONTINUOUS},
     })
 
 
@@ -751,16 +760,19 @@ def completion(spark, d):
 
 
 @query(
-    "seq:i input_ids:s",
-    """SELECT seq, array_to_string(list_concat(list_transform(range(len(t), m), lambda x: pad), t), ' ') AS input_ids FROM (
-    SELECT *, max(len(t)) OVER () AS m FROM (SELECT t.seq, list(token_id ORDER BY pos) AS t FROM tokens t JOIN token_hor h ON h.seq = t.seq
-    WHERE horizon = 24 AND pos < least(position, 1024) GROUP BY t.seq)), (SELECT token_id AS pad FROM special WHERE literal = '<pad>')""",
+    "horizon:f seq:i input_ids:s",
+    """SELECT horizon, seq, array_to_string(list_concat(list_transform(range(len(t), m), lambda x: pad), t), ' ') AS input_ids FROM (
+    SELECT *, max(len(t)) OVER (PARTITION BY horizon) AS m FROM (SELECT horizon, t.seq, list(token_id ORDER BY pos) AS t FROM tokens t JOIN token_hor h ON h.seq = t.seq
+    WHERE pos < least(position, 1024) GROUP BY horizon, t.seq)), (SELECT token_id AS pad FROM special WHERE literal = '<pad>')""",
 )
 def history_prompts(spark, d):
     r = Records(spark, d)
-    horizons = tokens.token_horizons(r.tokens, discretize.horizon_rows(r.stay_series))
-    out = tokens.history_prompts(r.tokens, horizons, 24.0, 1024, r.meta.special("<pad>"))
-    return out.withColumn("input_ids", F.concat_ws(" ", "input_ids"))
+    horizons = durable(tokens.token_horizons(r.tokens, discretize.horizon_rows(r.stay_series)))
+    parts = [
+        tokens.history_prompts(r.tokens, horizons, h, CONTEXT_TOKENS, r.meta.special("<pad>")).withColumn("horizon", F.lit(h))
+        for h in HORIZON_HOURS
+    ]
+    return union_all(parts).withColumn("input_ids", F.concat_ws(" ", "input_ids"))
 
 
 @query(
@@ -904,13 +916,30 @@ def lookahead(spark, d):
     return seqmodel.lookahead_model(Records(spark, d).tokens, 3)
 
 
-@query("ahead:i perplexity:f")
+_heads = " UNION ALL ".join(
+    f"SELECT split, {j} AS ahead, token_id, lead(token_id, {j}) OVER (PARTITION BY seq ORDER BY pos) AS next FROM split_tokens" for j in (1, 2, 3)
+)
+
+
+@query(
+    "split:s ahead:i perplexity:f",
+    f"""SELECT * FROM (WITH heads AS (SELECT * FROM ({_heads}) WHERE next IS NOT NULL),
+    fitted AS (SELECT ahead, token_id, next, count(*) AS n FROM heads WHERE split = 'train' GROUP BY ALL),
+    known AS (SELECT ahead, token_id, sum(n) AS total FROM fitted GROUP BY ALL)
+    SELECT split, ahead, exp(-avg(ln((coalesce(n, 0) + 1.0) / (coalesce(total, 0) + (SELECT count(*) FROM vocab))))) AS perplexity
+    FROM heads LEFT JOIN known USING (ahead, token_id) LEFT JOIN fitted USING (ahead, token_id, next) WHERE split <> 'train' GROUP BY ALL)""",
+)
 def lookahead_scores(spark, d):
     r = Records(spark, d)
-    rows = split_tokens(r)
+    rows = durable(split_tokens(r))
     fitted = durable(seqmodel.lookahead_model(rows.where(F.col("split") == "train"), 3))
     size = r.meta.vocab().agg(F.count("*")).scalar()
-    return seqmodel.lookahead_perplexity(fitted, rows.where(F.col("split") == "test"), 3, size)
+    return union_all(
+        [
+            seqmodel.lookahead_perplexity(fitted, rows.where(F.col("split") == s), 3, size).withColumn("split", F.lit(s))
+            for s in ("val", "test", "synthetic")
+        ]
+    )
 
 
 @query("seq:i pos:i token_id:i")
@@ -1141,7 +1170,19 @@ def band_scores(spark, d):
     return _against(spark, d, series.band_scores)
 
 
-@query("against:s metric:s value:f")
+_report_sql = " UNION ALL ".join(
+    f"SELECT against, {metric} AS metric, {value} AS value FROM ({CATALOG[name].sql})"
+    for name, metric, value in (
+        ("corr_distance", "'corr_distance'", "corr_distance"),
+        ("band_scores", "'accuracy/' || band", "accuracy"),
+        ("band_scores", "'f1/' || band", "f1"),
+        ("band_confusion", "'confusion/' || band_a || '/' || band_b", "n"),
+        ("corr_diff", "'difference/' || var_a || '/' || var_b", "diff"),
+    )
+)
+
+
+@query("against:s metric:s value:f", _report_sql)
 def correlation_report(spark, d):
     c = _cohorts(spark, d)
     return series.correlation_report(c["real"], c["test"], c["synthetic"], CONTINUOUS, "ffill", TH)
@@ -1166,8 +1207,8 @@ LABELS = [f"label_phe_{i}" for i in range(3)]
 
 
 @query(
-    "cohort:s id:i view_mean:f click_std:f label_phe_0:i label_phe_1:i label_phe_2:i",
-    """SELECT cohort, id, view_mean, click_std, l0 AS label_phe_0, l1 AS label_phe_1, l2 AS label_phe_2
+    "cohort:s id:i " + " ".join(f"{f}:f" for f in FEATURES) + " label_phe_0:i label_phe_1:i label_phe_2:i",
+    """SELECT features.*, l0 AS label_phe_0, l1 AS label_phe_1, l2 AS label_phe_2
     FROM features JOIN stays ON sid = id WHERE stay_idx = 0""",
 )
 def feature_table(spark, d):
