@@ -1286,9 +1286,17 @@ def utility_regimes(spark, d):
     tables = {
         n: durable(series.feature_table(f, static, CONTINUOUS, LABELS, c["real"])) for n, f in c.items()
     }
-    return utility.utility_pair(
-        tables["real"], tables["test"], tables["synthetic"], FEATURES, LABELS, max_iter=3
-    )
+    return utility.utility_pair(tables["real"], tables["test"], tables["synthetic"], FEATURES, LABELS)
+
+
+@query("real_ratio:f syn_ratio:f metric:s value:f")
+def utility_mixes(spark, d):
+    """All training mixes, every label, 20 rounds."""
+    c, static = _cohorts(spark, d), durable(_static(spark, d))
+    tables = {
+        n: durable(series.feature_table(f, static, CONTINUOUS, LABELS, c["real"])) for n, f in c.items()
+    }
+    return utility.utility(tables["real"], tables["test"], tables["synthetic"], FEATURES, LABELS)
 
 
 # --- privacy -----------------------------------------------------------------------------------
@@ -1432,5 +1440,5 @@ def record_privacy(spark, d):
 def evaluate(spark, d):
     c, static = _cohorts(spark, d), durable(_static(spark, d))
     return report.evaluate(
-        c["real"], c["test"], c["synthetic"], {n: static for n in c}, CONTINUOUS, LABELS[:1], "ffill", max_iter=3
+        c["real"], c["test"], c["synthetic"], {n: static for n in c}, CONTINUOUS, LABELS, "ffill"
     )
