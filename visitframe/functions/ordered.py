@@ -49,23 +49,29 @@ def prefix_over_blocks(
     """
     keys, block = list(keys), list(block)
     totals = df.groupBy(*keys, *block).agg(
-        *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()]
+        *[F.sum(c).alias(f"_v_{n}") for n, c in sums.items()]
     )
     across = Window.partitionBy(*keys).orderBy(*block).rowsBetween(*BEFORE)
-    offsets = totals.select(
+    heads = totals.select(
         *keys,
         *block,
-        *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_o_{n}") for n in sums],
-    )
-    inside = Window.partitionBy(*keys, *block).orderBy(*order).rowsBetween(*BEFORE)
-    joined = attach(df, offsets, keys + block)
-    return joined.select(
-        *[F.col(c) for c in df.columns],
-        *[
-            (F.col(f"_o_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n)
-            for n, c in sums.items()
-        ],
+        *[F.coalesce(F.sum(f"_v_{n}").over(across), F.lit(0)).alias(f"_v_{n}") for n in sums],
+        F.lit(True).alias("_head"),
     )
+    rows = df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()], F.lit(False).alias("_head"))
+    inside = Window.partitionBy(*keys, *block).orderBy(F.desc("_head"), *order).rowsBetween(*BEFORE)
+    return _headed(rows, heads, df.columns, {n: F.sum(f"_v_{n}").over(inside) for n in sums})
+
+
+def _headed(rows: DataFrame, heads: DataFrame, columns: Sequence[str], results: Mapping[str, Column]) -> DataFrame:
+    """Windows over blocks whose first row carries what comes from other blocks.
+
+    The carried values travel as one more row of each block, so the rows are
+    shuffled and sorted once and joined with nothing.
+    """
+    both = rows.unionByName(heads, allowMissingColumns=True)
+    found = both.select(*columns, "_head", *[c.alias(f"_r_{n}") for n, c in results.items()]).where(~F.col("_head"))
+    return found.select(*columns, *[F.col(f"_r_{n}").alias(n) for n in results])
 
 
 def position_in(
@@ -105,18 +111,12 @@ def first_from_here(
         *[F.min(c).alias(f"_b_{n}") for n, c in picks.items()]
     )
     across = _backwards(keys, block).rowsBetween(*BEFORE)
-    later = firsts.select(
-        *keys, *block, *[F.min(f"_b_{n}").over(across).alias(f"_l_{n}") for n in picks]
-    )
-    inside = _backwards([*keys, *block], order)
-    joined = attach(df, later, keys + block)
-    return joined.select(
-        *[F.col(c) for c in df.columns],
-        *[
-            F.coalesce(F.min(c).over(inside), F.col(f"_l_{n}")).alias(n)
-            for n, c in picks.items()
-        ],
+    heads = firsts.select(
+        *keys, *block, *[F.min(f"_b_{n}").over(across).alias(f"_v_{n}") for n in picks], F.lit(True).alias("_head")
     )
+    rows = df.select("*", *[c.alias(f"_v_{n}") for n, c in picks.items()], F.lit(False).alias("_head"))
+    inside = _backwards([*keys, *block], [F.col("_head"), *order])
+    return _headed(rows, heads, df.columns, {n: F.min(f"_v_{n}").over(inside) for n in picks})
 
 
 def with_halo(
