@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from visitframe.functions.columns import ratio
+from visitframe.functions.ordered import block_of, position_in, prefix_by_value, union_all, with_halo
+from visitframe.session import durable
 
 
 def terms(text: str | Column) -> Column:
@@ -36,18 +39,21 @@ def tfidf_drift(train: DataFrame, other: DataFrame) -> DataFrame:
     Smoothed idf learned on ``train``, rows scaled to length 1, every word of
     the train vocabulary counts.
     """
-    tf_train = _weights(train)
-    n_train = train.agg(F.count("*")).scalar()
+    sizes = [d.agg(F.count("*")).scalar() for d in (train, other)]
+    return weight_drift(_weights(train), _weights(other), *sizes)
+
+
+def weight_drift(tf_train: DataFrame, tf_other: DataFrame, n_train: Column, n_other: Column) -> DataFrame:
+    """``tfidf_drift`` of term counts (doc, word, _tf) and the numbers of documents."""
     idf = tf_train.groupBy("word").agg(F.count("*").alias("_df")).select(
         "word", (F.log((1 + n_train) / (1 + F.col("_df"))) + 1).alias("_idf")
     )
 
-    def means(tf: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    def means(tf: DataFrame, total: Column, name: str) -> DataFrame:
         weighted = tf.join(idf, "word").select(
             "doc", "word", (F.col("_tf") * F.col("_idf")).alias("_w")
         )
         norms = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-        total = docs.agg(F.count("*")).scalar()
         return (
             weighted.join(norms, "doc")
             .groupBy("word")
@@ -55,7 +61,7 @@ def tfidf_drift(train: DataFrame, other: DataFrame) -> DataFrame:
             .select("word", (F.col("_s") / total).alias(name))
         )
 
-    a, b = means(tf_train, train, "_a"), means(_weights(other), other, "_b")
+    a, b = means(tf_train, n_train, "_a"), means(tf_other, n_other, "_b")
     gap = F.col("_a") - F.coalesce("_b", F.lit(0.0))
     return a.join(b, "word", "left").agg(
         F.sqrt(F.avg(gap * gap)).alias("rmse"), F.count("*").alias("n_words")
@@ -147,8 +153,13 @@ def bleu(pairs: DataFrame, max_order: int = 4) -> DataFrame:
     by_order = _gram_counts(pairs, orders).groupBy("order").agg(
         F.sum(F.least("pred", "ref")).alias("_hit"), F.sum("pred").alias("_all")
     )
-    precision = F.coalesce(ratio(F.col("_hit"), F.col("_all")), F.lit(0.0))
     lengths = pairs.agg(F.struct(F.sum(F.size("pred")).alias("c"), F.sum(F.size("ref")).alias("r"))).scalar()
+    return _bleu_of(by_order, lengths, max_order)
+
+
+def _bleu_of(by_order: DataFrame, lengths: Column, max_order: int) -> DataFrame:
+    """BLEU from matched and possible n-grams (order, _hit, _all) and the total lengths c and r."""
+    precision = F.coalesce(ratio(F.col("_hit"), F.col("_all")), F.lit(0.0))
     found = by_order.agg(
         F.min(precision).alias("_min"),
         F.count("*").alias("_orders"),
@@ -160,3 +171,98 @@ def bleu(pairs: DataFrame, max_order: int = 4) -> DataFrame:
     return found.select(
         F.when(complete, penalty * F.exp(F.col("_logs") / max_order)).otherwise(0.0).alias("bleu")
     )
+
+
+# --- token sequences -------------------------------------------------------------
+
+MAX_ORDER = 4
+
+
+class SequenceTexts:
+    """Token tables (seq, pos, token_id) of cohorts compared as texts, the first being the reference.
+
+    The n-th sequence of each cohort by ``seq`` form one row of texts;
+    sequences beyond the shortest cohort have no partner and count for TF-IDF
+    alone. All n-grams of all cohorts are counted in one shuffle and serve
+    every metric; a long sequence is cut into blocks, so no task holds one.
+    """
+
+    def __init__(self, cohorts: Mapping[str, DataFrame], pad_id: int | None = None, width: int = 4096):
+        self.names = list(cohorts)
+        self.base = self.names[0]
+        rows, ranks = [], []
+        for name, tokens in cohorts.items():
+            kept = tokens.select("seq", "pos", "token_id")
+            seqs = kept.select("seq").distinct().withColumn("one", F.lit(1).cast("long"))
+            ranks.append(prefix_by_value(durable(seqs), [], "seq", {"text": F.col("one")}).select("seq", "text", F.lit(name).alias("cohort")))
+            if pad_id is not None:
+                kept = kept.where(F.col("token_id") != pad_id).withColumn("_b", block_of("pos"))
+                kept = position_in(kept.withColumnRenamed("pos", "_p"), ["seq"], ["_b"], ["_p"]).select("seq", "pos", "token_id")
+            rows.append(kept.withColumn("cohort", F.lit(name)))
+        self.ranks = durable(union_all(ranks))
+        self.sizes = durable(self.ranks.groupBy("cohort").agg(F.count("*").alias("n")))
+        self.tokens = durable(union_all(rows).join(self.ranks, ["cohort", "seq"]).select("cohort", "text", "pos", "token_id"))
+        near = with_halo(self.tokens, "pos", after=MAX_ORDER - 1, width=width)
+        w = Window.partitionBy("cohort", "text", "_block").orderBy("pos")
+        ahead = [F.col("token_id"), *[F.lead("token_id", j).over(w) for j in range(1, MAX_ORDER)]]
+        grams = near.select("_home", "cohort", "text", F.array(*ahead).alias("_g")).where("_home")
+        full = F.filter(F.transform(F.sequence(F.lit(1), F.lit(MAX_ORDER)), lambda n: F.slice("_g", F.lit(1), n)), lambda g: ~F.exists(g, lambda t: t.isNull()))
+        counts = [F.count_if(F.col("cohort") == c).alias(f"n_{i}") for i, c in enumerate(self.names)]
+        exploded = grams.select("cohort", "text", F.explode(full).alias("gram"))
+        self.grams = durable(exploded.groupBy("text", "gram").agg(*counts).withColumn("order", F.size("gram")))
+
+    def size(self, name: str) -> Column:
+        return F.coalesce(self.sizes.where(F.col("cohort") == name).agg(F.max("n")).scalar(), F.lit(0))
+
+    def partners(self, name: str) -> Column:
+        """Number of texts that both the reference and the cohort have."""
+        return F.least(self.size(self.base), self.size(name))
+
+    def _hits(self, name: str, keys: Sequence[str]) -> DataFrame:
+        own = F.col(f"n_{self.names.index(name)}")
+        paired = self.grams.where(F.col("text") < self.partners(name))
+        return paired.groupBy(*keys).agg(F.sum(F.least("n_0", own)).alias("_hit"), F.sum(own).alias("_all"), F.sum("n_0").alias("_ref"))
+
+    def rouge(self, name: str, order: int) -> Column:
+        """Mean ROUGE-n F; a pair without such an n-gram counts 0."""
+        by_text = self._hits(name, ["text", "order"]).where(F.col("order") == order)
+        score = F.coalesce(ratio(2 * F.col("_hit"), F.col("_all") + F.col("_ref")), F.lit(0.0))
+        return ratio(by_text.agg(F.coalesce(F.sum(score), F.lit(0.0))).scalar(), self.partners(name))
+
+    def bleu(self, name: str) -> Column:
+        by_order = self._hits(name, ["order"])
+        lengths = by_order.where("order = 1").select(F.struct(F.col("_all").alias("c"), F.col("_ref").alias("r"))).scalar()
+        return _bleu_of(by_order, lengths, MAX_ORDER).scalar()
+
+    def drift(self, name: str) -> Column:
+        """RMSE of the mean TF-IDF vectors; tokens written with one digit are no words."""
+        def weights(cohort: str) -> DataFrame:
+            n = F.col(f"n_{self.names.index(cohort)}")
+            word = F.element_at("gram", 1).cast("string")
+            return self.grams.where((F.col("order") == 1) & (n > 0) & (F.length(word) >= 2)).select(
+                F.col("text").alias("doc"), word.alias("word"), n.alias("_tf")
+            )
+
+        return weight_drift(weights(self.base), weights(name), self.size(self.base), self.size(name)).select("rmse").scalar()
+
+    def rouge_l(self, name: str) -> DataFrame:
+        """Mean ROUGE-L F. The two sequences of a pair have to fit a row; their matrix is never held."""
+        paired = self.tokens.where(F.col("text") < self.partners(name)).where(F.col("cohort").isin(self.base, name))
+        place = F.struct("pos", "token_id")
+        sides = paired.groupBy("text").agg(
+            *[F.transform(F.array_sort(F.collect_list(F.when(F.col("cohort") == c, place))), lambda x: x["token_id"]).alias(s) for c, s in ((name, "p"), (self.base, "r"))]
+        )
+        lengths = sides.select(_lcs_length("p", "r").alias("_hit"), F.size("p").alias("_p"), F.size("r").alias("_r"))
+        score = F.coalesce(ratio(2 * F.col("_hit"), F.col("_p") + F.col("_r")), F.lit(0.0))
+        return lengths.agg(ratio(F.sum(score), self.partners(name)).alias("f"))
+
+
+def text_report(texts: SequenceTexts) -> DataFrame:
+    """(against, metric, value) of every cohort against the first: drift, ROUGE-1, ROUGE-2 and BLEU."""
+    spark = texts.tokens.sparkSession
+    parts = []
+    for name in texts.names[1:]:
+        cells = {"tfidf_rmse": texts.drift(name), "rouge1": texts.rouge(name, 1), "rouge2": texts.rouge(name, 2), "bleu": texts.bleu(name)}
+        row = spark.range(1).select(*[v.cast("double").alias(m) for m, v in cells.items()])
+        parts.append(row.unpivot([], list(cells), "metric", "value").select(F.lit(name).alias("against"), "metric", "value"))
+    return union_all(parts)

@@ -1056,7 +1056,14 @@ def rouge(spark, d):
     return textsim.rouge_n(_turn_pairs(spark, d))
 
 
-@query("f:f")
+_lcs = """list_reduce(list_prepend(list_transform(range(0, len(pw) + 1), lambda k: 0), list_transform(rw, lambda w: list_transform(range(0, len(pw) + 1), lambda k: CASE WHEN k > 0 AND pw[k] = w THEN 1 ELSE 0 END))),
+    lambda row, hit: list_transform(range(1, len(row) + 1), lambda k: list_max(list_transform(range(1, k + 1), lambda j: greatest(row[j], CASE WHEN j > 1 AND hit[j] = 1 THEN row[j - 1] + 1 ELSE 0 END)))))"""
+
+
+@query(
+    "f:f",
+    f"SELECT avg(CASE WHEN len(pw) + len(rw) > 0 THEN 2.0 * list_last({_lcs}) / (len(pw) + len(rw)) ELSE 0.0 END) AS f FROM ({_rouge_words})",
+)
 def rouge_l(spark, d):
     return textsim.rouge_l(_turn_pairs(spark, d))
 
@@ -1076,6 +1083,43 @@ def bleu(spark, d):
     return textsim.bleu(words)
 
 
+_seqs = """SELECT split, row_number() OVER (PARTITION BY split ORDER BY seq) - 1 AS i, t FROM (
+    SELECT split, seq, list(token_id ORDER BY pos) AS t FROM split_tokens WHERE split IN ('train', 'val', 'synthetic') GROUP BY ALL)"""
+_report = f"""SELECT * FROM (WITH seqs AS ({_seqs}), size AS (SELECT split, count(*) AS n FROM seqs GROUP BY split),
+    grams AS (SELECT split, i, n AS ord, unnest(list_transform(range(0, len(t) - n + 1), lambda k: t[k + 1:k + n])) AS g FROM seqs, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(t) >= n),
+    counted AS (SELECT split, i, ord, g, count(*) AS c FROM grams GROUP BY ALL),
+    against AS (SELECT o.split AS against, least(o.n, t.n) AS n FROM size o, size t WHERE t.split = 'train' AND o.split <> 'train'),
+    met AS (SELECT against, i, ord, g, sum(c) FILTER (WHERE split = against) AS p, sum(c) FILTER (WHERE split = 'train') AS r, n
+      FROM counted, against WHERE (split = against OR split = 'train') AND i < n GROUP BY ALL),
+    hits AS (SELECT against, i, ord, n, sum(least(coalesce(p, 0), coalesce(r, 0))) AS hit, sum(coalesce(p, 0)) AS p, sum(coalesce(r, 0)) AS r FROM met GROUP BY ALL),
+    orders AS (SELECT against, ord, sum(hit) AS hit, sum(p) AS p, sum(r) AS r FROM hits GROUP BY ALL),
+    words AS (SELECT split, i, CAST(g[1] AS VARCHAR) AS word, c FROM counted WHERE ord = 1 AND len(CAST(g[1] AS VARCHAR)) >= 2),
+    idf AS (SELECT word, ln((1 + (SELECT n FROM size WHERE split = 'train')) / (1 + count(*))) + 1 AS idf FROM words WHERE split = 'train' GROUP BY word),
+    weights AS (SELECT split, i, word, c * idf AS w FROM words JOIN idf USING (word)),
+    means AS (SELECT split, word, sum(w / norm) / any_value(n) AS m FROM weights JOIN (SELECT split, i, sqrt(sum(w * w)) AS norm FROM weights GROUP BY ALL) USING (split, i) JOIN size USING (split) GROUP BY split, word)
+    SELECT against, 'rouge' || ord AS metric, sum(2.0 * hit / (p + r)) / any_value(n) AS value FROM hits WHERE ord <= 2 GROUP BY against, ord
+    UNION ALL SELECT against, 'bleu', CASE WHEN min(hit) > 0 AND count(*) = 4 THEN (CASE WHEN sum(p) FILTER (WHERE ord = 1) > sum(r) FILTER (WHERE ord = 1) THEN 1.0
+      ELSE exp(1 - sum(r) FILTER (WHERE ord = 1) / sum(p) FILTER (WHERE ord = 1)) END) * exp(sum(ln(hit / p)) / 4) ELSE 0.0 END FROM orders GROUP BY against
+    UNION ALL SELECT against, 'tfidf_rmse', sqrt(avg(power(t.m - coalesce(o.m, 0), 2))) FROM against JOIN means t ON t.split = 'train' LEFT JOIN means o ON o.split = against AND o.word = t.word GROUP BY against)"""
+
+
+def _sequence_texts(spark, d) -> textsim.SequenceTexts:
+    rows = durable(split_tokens(Records(spark, d)))
+    return textsim.SequenceTexts({s: rows.where(F.col("split") == s) for s in ("train", "val", "synthetic")})
+
+
+@query("against:s metric:s value:f", _report)
+def text_report(spark, d):
+    """Token sequences as texts: validation and synthetic ones against training ones."""
+    return textsim.text_report(_sequence_texts(spark, d))
+
+
+@query("against:s f:f")
+def rouge_l_tokens(spark, d):
+    texts = _sequence_texts(spark, d)
+    return union_all([texts.rouge_l(s).withColumn("against", F.lit(s)) for s in ("val", "synthetic")])
+
+
 # --- series fidelity -----------------------------------------------------------------------
 
 def _cohorts(spark, d) -> dict[str, DataFrame]:
