@@ -259,8 +259,11 @@ def code_statistics(
     """All probability families in one table (family, k1, k2, k3, n, p)."""
     n_visits, n_records = visit_totals(visits)
     singles = codes.select("seq", "code", F.lit(1).alias("n"))
-    pairs = code_pairs(codes, sort) if {"visit_pair", "record_pair"} & set(families) else None
+    wanted = set(families)
+    pairs = durable(code_pairs(codes, sort)) if wanted >= {"visit_pair", "record_pair"} else code_pairs(codes, sort) if wanted & {"visit_pair", "record_pair"} else None
     following = sequential_pairs(codes)
+    if wanted >= {"visit_seq_pair", "record_seq_pair"}:
+        following = durable(following)
     makers = {
         "visit_code": lambda: per_visit(singles, ["code"], n_visits, min_count),
         "record_code": lambda: per_record(singles, ["code"], n_records, min_count),
@@ -288,6 +291,28 @@ def code_statistics(
     return union_all(parts)
 
 
+def code_report(
+    codes: DataFrame,
+    visits: DataFrame,
+    gaps: DataFrame | None = None,
+    families: Sequence[str] = FAMILIES,
+    sort: bool = True,
+    min_count: int = 0,
+) -> DataFrame:
+    """(family, k1, k2, k3, p): the probability families with visit lengths and gaps in one table.
+
+    The code pairs of a visit are ordered by name. Lengths and gaps are rows
+    without keys: ``record_len_mean``, ``gap_std`` and the like.
+    """
+    blank = [F.lit("").alias(f"k{i}") for i in (1, 2, 3)]
+    numbers = [length_stats(codes, visits)] + ([gap_stats(gaps)] if gaps is not None else [])
+    parts = [code_statistics(codes, visits, families, sort, min_count).drop("n")]
+    for row in numbers:
+        cells = F.array(*[F.struct(F.lit(c).alias("family"), F.col(c).cast("double").alias("p")) for c in row.columns])
+        parts.append(row.select(F.inline(cells)).select("family", *blank, "p"))
+    return union_all(parts)
+
+
 def r2_columns(x: Column, y: Column) -> Column:
     """R2 with ``x`` as truth; a constant truth gives 1 if met exactly, else 0."""
     residual = F.sum((x - y) * (x - y))

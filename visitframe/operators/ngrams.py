@@ -43,6 +43,28 @@ def grams(tokens: DataFrame, n: int, width: int = 4096) -> DataFrame:
     return runs.where(F.col("_home") & F.col(f"t{n}").isNotNull()).drop("_home")
 
 
+def ngram_levels(tokens: DataFrame, longest: int, by: Sequence[str] = (), width: int = 4096) -> DataFrame:
+    """(by, order, run, n): counts of the runs of 1 to ``longest`` tokens, tokens read once.
+
+    The runs of full length, and the shorter ones that begin near the end of
+    a sequence, are counted first. Every shorter order is the sum over the
+    prefixes of the order above and the runs that end exactly there.
+    """
+    by = list(by)
+    near = with_halo(tokens.select(*by, "seq", "pos", "token_id"), "pos", after=longest - 1, width=width)
+    w = Window.partitionBy(*by, "seq", "_block").orderBy("pos")
+    ahead = [F.col("token_id"), *[F.lead("token_id", i).over(w) for i in range(1, longest)]]
+    runs = near.select(*by, "_home", F.array_compact(F.array(*ahead)).alias("run")).where("_home")
+    counted = durable(runs.groupBy(*by, "run").agg(F.count("*").alias("n")))
+    level = counted.where(F.size("run") == longest)
+    levels = [level]
+    for n in range(longest - 1, 0, -1):
+        shorter = level.select(*by, F.slice("run", 1, n).alias("run"), "n").unionByName(counted.where(F.size("run") == n))
+        level = durable(shorter.groupBy(*by, "run").agg(F.sum("n").alias("n")))
+        levels.append(level)
+    return union_all(levels).select(*by, F.size("run").alias("order"), "run", "n")
+
+
 def ngram_probs(
     tokens: DataFrame,
     n: int,
@@ -116,26 +138,25 @@ def ngram_report(
 ) -> DataFrame:
     """Distances for every n-gram order and pair of cohorts, in one table."""
     longest = max(orders)
-    shares = {}
-    for name, tokens in cohorts.items():
-        if pad_id is not None:
-            tokens = durable(drop_pads(tokens, pad_id))
-        parts = [
-            ngram_probs(tokens, n).select(
-                F.lit(n).alias("order"),
-                *[
-                    (F.col(f"t{i + 1}") if i < n else F.lit(-1)).alias(f"t{i + 1}")
-                    for i in range(longest)
-                ],
-                "p",
-            )
-            for n in orders
-        ]
-        shares[name] = durable(union_all(parts))
+    tagged_tokens = [
+        (drop_pads(tokens, pad_id) if pad_id is not None else tokens).select(F.lit(name).alias("cohort"), "seq", "pos", "token_id")
+        for name, tokens in cohorts.items()
+    ]
+    counts = ngram_levels(union_all(tagged_tokens), longest, ["cohort"])
+    group = ["cohort", "order"]
+    totals = counts.groupBy(*group).agg(F.sum("n").alias("_total"))
     keys = [f"t{i + 1}" for i in range(longest)]
+    # One row per cohort and order.
+    shares = durable(
+        counts.where(F.col("order").isin(list(orders))).join(F.broadcast(totals), group).select(
+            *group,
+            *[F.coalesce(F.get("run", F.lit(i)), F.lit(-1)).alias(k) for i, k in enumerate(keys)],
+            (F.col("n") / F.col("_total")).alias("p"),
+        )
+    )
 
     def tagged(name: str, pair: str) -> DataFrame:
-        return shares[name].select(F.lit(pair).alias("pair"), "order", *keys, "p")
+        return shares.where(F.col("cohort") == name).select(F.lit(pair).alias("pair"), "order", *keys, "p")
 
     left = union_all([tagged(a, f"{a}-{b}") for a, b in pairs])
     right = union_all([tagged(b, f"{a}-{b}") for a, b in pairs])

@@ -81,12 +81,12 @@ def tokenize(
         events = events.where(F.col("section") != SERIES)
     is_gap = F.col("kind") == "timestamp"
     order = F.col("b").cast("long")
-    draw = F.xxhash64(F.lit(seed), "sid", "stay_idx", "a", "kind", "var_id", "value")
+    draw = F.floor(hash_uniform(seed, "sid", "stay_idx", "a", "kind", "var_id", "value") * float(1 << 40)).cast("long")
     if label_shuffle:
-        order = F.when(F.col("kind") == "phe", F.abs(draw % F.lit(1 << 40)) + 1).otherwise(order)
+        order = F.when(F.col("kind") == "phe", draw + 1).otherwise(order)
     if ts_shuffle:
         order = (
-            F.when(F.col("kind") == "ts", F.abs(draw % F.lit(1 << 40)))
+            F.when(F.col("kind") == "ts", draw)
             .when(is_gap, F.lit((1 << 40) + GAP_CELL))
             .otherwise(order)
         )

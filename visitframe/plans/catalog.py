@@ -20,7 +20,7 @@ from visitframe.functions.columns import (
     pad_array,
     parse_stay,
 )
-from visitframe.functions.ordered import union_all
+from visitframe.functions.ordered import position_in, union_all
 from visitframe.operators import (
     clean,
     codestats,
@@ -234,8 +234,105 @@ def gap_statistics(spark, d):
     return codestats.gap_stats(discretize.gap_bin(Records(spark, d).stay_series, proxy.FIXED_HOURS))
 
 
+_one_split = "split = 'train'"
+_report_rows = f"""SELECT family, k1, k2, k3, p FROM fam WHERE {_one_split} AND family NOT IN ('visit_pair', 'record_pair', 'visit_triple')
+    UNION ALL SELECT 'visit_pair', least(first, second), greatest(first, second), '', count(*) / any_value(nv) FROM pairs JOIN totals USING (split) WHERE {_one_split} GROUP BY ALL
+    UNION ALL SELECT 'record_pair', least(first, second), greatest(first, second), '', count(DISTINCT seq) / any_value(nr) FROM pairs JOIN totals USING (split) WHERE {_one_split} GROUP BY ALL
+    UNION ALL (UNPIVOT (SELECT '' AS k1, '' AS k2, '' AS k3, (SELECT avg(n) FROM own_records) AS record_len_mean, (SELECT stddev_pop(n) FROM own_records) AS record_len_std,
+      (SELECT avg(n) FROM own_visits) AS visit_len_mean, (SELECT stddev_pop(n) FROM own_visits) AS visit_len_std,
+      (SELECT avg(gap) FROM own_gaps) AS gap_mean, (SELECT stddev_pop(gap) FROM own_gaps) AS gap_std)
+      ON record_len_mean, record_len_std, visit_len_mean, visit_len_std, gap_mean, gap_std INTO NAME family VALUE p)"""
+
+
+@query(
+    "family:s k1:s k2:s k3:s p:f",
+    f"""WITH own_records AS (SELECT seq, count(*) AS n FROM visits WHERE {_one_split} GROUP BY seq),
+    own_visits AS (SELECT n FROM vsize JOIN subj ON sid = rid WHERE {_one_split}),
+    own_gaps AS (SELECT gap FROM gaps JOIN stays USING (sid, stay_idx) WHERE {_one_split})
+    SELECT family, k1, k2, k3, p FROM ({_report_rows.replace("(UNPIVOT", "SELECT family, k1, k2, k3, p FROM (UNPIVOT")})""",
+)
+def code_report_sorted(spark, d):
+    """Name-ordered pairs, lengths and gaps of the training split in one report."""
+    r = Records(spark, d)
+    codes, visits = (durable(t) for t in visit_tables(r, "train"))
+    stays = r.stays.where(F.col("split") == "train").select("sid", "stay_idx")
+    gaps = discretize.gap_bin(r.stay_series, proxy.FIXED_HOURS).join(stays, ["sid", "stay_idx"], "left_semi")
+    return codestats.code_report(codes, visits, gaps, [f for f in codestats.FAMILIES if f != "visit_triple"])
+
+
+@query(
+    "family:s k1:s k2:s n:i p:f",
+    """SELECT 'visit_code' AS family, code AS k1, '' AS k2, count(*) AS n, count(*) / (SELECT count(*) FROM visits) AS p FROM vcodes GROUP BY code HAVING count(*) > 1
+    UNION ALL SELECT 'record_pair', first, second, count(DISTINCT seq), count(DISTINCT seq) / (SELECT count(DISTINCT seq) FROM visits) FROM pairs GROUP BY first, second HAVING count(DISTINCT seq) > 1
+    UNION ALL SELECT 'visit_seq_pair', first, second, count(*), count(*) / (SELECT count(*) - count(DISTINCT seq) FROM visits) FROM seqpairs GROUP BY first, second HAVING count(*) > 1""",
+)
+def code_statistics_min_count(spark, d):
+    """Keys seen once are left out."""
+    codes, visits = (durable(t) for t in visit_tables(Records(spark, d)))
+    return codestats.code_statistics(codes, visits, ["visit_code", "record_pair", "visit_seq_pair"], min_count=1)
+
+
 # --- sources, filters, parsing -----------------------------------------------------
 
+@query(
+    "sid:i episode:i label_0:i label_1:i label_2:i split:s n_places:i",
+    """SELECT o_custkey AS sid, o_orderkey % 7 AS episode, (o_orderstatus = 'F')::INT AS label_0, (o_orderpriority = '1-URGENT')::INT AS label_1,
+    (o_totalprice > 200000)::INT AS label_2, 'train' AS split, (SELECT count(*) FROM orders) AS n_places FROM orders""",
+)
+def read_split_list(spark, d):
+    """Listed stays written as CSV and read back with a dense place in the list."""
+    path = scratch(spark)
+    labels = proxy.listed_stays(spark, d).select(
+        F.concat(F.col("sid"), F.lit("_episode"), F.col("hadm_id") % 7 + 1, F.lit("_timeseries.csv")).alias("stay"),
+        F.lit(48).alias("period_length"), *label_columns("label_phe", 3, "y"),
+    )
+    labels.write.option("header", True).csv(path)
+    listed = durable(io.read_split_list(spark, path, "train"))
+    places = listed.where((F.col("list_pos") >= 0) & (F.col("list_pos") < listed.agg(F.count("*")).scalar())).agg(F.count_distinct("list_pos")).scalar()
+    return listed.select("sid", "episode", *label_columns("label_phe", 3, "label_"), "split", places.alias("n_places"))
+
+
+@query(
+    "hours:f click:f view:f dense:i",
+    'SELECT hours, click, "view", 1 AS dense FROM series',
+)
+def read_series(spark, d):
+    """Series files read back: every row, numbered densely within its file."""
+    path = scratch(spark)
+    Records(spark, d).series.withColumnRenamed("hours", "Hours").write.option("header", True).csv(path)
+    rows = durable(io.read_series(spark, path, ["click", "view"]))
+    files = rows.groupBy("stay").agg(
+        ((F.count("*") == F.count_distinct("row_idx")) & (F.max("row_idx") + 1 == F.count("*"))).cast("int").alias("dense")
+    )
+    return rows.join(files, "stay")
+
+
+@query("token_id:i kind:s var_id:i value:i literal:s", "SELECT * FROM vocab")
+def metadata_reload(spark, d):
+    """The vocabulary of saved and loaded metadata."""
+    path = scratch(spark)
+    vocab.save_metadata(Records(spark, d).meta, path)
+    return vocab.load_metadata(spark, path).vocab()
+
+
+@query(
+    "name:s token_id:i literal:s",
+    """SELECT name, token_id, literal FROM (SELECT unnest(['start', 'end', 'pad', 'mask', 'history', 'forecast', 'forecast_end']) AS name,
+    unnest(['<s>', '</s>', '<pad>', '<pad>', '<history>', '<forecast>', '</forecast>']) AS literal) JOIN special USING (literal)""",
+)
+def special_tokens(spark, d):
+    """Special token ids, looked up in the learned vocabulary."""
+    meta = Records(spark, d).meta
+    ids = F.create_map(*[F.lit(x) for pair in meta.special_ids().items() for x in pair])
+    named = spark.range(1).select(F.explode(ids).alias("name", "token_id"))
+    return named.join(meta.vocab().select("token_id", "literal"), "token_id")
+
+
+@query("sid:i stay_idx:i row_idx:i view:f click:f", 'SELECT sid, stay_idx, row_idx, "view", click FROM series')
+def selected_variables(spark, d):
+    return clean.select_vars(Records(spark, d).series, ["sid", "stay_idx", "row_idx"], ["view", "click"])
+
+
 @query(
     "sys:s n:i n_codes:i last_seq:i",
     "SELECT sys, count(*) AS n, count(DISTINCT code) AS n_codes, max(seq_num) AS last_seq FROM allcodes GROUP BY sys",
@@ -620,6 +717,15 @@ def discretized(spark, d):
     return Records(spark, d).events
 
 
+@query("sid:i stay_idx:i section:i a:i b:i kind:s var_id:i value:i", "SELECT * FROM disc")
+def discretized_cache(spark, d):
+    """The discretized table written under its metadata's key, and read from there."""
+    r = Records(spark, d)
+    path = scratch(spark)
+    io.cached(spark, lambda: r.events, path, r.meta.key())
+    return io.cached(spark, lambda: r.events.limit(0), path, r.meta.key())
+
+
 @query("sid:i stay_idx:i row_idx:i gap:i", "SELECT sid, stay_idx, row_idx, gap FROM gaps")
 def gap_bins(spark, d):
     return discretize.gap_bin(Records(spark, d).stay_series, proxy.FIXED_HOURS)
@@ -648,19 +754,23 @@ def token_table(spark, d):
 
 
 @query(
-    "seq:i n:i checksum:i",
-    """SELECT seq, count(*) AS n, sum(pos * token_id) AS checksum FROM (SELECT seq, token_id, row_number() OVER (PARTITION BY seq
-    ORDER BY stay_idx, section, a, b) - 1 AS pos FROM token_rows WHERE section NOT IN (7, 8)) GROUP BY seq""",
+    "seq:i pos:i token_id:i",
+    """SELECT seq, token_id, row_number() OVER (PARTITION BY seq ORDER BY stay_idx, section, a, b) - 1 AS pos
+    FROM token_rows WHERE section NOT IN (7, 8)""",
 )
 def tokens_without_series(spark, d):
     r = Records(spark, d)
-    out = tokens.tokenize(r.events, r.stays, r.meta, ignore_ts=True)
-    return out.groupBy("seq").agg(
-        F.count("*").alias("n"), F.sum(F.col("pos") * F.col("token_id")).alias("checksum")
-    )
+    return tokens.tokenize(r.events, r.stays, r.meta, ignore_ts=True)
 
 
-@query("seq:i pos:i token_id:i")
+@query(
+    "seq:i pos:i token_id:i",
+    f"""SELECT seq, token_id, row_number() OVER (PARTITION BY seq ORDER BY stay_idx, section, a, b, token_id) - 1 AS pos FROM (
+    SELECT sid AS seq, stay_idx, section, a, CASE kind WHEN 'phe' THEN draw + 1 WHEN 'ts' THEN draw WHEN 'timestamp' THEN 1099511627776 + 1000000 ELSE b END AS b,
+    CASE WHEN kind = 'code' THEN value ELSE start + value END AS token_id FROM (
+      SELECT *, CAST(floor({oracle.uniform(7, "sid", "stay_idx", "a", "kind", "var_id", "value")} * 1099511627776.0) AS BIGINT) AS draw FROM disc) LEFT JOIN sect USING (kind, var_id)
+    UNION ALL SELECT sid, stay_idx, section, 0, 0, token_id FROM marks)""",
+)
 def tokens_shuffled(spark, d):
     r = Records(spark, d)
     return tokens.tokenize(r.events, r.stays, r.meta, label_shuffle=True, ts_shuffle=True, seed=7)
@@ -736,17 +846,31 @@ def render_text(spark, d):
 
 
 @query(
-    "seq:i stay_idx:i kind:s n:i checksum:i",
-    """SELECT seq, stay_idx, kind, count(*) AS n, sum(value) AS checksum FROM (SELECT sid AS seq, stay_idx, kind, value FROM disc) GROUP BY ALL""",
+    "seq:i stay_idx:i place:i kind:s var_id:i value:i",
+    """SELECT sid AS seq, stay_idx, row_number() OVER (PARTITION BY sid, stay_idx ORDER BY section, a, b) - 1 AS place, kind, var_id, value FROM disc""",
 )
 def roundtrip(spark, d):
-    """Detokenized sequences hold exactly what was tokenized."""
+    """Detokenized sequences hold, in order, exactly what was tokenized."""
     r = Records(spark, d)
     stays, events = tokens.detokenize(r.tokens, r.meta)
     rows, _ = tokens.events_as_input(stays, events)
-    return rows.groupBy(F.col("sid").alias("seq"), "stay_idx", "kind").agg(
-        F.count("*").alias("n"), F.sum("value").alias("checksum")
-    )
+    blocked = durable(rows.withColumnRenamed("sid", "seq").withColumn("_block", F.floor(F.col("a") / 4096)))
+    return position_in(blocked, ["seq", "stay_idx"], ["section", "_block"], ["a", "b"], "place")
+
+
+@query(
+    "sid:i stay_idx:i kind:s n:i",
+    "SELECT sid, stay_idx, kind, count(*) AS n FROM disc JOIN subj USING (sid) WHERE split = 'synthetic' GROUP BY ALL",
+)
+def saved_synthetic(spark, d):
+    """One split, detokenized, saved as synthetic records and read again."""
+    r = Records(spark, d)
+    picked = split_tokens(r).where(F.col("split") == "synthetic").select("seq", "pos", "token_id", "stay_idx", "row_idx")
+    stays, events = tokens.detokenize(durable(picked), r.meta)
+    rows, _ = tokens.events_as_input(stays, events)
+    path = scratch(spark)
+    io.save_synthetic(rows, path, "synthetic")
+    return spark.read.parquet(f"{path}/synthetic").groupBy("sid", "stay_idx", "kind").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -974,6 +1098,18 @@ def _register_ngrams():
 _register_ngrams()
 
 
+@query(
+    "t1:i t2:i n:i p:f",
+    """SELECT t1, t2, n, p FROM (SELECT t1, t2, count(*) AS n, count(*) / sum(count(*)) OVER () AS p FROM (
+    SELECT token_id AS t1, lead(token_id) OVER (PARTITION BY seq ORDER BY pos) AS t2 FROM tokens
+    WHERE token_id <> (SELECT token_id FROM special WHERE literal = '</adm>')) WHERE t2 IS NOT NULL GROUP BY t1, t2) WHERE p BETWEEN 0.0001 AND 0.01""",
+)
+def ngram_limits(spark, d):
+    """Pairs across dropped tokens, of a share within limits."""
+    r = Records(spark, d)
+    return ngrams.ngram_probs(r.tokens, 2, 0.0001, 0.01, r.meta.special("</adm>"))
+
+
 def _share_sql(n: int, split: str) -> str:
     keys = ", ".join(f"t{i + 1}" for i in range(n))
     cells = ", ".join(f"t{i + 1}" if i < n else f"-1 AS t{i + 1}" for i in range(4))
