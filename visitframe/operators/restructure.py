@@ -42,6 +42,41 @@ def patients(stays: DataFrame) -> DataFrame:
     )
 
 
+#: Cells (codes, and visits without one) that a row of nested records holds at most.
+RECORD_CELLS = 4096
+
+
+def nest_records(stays: DataFrame, codes: DataFrame, cells: int = RECORD_CELLS) -> DataFrame:
+    """Patients as nested rows (sid, part, visits): a patient's stays with their codes, in order.
+
+    ``visits`` holds (stay_idx, hadm_id, label_phe, label_ihm, first_pos,
+    codes). A row has ``cells`` codes at most, so a long history is several
+    parts, and a stay may go on in the next part at ``first_pos``. ``codes``
+    has (hadm_id, code_pos, code); a stay without codes keeps its place.
+    """
+    facts = ["hadm_id", "label_phe", "label_ihm"]
+    rows = stays.select("sid", "stay_idx", *facts).join(codes.select("hadm_id", "code_pos", "code"), "hadm_id", "left")
+    blocked = rows.withColumn("_block", block_of(F.coalesce("code_pos", F.lit(0))))
+    placed = position_in(blocked, ["sid"], ["stay_idx", "_block"], ["code_pos"], "_place")
+    parts = placed.withColumn("part", block_of("_place", cells))
+    cell = F.when(F.col("code").isNotNull(), F.struct("code_pos", "code"))
+    visits = parts.groupBy("sid", "part", "stay_idx").agg(
+        *[F.any_value(c).alias(c) for c in facts],
+        F.min("code_pos").alias("first_pos"),
+        F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["code"]).alias("codes"),
+    )
+    visit = F.struct("stay_idx", *facts, "first_pos", "codes")
+    return visits.groupBy("sid", "part").agg(F.array_sort(F.collect_list(visit)).alias("visits"))
+
+
+def flat_records(nested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nested records back to (stays, codes), the parts of a stay joined again."""
+    visits = nested.select("sid", F.inline("visits"))
+    stays = visits.groupBy("sid", "stay_idx").agg(*[F.any_value(c).alias(c) for c in ("hadm_id", "label_phe", "label_ihm")])
+    codes = visits.select("hadm_id", "first_pos", F.posexplode("codes").alias("_i", "code"))
+    return stays, codes.select("hadm_id", (F.col("first_pos") + F.col("_i")).cast("int").alias("code_pos"), "code")
+
+
 def order_codes(codes: DataFrame, tie: Sequence[str] = ("code",), width: int = 1024) -> DataFrame:
     """Add ``code_pos``: diagnoses before procedures, each by ``seq_num``."""
     blocked = codes.withColumns(
@@ -117,8 +152,12 @@ def to_grid(
     """First ``n`` rows per id of the regular grid merged with the observations.
 
     Off-grid times push grid rows out. Values are 0-filled, scaled to
-    ``2x - 1`` and 0 where missing; ``mask_*`` is 1 / -1. Every id brings its
-    own ``n`` grid rows, and rank filtering happens before the shuffle.
+    ``2x - 1`` and 0 where missing; ``mask_*`` is 1 / -1.
+
+    Every id brings ``n`` grid rows, so no observation behind the last of them
+    and none beyond the id's first ``n`` can matter. These are dropped by a
+    group limit before anything is shuffled: what meets of an id, however many
+    rows it has, is at most ``2 n`` rows.
     """
     ids = series.select(key).distinct()
     grid = ids.select(
@@ -127,10 +166,15 @@ def to_grid(
             time
         ),
     )
-    seen = series.select(key, F.col(time).cast("double").alias(time), *variables)
-    merged = grid.join(seen, [key, time], "full_outer")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(time, *variables))
-    cut = merged.withColumn("cell", rank - 1).where(F.col("cell") < n)
+    at, last = F.col(time), float(step) * (n - 1)
+    seen = series.select(key, at.cast("double").alias(time), *variables).where(at.isNull() | (at <= last))
+    order = Window.partitionBy(key).orderBy(time, *variables)
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
+
+    merged = grid.join(first(seen).drop("_rank"), [key, time], "full_outer")
+    cut = first(merged).withColumn("cell", F.col("_rank") - 1)
     return cut.select(
         key,
         "cell",

@@ -650,6 +650,25 @@ def patients(spark, d):
     return restructure.patients(proxy.stays(spark, d))
 
 
+@query(
+    "sid:i part:i visits:s",
+    """SELECT sid, part, string_agg(stay_idx || '/' || hadm_id || '/' || l0 || l1 || l2 || label_ihm || '=' || codes, ';' ORDER BY stay_idx) AS visits FROM (
+    SELECT sid, part, stay_idx, any_value(hadm_id) AS hadm_id, any_value(l0) AS l0, any_value(l1) AS l1, any_value(l2) AS l2, any_value(label_ihm) AS label_ihm,
+      coalesce(string_agg(code, ',' ORDER BY code_pos), '') AS codes FROM (
+      SELECT s.*, code_pos, code, (row_number() OVER (PARTITION BY s.sid ORDER BY s.stay_idx, code_pos) - 1) // 16 AS part FROM stays s LEFT JOIN codes USING (hadm_id))
+    GROUP BY sid, part, stay_idx) GROUP BY sid, part""",
+)
+def patient_records(spark, d):
+    """Nested patient records of at most 16 codes a row."""
+    r = Records(spark, d)
+    nested = restructure.nest_records(r.stays, r.codes, 16)
+    def line(v):
+        labels = F.array_join(v["label_phe"].cast("array<string>"), "")
+        head = F.concat_ws("/", v["stay_idx"].cast("string"), v["hadm_id"].cast("string"), F.concat(labels, v["label_ihm"].cast("string")))
+        return F.concat(head, F.lit("="), F.array_join(v["codes"], ","))
+    return nested.select("sid", "part", F.array_join(F.transform("visits", line), ";").alias("visits"))
+
+
 @query(
     "in_a:i in_b:i n:i",
     """SELECT (a.k IS NOT NULL)::INT AS in_a, (b.k IS NOT NULL)::INT AS in_b, count(*) AS n FROM (SELECT DISTINCT o_orderkey AS k FROM orders) a
