@@ -112,6 +112,44 @@ def test_surrogates(spark):
     assert other[0] != new[0]["text"] and other[6] == PEOPLE[6]
 
 
+def replaced(spark, *texts):
+    rows = pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r for _, r in sorted((r["doc_id"], r) for r in rows)]
+
+
+def test_one_person_has_one_surrogate(spark):
+    texts = [
+        "Mr. John Smith met us. John Smith said hello. Dr. Smith left. Mr. Smith too, and Smith's dog; Smithson stayed.",
+        "Dr. John Smith wrote this.", "Mrs. Jane Doe and Mr. Jack Doe: Mrs. Doe called Mr. Doe.", "John Smith is a stranger here.",
+    ]
+    a, b, c, d = (r["text"] for r in replaced(spark, *texts))
+    first, last = re.match(r"Mr\. (\S+) (\S+) met us\. ", a).groups()
+    assert a == f"Mr. {first} {last} met us. {first} {last} said hello. Dr. {last} left. Mr. {last} too, and {last}'s dog; Smithson stayed."
+    assert b == f"Dr. {first} {last} wrote this." and first in pii.GIVEN["m", "latin"] and d == texts[3]
+    jane, jack, her, his = re.fullmatch(r"Mrs\. \S+ (\S+) and Mr\. \S+ (\S+): Mrs\. (\S+) called Mr\. (\S+)\.", c).groups()
+    assert jane == her and jack == his and jane != jack
+
+
+def test_forms_of_numbers(spark):
+    numbers = ["+49 30 1234567", "+44 20 7946 0958", "+33 1 23 45 67 89", "+14155552671", "+1 415 555 2671", "(415) 555-2671", "3782 822463 10005", "2221 0000 0000 0009"]
+    rows = replaced(spark, *[f"see {n} now" for n in numbers], "+49 30 1234567 or +49-30-1234567", "at +12 3, 3782 822463 10006")
+    new = [re.fullmatch("see (.*) now", r["text"])[1] for r in rows[:8]]
+    for old, now in zip(numbers, new):
+        assert now != old and re.sub("[0-9]", "0", now) == re.sub("[0-9]", "0", old)
+    assert [n[:3] for n in new[:3]] == ["+49", "+44", "+33"]
+    digits = [re.sub("[^0-9]", "", n)[-10:] for n in new[3:6]]
+    assert len(set(digits)) == 1 and [r["n_phone"] for r in rows[:8]] == [1] * 6 + [0] * 2 and rows[6]["n_card"] == rows[7]["n_card"] == 1
+    one, two = rows[8]["text"].split(" or ")
+    assert re.sub("[^0-9]", "", one) == re.sub("[^0-9]", "", two)
+    assert rows[9]["text"] == "at +12 3, 3782 822463 10006"
+
+
+def test_all_else_is_kept(spark):
+    text = "\x01a\x03b\x03\x04\x03\x05c a@b.co \x01\x02"
+    now = replaced(spark, text)[0]["text"]
+    assert re.fullmatch("\x01a\x03b\x03\x04\x03\x05c [a-z]@m[0-9a-f]{4}\\.example\\.org \x01\x02", now)
+
+
 def test_surrogates_stay_distinct(spark):
     """Cards of 13 digits and short addresses have few surrogates: clashes are drawn again."""
     rows = [("email", f"{a}@x.co") for a in "abcdefghij"] + [("ipv4", f"10.0.{i}.{j}") for i in range(40) for j in range(50)] + [("phone", f"{200 + i}5550{j:03d}") for i in range(100) for j in range(40)]
