@@ -26,7 +26,6 @@ per level; no block is decoded.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,7 @@ BLOCK_BITS = 512
 #: A segment is closed at the first end of a document beyond so many tokens.
 SEGMENT_TOKENS = 1 << 18
 #: Encoded words and pieces of words in a generation that a Python worker keeps; there are two.
-CACHED_WORDS, CACHED_PIECES = 350_000, 200_000
+CACHED_WORDS, CACHED_PIECES = 450_000, 250_000
 #: Python splits on these four characters, the tokenizer does not.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 MARK = "\x02"
@@ -151,12 +150,13 @@ class WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.words, self.pieces = Kept(CACHED_WORDS), Kept(CACHED_PIECES)
         self.letters = dict(enumerate(byte_letters()))
         with open(path, encoding="utf-8") as file:
@@ -194,10 +194,19 @@ class WordEncoder:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        spelt = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(spelt)]
-        return pack(f"<{len(ids)}I", *ids)
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Ids of new pieces by the library's model, many pieces in a row.
+
+        The bare model cuts at spaces, which no piece holds, and tells for
+        each id the piece it is from.
+        """
+        for begin in range(0, len(pieces), 4000):
+            part = pieces[begin : begin + 4000]
+            spelt = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.letters) for p in part]
+            found = self.bare.encode(" ".join(spelt), add_special_tokens=False)
+            ends = 4 * np.cumsum(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(part)))
+            raw = np.array(found.ids, dtype="<u4").tobytes()
+            self.pieces.young.update(zip(part, [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]))
 
     def _learn(self, words: list[str], special: bool) -> None:
         """Ids of new words: from their pieces, or from the whole tokenizer. ``special``: some may hold a special token."""
@@ -214,7 +223,7 @@ class WordEncoder:
         self.pieces.turn()
         new = self.pieces.missing(set().union(*cut.values()))
         known = self.pieces.young
-        known.update((p, self._piece(p)) for p in new)
+        self._learn_pieces(new)
         self.words.young.update((w, b"".join(map(known.__getitem__, row))) for w, row in cut.items())
         self._learn_whole(rest)
 
@@ -349,7 +358,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     rows = files.mapInArrow(_documents, "shard int, doc_id long, local_start long, n_tokens long, ids binary")
-    return rows.join(offsets, "shard").select(
+    # One row per shard, so as many as tasks that wrote the file.
+    return rows.join(F.broadcast(offsets), "shard").select(
         "doc_id", (F.col("_offset") + F.col("local_start")).alias("start"), "n_tokens", "ids"
     )
 
