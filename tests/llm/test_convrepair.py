@@ -114,12 +114,16 @@ def summary(spark, tables, partitions):
     return {r["conv_id"]: tuple(r)[1:] for r in got}
 
 
-@pytest.mark.parametrize("block", [1, 3, 64])
-def test_conversations_over_blocks_and_partitions(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "batch"), [(1, 10_000), (3, 2), (64, 7), (64, 10_000)])
+def test_conversations_over_blocks_partitions_and_batches(spark, block, batch, monkeypatch):
     monkeypatch.setattr(cr, "BLOCK_ROWS", block)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     rng = random.Random(block)
     tables = {c: random_rows(rng, rng.choice([1, 2, 5, 8, 20])) for c in range(40)} | {99: random_rows(rng, 300), None: random_rows(rng, 7)}
-    got = summary(spark, tables, 7)
+    try:
+        got = summary(spark, tables, 7)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {c: expected(rows) for c, rows in tables.items()}
 
 
