@@ -26,6 +26,7 @@ per level; no block is decoded.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from visitframe.llm.bpe import byte_letters
-from visitframe.llm.common import process_cache, steps
+from visitframe.llm.common import STEP_BYTES, process_cache, steps
 
 BLOCK_BITS = 512
 #: A segment is closed at the first end of a document beyond so many tokens.
@@ -218,12 +219,15 @@ class WordEncoder:
         plain = [w for w in words if w.isascii()] if self.plain else []
         latin = [w for w in words if not w.isascii() and max(w) < "\u0250"] if self.latin else []
         rest += set(words).difference(plain, latin)
-        cut = dict(zip(plain, [self.plain.findall(w.lower()) for w in plain]))
-        cut.update((w, self.latin.findall(w.lower())) for w in latin)
+        # A word of letters alone is one piece.
+        alike = {w: p for w in chain(plain, latin) if (p := w.lower()).isalpha()}
+        cut = {w: self.plain.findall(w.lower()) for w in plain if w not in alike}
+        cut.update((w, self.latin.findall(w.lower())) for w in latin if w not in alike)
         self.pieces.turn()
-        new = self.pieces.missing(set().union(*cut.values()))
-        known = self.pieces.young
+        new = self.pieces.missing(set(alike.values()).union(*cut.values()))
         self._learn_pieces(new)
+        known = self.pieces.young
+        self.words.young.update(zip(alike, map(known.__getitem__, alike.values())))
         self.words.young.update((w, b"".join(map(known.__getitem__, row))) for w, row in cut.items())
         self._learn_whole(rest)
 
@@ -281,7 +285,7 @@ def _segments(path: str, end_id: int | None, tokens: int):
                 schema=ARROW,
             )
 
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", 2 * STEP_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts, end_id)):
                 doc_ids.append(doc)
