@@ -109,3 +109,13 @@ def test_auroc_of_a_null_group(spark):
     rows = [(None, 1, 0.9), (None, 0, 0.1), ("g", 1, 0.2), ("g", 0, 0.8)]
     got = auroc(spark.createDataFrame(rows, "grp string, label int, score double"), "score", "label", ["grp"]).collect()
     assert {r["grp"]: r["auroc"] for r in got} == {None: 1.0, "g": 0.0}
+
+
+def test_ranges_follow_the_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 5)
+    df = spark.range(3000).select((F.col("id") * 7 % 3000).alias("x"), F.lit(1).cast("long").alias("one"))
+    blocks = ordered.value_blocks(df, [], "x").groupBy("_block").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("lo").collect()
+    assert len(blocks) > 300 and max(b["n"] for b in blocks) < 60
+    assert all(a["hi"] < b["lo"] and a["_block"] < b["_block"] for a, b in zip(blocks, blocks[1:]))
+    got = ordered.prefix_by_value(df, [], "x", {"before": F.col("one")})
+    assert got.where("before <> x").count() == 0

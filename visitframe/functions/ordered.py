@@ -141,23 +141,33 @@ def with_halo(
     )
 
 
+#: Value ranges are cut for about so many rows each; at least and at most so many cuts.
+RANGE_ROWS, LEAST_CUTS, MOST_CUTS = 1_000_000, 128, 4096
+#: Every so many cuts one leads the search.
+STEP = 64
+
+
 def value_blocks(
-    df: DataFrame, keys: Sequence[str], order: str, cuts: int = 128
+    df: DataFrame, keys: Sequence[str], order: str, cuts: int | None = None
 ) -> DataFrame:
     """Add ``_block``: which of about ``cuts`` value ranges ``order`` is in.
 
-    The cut points come from a bounded quantile sketch per key; they only
-    balance the work, so an inexact sketch cannot change a result.
+    By default the number of ranges follows the number of rows. The cut points
+    come from a bounded quantile sketch per key; they only balance the work, so
+    an inexact sketch cannot change a result.
     """
     keys = list(keys)
+    if cuts is None:
+        cuts = min(MOST_CUTS, max(LEAST_CUTS, df.count() // RANGE_ROWS))
     shares = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
     sketch = df.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(order, shares, 1000)).alias("_cuts")
+        F.array_distinct(F.percentile_approx(order, shares, max(1000, 10 * cuts))).alias("_cuts")
     )
     with_cuts = attach(df, sketch, keys) if keys else df.withColumn("_cuts", sketch.scalar())
-    return with_cuts.withColumn(
-        "_block", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    ).drop("_cuts")
+    below = F.filter("_cuts", lambda c, i: (i + 1) % STEP == 0)
+    lead = F.size(F.filter(below, lambda c: c < F.col(order))) * STEP
+    rest = F.size(F.filter(F.slice("_cuts", F.col("_lead") + 1, STEP), lambda c: c < F.col(order)))
+    return with_cuts.withColumn("_lead", lead).withColumn("_block", F.col("_lead") + rest).drop("_cuts", "_lead")
 
 
 def prefix_by_value(

@@ -819,34 +819,51 @@ def chunks(spark, d):
     return out.withColumn("tokens", F.concat_ws(" ", "tokens"))
 
 
-_padded = f"""SELECT seq, array_to_string(list_concat(t, list_transform(range(len(t), {N_CTX}), lambda x: pad)), ' ') AS labels,
-    array_to_string(list_transform(range(0, {N_CTX}), lambda x: CASE WHEN x < len(t) THEN 1 ELSE 0 END), ' ') AS attention_mask
-    FROM (SELECT seq, list(token_id ORDER BY pos) AS t FROM tokens WHERE pos < {N_CTX} GROUP BY seq),
-    (SELECT token_id AS pad FROM special WHERE literal = '<pad>')"""
+def _fill(cells: str) -> str:
+    """A token list padded to the context, as text."""
+    return f"array_to_string(list_concat({cells}, list_transform(range(len({cells}), {CONTEXT_TOKENS}), lambda x: pad)), ' ')"
 
 
-@query("seq:i labels:s attention_mask:s", _padded)
+def _real(cells: str) -> str:
+    """1 for tokens that are no padding, as text."""
+    return f"array_to_string(list_transform(range(0, {CONTEXT_TOKENS}), lambda x: CASE WHEN x < len({cells}) AND {cells}[x + 1] <> pad THEN 1 ELSE 0 END), ' ')"
+
+
+_pad = "(SELECT token_id AS pad FROM special WHERE literal = '<pad>')"
+_masked = f"""SELECT seq, pos, token_id, CASE WHEN {oracle.uniform(3, "'pick'", "seq", "pos")} < 0.15 AND {oracle.uniform(3, "'replace'", "seq", "pos")} < 0.8
+    THEN pad ELSE token_id END AS masked FROM tokens, {_pad}"""
+
+
+@query(
+    "seq:i labels:s attention_mask:s",
+    f"""SELECT seq, {_fill("t")} AS labels, {_real("t")} AS attention_mask
+    FROM (SELECT seq, list(token_id ORDER BY pos) AS t FROM tokens WHERE pos < {CONTEXT_TOKENS} GROUP BY seq), {_pad}""",
+)
 def padded(spark, d):
     r = Records(spark, d)
     pad = r.meta.special("<pad>")
-    out = tokens.sequences(r.tokens, N_CTX).withColumn("labels", pad_array("tokens", N_CTX, pad))
+    out = tokens.sequences(r.tokens, CONTEXT_TOKENS).withColumn("labels", pad_array("tokens", CONTEXT_TOKENS, pad))
     return out.select(
         "seq", F.concat_ws(" ", "labels").alias("labels"),
         F.concat_ws(" ", attention_mask("labels", pad)).alias("attention_mask"),
     )
 
 
-@query("seq:i input_ids:s labels:s attention_mask:s", _padded.replace("SELECT seq, ", "SELECT seq, labels AS input_ids, labels, attention_mask FROM (SELECT seq, ", 1) + ")")
+@query(
+    "seq:i input_ids:s labels:s attention_mask:s",
+    f"""SELECT seq, {_fill("m")} AS input_ids, {_fill("t")} AS labels, {_real("m")} AS attention_mask FROM (
+    SELECT seq, list(token_id ORDER BY pos) AS t, list(masked ORDER BY pos) AS m FROM ({_masked}) WHERE pos < {CONTEXT_TOKENS} GROUP BY seq), {_pad}""",
+)
 def training_rows(spark, d):
+    """Masked model rows of the whole context."""
     r = Records(spark, d)
-    out = tokens.training_rows(r.tokens, N_CTX, r.meta.special("<pad>"), 0.0)
+    out = tokens.training_rows(r.tokens, CONTEXT_TOKENS, r.meta.special("<pad>"), 0.15, 3)
     return out.select("seq", *[F.concat_ws(" ", c).alias(c) for c in ("input_ids", "labels", "attention_mask")])
 
 
 @query(
     "seq:i pos:i masked:i",
-    f"""SELECT seq, pos, CASE WHEN {oracle.uniform(3, "'pick'", "seq", "pos")} < 0.15 AND {oracle.uniform(3, "'replace'", "seq", "pos")} < 0.8
-    THEN pad ELSE token_id END AS masked FROM tokens, (SELECT token_id AS pad FROM special WHERE literal = '<pad>')""",
+    f"SELECT seq, pos, masked FROM ({_masked})",
 )
 def masked_tokens(spark, d):
     r = Records(spark, d)
