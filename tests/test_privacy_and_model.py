@@ -307,3 +307,18 @@ def test_cache_and_save(spark, tmp_path):
         io.save_synthetic(spark.range(1).withColumnRenamed("id", "token_id"), path, "x")
     with pytest.raises(ValueError):
         io.load_split(spark, path, "holdout")
+
+
+def test_unstructured_vectors_are_copied_once_per_group(spark):
+    """Without structure every leaf is reached: rows are copied per group of leaves, not per leaf."""
+    x = np.random.default_rng(5).normal(size=(2000, 24))
+    frame = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "vector": list(x)}), "id long, vector array<double>")
+    index = nearest.vector_index({"a": frame.where("id % 3 > 0"), "b": frame.where("id % 3 = 0")})
+    unlimited = spark.createDataFrame([], "vid long, bounds map<int,double>, seen map<int,int>")
+    sent = nearest.later_visits(index, [(0, 0), (0, 1)], unlimited, 100)
+    assert sent.count() <= 2000 * len(set(index.groups(100))) < 2000 * len(index.pivots) / 2
+    a, b = x[np.arange(2000) % 3 > 0], x[np.arange(2000) % 3 == 0]
+    for k in (1, 5):
+        found = nearest.nearest_pairs(index, [("a", "a"), ("a", "b")], k, 100).cache()
+        assert np.allclose(by_row(a, found.where("c = 0"), index), brute(a, a, k, True))
+        assert np.allclose(by_row(a, found.where("c = 1"), index), brute(a, b, k))
