@@ -322,3 +322,19 @@ def test_unstructured_vectors_are_copied_once_per_group(spark):
         found = nearest.nearest_pairs(index, [("a", "a"), ("a", "b")], k, 100).cache()
         assert np.allclose(by_row(a, found.where("c = 0"), index), brute(a, a, k, True))
         assert np.allclose(by_row(a, found.where("c = 1"), index), brute(a, b, k))
+
+
+@pytest.mark.parametrize("penalty", [1.0, 1.3])
+def test_a_long_context_is_cut_to_what_can_be_drawn(penalty):
+    """The sampler looks at the most frequent tokens of a long context alone, and draws the same."""
+    rng = np.random.default_rng(2)
+    n, nexts = rng.integers(1, 40, 500), np.arange(500, dtype=np.int32)
+    rows = pd.DataFrame({"order": 0, "next": nexts, "n": n}).sample(frac=1, random_state=1)
+    options = (0.9, 5, 0.95, penalty)
+    sampler = seqmodel.Sampler(rows, 0, options, n_ctx=20)
+    for seen in (set(), set(np.argsort(-n)[:20].tolist())):
+        sampler.tables.clear()
+        got, cums = sampler.table([1], seen)
+        want, weights = seqmodel.sampling_weights(nexts, n / n.sum(), seen, *options)
+        assert got.tolist() == want.tolist() and np.allclose(cums, np.cumsum(weights))
+        assert len(sampler.shares(0, 500, len(seen))[0]) == 5 + len(seen)
