@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from visitframe.functions.columns import ratio
-from visitframe.functions.ordered import block_of, position_in, prefix_by_value, union_all, with_halo
+from visitframe.functions.ordered import block_of, by_size, position_in, prefix_by_value, union_all, with_halo
 from visitframe.session import durable
 
 
@@ -183,8 +184,9 @@ class SequenceTexts:
 
     The n-th sequence of each cohort by ``seq`` form one row of texts;
     sequences beyond the shortest cohort have no partner and count for TF-IDF
-    alone. All n-grams of all cohorts are counted in one shuffle and serve
-    every metric; a long sequence is cut into blocks, so no task holds one.
+    alone. Tokens are dealt by text, so their n-grams are counted in place and
+    only what the metrics need of a text is written; texts too long for a task
+    are cut into blocks.
     """
 
     def __init__(self, cohorts: Mapping[str, DataFrame], pad_id: int | None = None, width: int = 4096):
@@ -202,14 +204,39 @@ class SequenceTexts:
         self.ranks = durable(union_all(ranks))
         self.sizes = durable(self.ranks.groupBy("cohort").agg(F.count("*").alias("n")))
         self.tokens = durable(union_all(rows).join(self.ranks, ["cohort", "seq"]).select("cohort", "text", "pos", "token_id"))
-        near = with_halo(self.tokens, "pos", after=MAX_ORDER - 1, width=width)
-        w = Window.partitionBy("cohort", "text", "_block").orderBy("pos")
+        self.width = width
+
+    def _runs(self, near: DataFrame, *block: str) -> DataFrame:
+        """(cohort, text, block, _g): each token with those after it."""
+        w = Window.partitionBy("cohort", "text", *block).orderBy("pos")
         ahead = [F.col("token_id"), *[F.lead("token_id", j).over(w) for j in range(1, MAX_ORDER)]]
-        grams = near.select("_home", "cohort", "text", F.array(*ahead).alias("_g")).where("_home")
+        return near.select("*", F.array(*ahead).alias("_g"))
+
+    @property
+    def counts(self) -> list[Column]:
+        """Occurrences in each cohort: ``n_0``, ``n_1``, ..."""
+        return [F.count_if(F.col("cohort") == c).alias(f"n_{i}") for i, c in enumerate(self.names)]
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        """(text, order, ref, hit_i, all_i): n-grams of a text, and those each cohort shares with the reference."""
+        def split(rows: DataFrame) -> DataFrame:
+            near = with_halo(rows, "pos", after=MAX_ORDER - 1, width=self.width)
+            return self._runs(near, "_block").where("_home").select("cohort", "text", "_g")
+
+        grams = by_size(self.tokens, ["text"], lambda rows: self._runs(rows.repartition("text")).select("cohort", "text", "_g"), split)
         full = F.filter(F.transform(F.sequence(F.lit(1), F.lit(MAX_ORDER)), lambda n: F.slice("_g", F.lit(1), n)), lambda g: ~F.exists(g, lambda t: t.isNull()))
-        counts = [F.count_if(F.col("cohort") == c).alias(f"n_{i}") for i, c in enumerate(self.names)]
         exploded = grams.select("cohort", "text", F.explode(full).alias("gram"))
-        self.grams = durable(exploded.groupBy("text", "gram").agg(*counts).withColumn("order", F.size("gram")))
+        counted = exploded.groupBy("text", "gram").agg(*self.counts).withColumn("order", F.size("gram"))
+        sums = [F.sum("n_0").alias("ref")]
+        for i in range(1, len(self.names)):
+            sums += [F.sum(F.least("n_0", f"n_{i}")).alias(f"hit_{i}"), F.sum(f"n_{i}").alias(f"all_{i}")]
+        return durable(counted.groupBy("text", "order").agg(*sums))
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """(text, token_id, n_i): the tokens of a text."""
+        return durable(self.tokens.groupBy("text", "token_id").agg(*self.counts))
 
     def size(self, name: str) -> Column:
         return F.coalesce(self.sizes.where(F.col("cohort") == name).agg(F.max("n")).scalar(), F.lit(0))
@@ -219,9 +246,9 @@ class SequenceTexts:
         return F.least(self.size(self.base), self.size(name))
 
     def _hits(self, name: str, keys: Sequence[str]) -> DataFrame:
-        own = F.col(f"n_{self.names.index(name)}")
-        paired = self.grams.where(F.col("text") < self.partners(name))
-        return paired.groupBy(*keys).agg(F.sum(F.least("n_0", own)).alias("_hit"), F.sum(own).alias("_all"), F.sum("n_0").alias("_ref"))
+        i = self.names.index(name)
+        paired = self.hits.where(F.col("text") < self.partners(name))
+        return paired.groupBy(*keys).agg(F.sum(f"hit_{i}").alias("_hit"), F.sum(f"all_{i}").alias("_all"), F.sum("ref").alias("_ref"))
 
     def rouge(self, name: str, order: int) -> Column:
         """Mean ROUGE-n F; a pair without such an n-gram counts 0."""
@@ -238,8 +265,8 @@ class SequenceTexts:
         """RMSE of the mean TF-IDF vectors; tokens written with one digit are no words."""
         def weights(cohort: str) -> DataFrame:
             n = F.col(f"n_{self.names.index(cohort)}")
-            word = F.element_at("gram", 1).cast("string")
-            return self.grams.where((F.col("order") == 1) & (n > 0) & (F.length(word) >= 2)).select(
+            word = F.col("token_id").cast("string")
+            return self.words.where((n > 0) & (F.length(word) >= 2)).select(
                 F.col("text").alias("doc"), word.alias("word"), n.alias("_tf")
             )
 
