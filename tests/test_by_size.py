@@ -68,6 +68,23 @@ def test_families_share_a_count(spark, codes):
     assert together == sorted(alone, key=str)
 
 
+def test_families_compare_as_counted(spark, codes):
+    known = codes.where("code IS NOT NULL")
+    visits = codes.select("seq", "visit_idx").distinct()
+    sides = [codestats.code_statistics(t.where(c), v.where(c)) for t, v, c in ((known, visits, "seq < 2"), (known, visits, "seq > 0"))]
+    want = codestats.compare_code_stats(*sides)
+    got = codestats.compare_code_stats(*sides, families=codestats.FAMILIES)
+    def near(df):
+        rounded = [F.round(c, 9).alias(c) for c in ("r2", "r2_rare")]
+        return every(df.select("family", "n_keys", *rounded))
+
+    assert near(got) == near(want)
+    one = [codestats.code_statistics(known.where(c), visits.where(c), ["visit_pair", "record_pair"]) for c in ("seq < 2", "seq > 0")]
+    by_family = codestats.compare_code_stats(*one, families=["visit_pair", "record_pair"])
+    plan = by_family._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(family" in x and "k1" in x]
+
+
 def test_texts_by_blocks(spark, monkeypatch):
     rng = random.Random(7)
     cohorts = {

@@ -6,15 +6,15 @@ visit (seq, visit_idx) so that visits without codes count.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from visitframe.functions.columns import ratio
-from visitframe.functions.ordered import block_of, union_all
+from visitframe.functions.ordered import block_of, by_size, dealt, union_all
 from visitframe.operators.restructure import all_keys
-from visitframe.session import durable
 
 VISIT = ["seq", "visit_idx"]
 PAIR = ["first", "second"]
@@ -24,9 +24,9 @@ FAMILY_KEYS = ["family", "k1", "k2", "k3"]
 
 
 def _in_blocks(codes: DataFrame, width: int) -> DataFrame:
-    """Codes of each run of at most ``width`` positions as one ordered array."""
+    """Codes of each run of at most ``width`` positions as one ordered array, dealt by record."""
     item = F.struct("pos", "code")
-    packed = codes.groupBy(*VISIT, block_of("pos", width).alias("block")).agg(
+    packed = dealt(codes, ["seq"]).groupBy(*VISIT, block_of("pos", width).alias("block")).agg(
         F.array_sort(F.collect_list(item)).alias("_x")
     )
     return packed.withColumn("_x", F.transform("_x", lambda x: x["code"]))
@@ -155,8 +155,29 @@ def code_triples(codes: DataFrame, width: int = BLOCK) -> DataFrame:
 def sequential_pairs(codes: DataFrame) -> DataFrame:
     """(seq, first, second, n): codes of a visit with codes of the next one.
 
-    Copies are counted per visit first, so only distinct codes meet.
+    Copies are counted per visit first, so only distinct codes meet. Rows are
+    dealt by record once: a visit, packed, meets the one before it in a
+    window. Records too large for a task are joined by visit.
     """
+    return by_size(codes, ["seq"], _next_visits, _joined_visits)
+
+
+def _next_visits(codes: DataFrame) -> DataFrame:
+    here = codes.where(F.col("seq").isNotNull() & F.col("visit_idx").isNotNull()).repartition("seq")
+    hist = here.groupBy(*VISIT, "code").agg(F.count("*").alias("n"))
+    item = F.struct(F.col("code").alias("second"), F.col("n").alias("m"))
+    packed = hist.groupBy(*VISIT).agg(F.collect_list(item).alias("_now"))
+    along = Window.partitionBy("seq").orderBy("visit_idx")
+    both = packed.select(
+        *VISIT, "_now", F.lag("_now").over(along).alias("_was"), F.lag("visit_idx").over(along).alias("_last")
+    ).where(F.col("_last") == F.col("visit_idx") - 1)
+    before = both.select("seq", "_now", F.inline("_was").alias("first", "n"))
+    return before.select("seq", "first", "n", F.inline("_now")).select(
+        "seq", *PAIR, (F.col("n") * F.col("m")).alias("n")
+    )
+
+
+def _joined_visits(codes: DataFrame) -> DataFrame:
     hist = codes.groupBy(*VISIT, "code").agg(F.count("*").alias("n"))
     before = hist.select(
         "seq", (F.col("visit_idx") + 1).alias("visit_idx"), F.col("code").alias("first"), "n"
@@ -167,6 +188,28 @@ def sequential_pairs(codes: DataFrame) -> DataFrame:
     )
 
 
+def counted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, records): occurrences of each key and records that contain it, together."""
+    held = rows.groupBy("seq", *keys).agg(F.sum("n").alias("n"))
+    return held.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("records"))
+
+
+def _shares(rows: DataFrame, keys: Sequence[str], totals: Mapping[str, tuple[str, Column]], min_count: int) -> DataFrame:
+    """(family, keys, n, p) of families that share their keys, from one count.
+
+    ``totals`` gives per family the column of ``counted`` and what it is divided by.
+    """
+    both = counted(rows, keys)
+    # Each family asks for both columns, so that one shuffle serves all.
+    kept = [both.where((F.col(at) > min_count) & (F.col("n") > 0) & (F.col("records") > 0)) for at, _ in totals.values()]
+    return union_all(
+        [
+            t.select(F.lit(name).alias("family"), *keys, F.col(at).alias("n"), ratio(F.col(at), total).alias("p"))
+            for t, (name, (at, total)) in zip(kept, totals.items())
+        ]
+    )
+
+
 def per_visit(rows: DataFrame, keys: Sequence[str], total: Column, min_count: int = 0) -> DataFrame:
     """Occurrences over ``total`` visits; keys seen at most ``min_count`` times drop."""
     counts = rows.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") > min_count)
@@ -258,36 +301,31 @@ def code_statistics(
 ) -> DataFrame:
     """All probability families in one table (family, k1, k2, k3, n, p)."""
     n_visits, n_records = visit_totals(visits)
+    n_next = n_visits - n_records
     singles = codes.select("seq", "code", F.lit(1).alias("n"))
-    wanted = set(families)
-    pairs = durable(code_pairs(codes, sort)) if wanted >= {"visit_pair", "record_pair"} else code_pairs(codes, sort) if wanted & {"visit_pair", "record_pair"} else None
-    following = sequential_pairs(codes)
-    if wanted >= {"visit_seq_pair", "record_seq_pair"}:
-        following = durable(following)
-    makers = {
-        "visit_code": lambda: per_visit(singles, ["code"], n_visits, min_count),
-        "record_code": lambda: per_record(singles, ["code"], n_records, min_count),
-        "visit_pair": lambda: per_visit(pairs, PAIR, n_visits, min_count),
-        "record_pair": lambda: per_record(pairs, PAIR, n_records, min_count),
-        "visit_triple": lambda: per_visit(code_triples(codes), TRIPLE, n_visits, min_count),
-        "visit_seq_pair": lambda: per_visit(following, PAIR, n_visits - n_records, min_count),
-        "record_seq_pair": lambda: per_record(following, PAIR, n_records, min_count),
+    # Keys and rows of each kind; families by visit and by record share them.
+    rows = {
+        "code": (["code"], lambda both: dealt(singles, ["seq"]) if both else singles),
+        "pair": (PAIR, lambda both: code_pairs(codes, sort)),
+        "triple": (TRIPLE, lambda both: code_triples(codes)),
+        "seq_pair": (PAIR, lambda both: sequential_pairs(codes)),
     }
+    wanted = list(dict.fromkeys(families))
     parts = []
-    for name in families:
-        table = makers[name]()
-        keys = [c for c in table.columns if c not in ("n", "p")]
-        parts.append(
-            table.select(
-                F.lit(name).alias("family"),
-                *[
-                    (F.col(keys[i]) if i < len(keys) else F.lit("")).alias(f"k{i + 1}")
-                    for i in range(3)
-                ],
-                "n",
-                "p",
-            )
-        )
+    for kind, (keys, make) in rows.items():
+        by_visit, by_record = f"visit_{kind}" in wanted, f"record_{kind}" in wanted
+        total = n_next if kind == "seq_pair" else n_visits
+        if by_visit and by_record:
+            totals = {f"visit_{kind}": ("n", total), f"record_{kind}": ("records", n_records)}
+            table = _shares(make(True), keys, totals, min_count)
+        elif by_visit:
+            table = per_visit(make(False), keys, total, min_count).withColumn("family", F.lit(f"visit_{kind}"))
+        elif by_record:
+            table = per_record(make(False), keys, n_records, min_count).withColumn("family", F.lit(f"record_{kind}"))
+        else:
+            continue
+        cells = [(F.col(keys[i]) if i < len(keys) else F.lit("")).alias(f"k{i + 1}") for i in range(3)]
+        parts.append(table.select("family", *cells, "n", "p"))
     return union_all(parts)
 
 
@@ -322,9 +360,27 @@ def r2_columns(x: Column, y: Column) -> Column:
     )
 
 
-def compare_code_stats(a: DataFrame, b: DataFrame, rare: float = 0.005) -> DataFrame:
-    """R2 per family over all keys (missing = 0), and over keys with ``x < rare``."""
-    joined = all_keys(a, b, FAMILY_KEYS)
+#: Keys of a kind of family.
+N_KEYS = {"code": 1, "pair": 2, "triple": 3, "seq_pair": 2}
+
+
+def compare_code_stats(
+    a: DataFrame, b: DataFrame, rare: float = 0.005, families: Sequence[str] | None = None
+) -> DataFrame:
+    """R2 per family over all keys (missing = 0), and over keys with ``x < rare``.
+
+    With ``families``, those of ``code_statistics`` that the tables hold, each
+    is joined by its own keys, as it was counted, and not shuffled again.
+    """
+    if families is None:
+        joined = all_keys(a, b, FAMILY_KEYS)
+    else:
+        parts = []
+        for name in dict.fromkeys(families):
+            keys = [f"k{i + 1}" for i in range(N_KEYS[name.split("_", 1)[1]])]
+            sides = [t.where(F.col("family") == name) for t in (a, b)]
+            parts.append(all_keys(*sides, keys).select(F.lit(name).alias("family"), "p", "q"))
+        joined = union_all(parts)
     x, y = F.col("p"), F.col("q")
     few = x < rare
     return joined.groupBy("family").agg(

@@ -102,7 +102,7 @@ def scratch(spark: SparkSession) -> str:
 
 def visit_tables(r: Records, split: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(codes, visits) in the layout of the code statistics."""
-    codes = r.stay_codes.select(
+    codes = r.visit_codes.select(
         F.col("sid").alias("seq"), F.col("stay_idx").alias("visit_idx"),
         F.col("code_pos").alias("pos"), "code", "split",
     )
@@ -113,8 +113,7 @@ def visit_tables(r: Records, split: str | None = None) -> tuple[DataFrame, DataF
 
 
 def split_tokens(r: Records) -> DataFrame:
-    subjects = proxy.subjects(r.spark, r.sf_dir).select(F.col("sid").alias("seq"), "split")
-    return r.tokens.join(subjects, "seq")
+    return r.split_tokens
 
 
 # --- flagship and code statistics ------------------------------------------------
@@ -132,7 +131,7 @@ def _code_r2(spark, d, families):
     sides = [
         codestats.code_statistics(*visit_tables(r, split), families) for split in ("train", "synthetic")
     ]
-    return codestats.compare_code_stats(*sides)
+    return codestats.compare_code_stats(*sides, families=families)
 
 
 @query(
@@ -173,8 +172,7 @@ def code_probs_record(spark, d):
 )
 def code_pairs(spark, d):
     codes, _ = visit_tables(Records(spark, d))
-    rows = codestats.code_pairs(codes).groupBy("seq", *codestats.PAIR).agg(F.sum("n").alias("n"))
-    return rows.groupBy(*codestats.PAIR).agg(F.sum("n").alias("n"), F.count("*").alias("records"))
+    return codestats.counted(codestats.code_pairs(codes), codestats.PAIR)
 
 
 @query(
@@ -201,10 +199,7 @@ def code_triples(spark, d):
 )
 def sequential_pairs(spark, d):
     codes, _ = visit_tables(Records(spark, d))
-    rows = codestats.sequential_pairs(codes)
-    return rows.groupBy(*codestats.PAIR).agg(
-        F.sum("n").alias("n"), F.count_distinct("seq").alias("records")
-    )
+    return codestats.counted(codestats.sequential_pairs(codes), codestats.PAIR)
 
 
 @query(
@@ -254,7 +249,7 @@ _report_rows = f"""SELECT family, k1, k2, k3, p FROM fam WHERE {_one_split} AND
 def code_report_sorted(spark, d):
     """Name-ordered pairs, lengths and gaps of the training split in one report."""
     r = Records(spark, d)
-    codes, visits = (durable(t) for t in visit_tables(r, "train"))
+    codes, visits = visit_tables(r, "train")
     stays = r.stays.where(F.col("split") == "train").select("sid", "stay_idx")
     gaps = discretize.gap_bin(r.stay_series, proxy.FIXED_HOURS).join(stays, ["sid", "stay_idx"], "left_semi")
     return codestats.code_report(codes, visits, gaps, [f for f in codestats.FAMILIES if f != "visit_triple"])
@@ -268,7 +263,7 @@ def code_report_sorted(spark, d):
 )
 def code_statistics_min_count(spark, d):
     """Keys seen once are left out."""
-    codes, visits = (durable(t) for t in visit_tables(Records(spark, d)))
+    codes, visits = visit_tables(Records(spark, d))
     return codestats.code_statistics(codes, visits, ["visit_code", "record_pair", "visit_seq_pair"], min_count=1)
 
 
@@ -972,7 +967,7 @@ def ancestor_groups(spark, d):
 # --- sequence model ----------------------------------------------------------------------
 
 def _model(r: Records) -> tuple[DataFrame, DataFrame]:
-    rows = durable(split_tokens(r))
+    rows = split_tokens(r)
     train = rows.where(F.col("split") == "train")
     return durable(seqmodel.fit_sequence_model(train)), rows
 
@@ -1091,7 +1086,7 @@ _heads = " UNION ALL ".join(
 )
 def lookahead_scores(spark, d):
     r = Records(spark, d)
-    rows = durable(split_tokens(r))
+    rows = split_tokens(r)
     fitted = durable(seqmodel.lookahead_model(rows.where(F.col("split") == "train"), 3))
     size = r.meta.vocab().agg(F.count("*")).scalar()
     return union_all(
@@ -1170,7 +1165,7 @@ _ngram_compare = f"""SELECT pair, ord AS "order",
 
 @query("pair:s order:i " + " ".join(f"{m}:f" for m in ngrams.METRICS), _ngram_compare)
 def ngram_compare(spark, d):
-    rows = durable(split_tokens(Records(spark, d)))
+    rows = split_tokens(Records(spark, d))
     cohorts = {s: rows.where(F.col("split") == s) for s in ("train", "val", "synthetic")}
     return ngrams.ngram_report(cohorts, [("train", "val"), ("train", "synthetic")])
 
@@ -1276,7 +1271,7 @@ _report = f"""SELECT * FROM (WITH seqs AS ({_seqs}), size AS (SELECT split, coun
 
 
 def _sequence_texts(spark, d) -> textsim.SequenceTexts:
-    rows = durable(split_tokens(Records(spark, d)))
+    rows = split_tokens(Records(spark, d))
     return textsim.SequenceTexts({s: rows.where(F.col("split") == s) for s in ("train", "val", "synthetic")})
 
 
