@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from visitframe.functions import ordered
-from visitframe.operators import codestats, textsim
+from visitframe.operators import codestats, records, textsim
 
 
 def exchanges(df) -> int:
@@ -98,3 +98,28 @@ def test_texts_by_blocks(spark, monkeypatch):
     split = textsim.SequenceTexts(cohorts, width=4)
     assert every(split.hits) == every(counted)
     assert [r[:2] for r in every(textsim.text_report(split))] == [r[:2] for r in found]
+
+
+def test_features_are_dealt_before_their_levels(spark, monkeypatch):
+    monkeypatch.setattr(records, "SALT_ROWS", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = random.Random(3)
+        cells = [("t", r, v, f"c{rng.randint(0, 9)}") for r in range(40) for v in range(rng.randint(1, 9)) for _ in range(2)]
+        codes = spark.createDataFrame(cells, "part string, rid long, visit_idx int, code string")
+        visits = codes.select("part", "rid", "visit_idx").distinct()
+        labels = codes.select("part", "rid").distinct().withColumn("labels", F.array(F.lit(0)))
+        s = records.record_set(codes, visits, labels)
+        posted = records.postings(s, s, records.without_common(s, s, 100.0))
+        def plan(df):
+            return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+        def dealt_by(df, *names):
+            return [x for x in plan(df) if "Exchange hashpartitioning" in x and all(n in x.split("), ENSURE")[0] for n in names)]
+
+        # Levels are told where the features of a record lie.
+        assert not dealt_by(posted, "rec#", "level#")
+        # Both sides of the candidates are dealt once, salted or not.
+        assert len(dealt_by(records.candidates(s, posted), "visit_idx#", "level#")) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
