@@ -1,5 +1,6 @@
 """Keys of bounded size go whole, larger ones by blocks; both give the same and the first is cheap."""
 
+import math
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from visitframe.functions import ordered
-from visitframe.operators import codestats, records, textsim
+from visitframe.operators import codestats, records, seqmodel, textsim
 
 
 def exchanges(df) -> int:
@@ -100,6 +101,53 @@ def test_texts_by_blocks(spark, monkeypatch):
     assert [r[:2] for r in every(textsim.text_report(split))] == [r[:2] for r in found]
 
 
+@pytest.fixture(scope="module")
+def split_tokens(spark):
+    rng = random.Random(11)
+    rows = [(s, p, rng.randint(1, 6), rng.choice("tvs")) for s in range(60) for p in range(rng.randint(1, 12))]
+    split = {s: x for s, p, _, x in rows if p == 0}
+    return spark.createDataFrame([(s, p, t, split[s]) for s, p, t, _ in rows], "seq long, pos long, token_id int, split string").cache()
+
+
+def test_splits_are_scored_in_one_pass(spark, split_tokens):
+    rest = split_tokens.where("split <> 't'")
+    train = split_tokens.where("split = 't'")
+    model = seqmodel.fit_sequence_model(train)
+    soft = spark.createDataFrame([(t, t + d, w) for t in range(1, 6) for d, w in ((0, 0.7), (1, 0.3))], "token_id int, target_id int, weight double")
+    fitted = seqmodel.lookahead_model(train, 2)
+    scored = {
+        "perplexity": lambda rows, **by: seqmodel.perplexity(model, rows, 6, **by),
+        "soft": lambda rows, **by: seqmodel.soft_perplexity(model, rows, soft, 6, **by),
+        "ahead": lambda rows, **by: seqmodel.lookahead_perplexity(fitted, rows, 2, 6, **by),
+    }
+    for score in scored.values():
+        together = score(rest, by=["split"])
+        rounded = [F.round(c, 9).alias(c) if c == "perplexity" else c for c in together.columns]
+        alone = [score(rest.where(F.col("split") == s)).withColumn("split", F.lit(s)) for s in "vs"]
+        assert every(together.select(rounded)) == every(alone[0].unionByName(alone[1]).select(rounded))
+    counts = seqmodel.context_counts(split_tokens, 2, ["split"])
+    assert every(seqmodel.fit_sequence_model(counts.where("split = 't'"))) == every(model)
+    near = [F.round("perplexity", 9)]
+    assert every(scored["perplexity"](counts.where("split = 'v'")).select(near)) == every(scored["perplexity"](rest.where("split = 'v'")).select(near))
+
+
+def test_perplexity_of_lookahead(spark, split_tokens):
+    """Log shares split into hits and totals give what a plain loop gives, unknown tokens included."""
+    seqs = {}
+    for s, _, t, x in sorted(map(tuple, split_tokens.collect())):
+        seqs.setdefault((x, s), []).append(t if x == "t" else t + (s % 5 == 0))
+    rows = [(s, p, t, x) for (x, s), ts in seqs.items() for p, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "seq long, pos long, token_id int, split string")
+    fitted = seqmodel.lookahead_model(df.where("split = 't'"), 2)
+    got = {(r["split"], r["ahead"]): r["perplexity"] for r in seqmodel.lookahead_perplexity(fitted, df, 2, 8, by=["split"]).collect()}
+    pairs = [(x, j, ts[p], ts[p + j]) for (x, _), ts in seqs.items() for j in (1, 2) for p in range(len(ts) - j)]
+    for x, j in got:
+        known = [(a, b) for y, i, a, b in pairs if (y, i) == ("t", j)]
+        logs = [math.log((known.count((a, b)) + 1) / (sum(c == a for c, _ in known) + 8)) for y, i, a, b in pairs if (y, i) == (x, j)]
+        assert got[x, j] == pytest.approx(math.exp(-sum(logs) / len(logs)))
+    assert len(got) == 6
+
+
 def test_features_are_dealt_before_their_levels(spark, monkeypatch):
     monkeypatch.setattr(records, "SALT_ROWS", 8)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
