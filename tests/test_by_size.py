@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from visitframe.functions import ordered
-from visitframe.operators import codestats, records, seqmodel, textsim
+from visitframe.operators import codestats, ngrams, records, seqmodel, textsim
 
 
 def exchanges(df) -> int:
@@ -148,6 +148,23 @@ def test_perplexity_of_lookahead(spark, split_tokens):
     assert len(got) == 6
 
 
+@pytest.mark.parametrize("pad", [None, 3])
+def test_cohorts_in_one_table(spark, split_tokens, pad):
+    by_name = {s: split_tokens.where(F.col("split") == s) for s in "tvs"}
+    want = ngrams.ngram_report(by_name, [("t", "v"), ("t", "s")], (1, 2, 3), pad)
+    got = ngrams.ngram_report(split_tokens.withColumnRenamed("split", "cohort"), [("t", "v"), ("t", "s")], (1, 2, 3), pad)
+    rounded = ["pair", "order", *[F.round(c, 9) for c in ngrams.METRICS]]
+    assert every(got.select(rounded)) == every(want.select(rounded))
+
+
+def test_dealt_tokens_are_not_dealt_again(spark, split_tokens):
+    lie = split_tokens.repartition("seq")
+    runs = ngrams.ngram_report(lie.withColumnRenamed("split", "cohort"), [("t", "v")], (1, 2))
+    assert runs.count() == 2
+    assert exchanges(seqmodel._contexts(lie, 2, ["split"])) == 1
+    assert exchanges(seqmodel.lookahead_model(lie, 2, by=["split"]).drop("p")) == 2
+
+
 def test_features_are_dealt_before_their_levels(spark, monkeypatch):
     monkeypatch.setattr(records, "SALT_ROWS", 8)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -17,13 +17,13 @@ METRICS = ["kl", "js", "cosine", "euclidean", "pearson", "r2", "r2_log", "common
 MIN_COMMON = 10
 
 
-def drop_pads(tokens: DataFrame, pad_id: int) -> DataFrame:
+def drop_pads(tokens: DataFrame, pad_id: int, by: Sequence[str] = ()) -> DataFrame:
     """Tokens without padding, renumbered so that positions stay dense."""
     kept = tokens.where(F.col("token_id") != pad_id).select(
-        "seq", F.col("pos").alias("_old"), "token_id"
+        *by, "seq", F.col("pos").alias("_old"), "token_id"
     )
     blocked = kept.withColumn("_block", block_of("_old"))
-    return position_in(blocked, ["seq"], ["_block"], ["_old"], "pos").drop("_old", "_block")
+    return position_in(blocked, [*by, "seq"], ["_block"], ["_old"], "pos").drop("_old", "_block")
 
 
 def grams(tokens: DataFrame, n: int, width: int = 4096) -> DataFrame:
@@ -131,28 +131,38 @@ def compare_distributions(
 
 
 def ngram_report(
-    cohorts: Mapping[str, DataFrame],
+    cohorts: Mapping[str, DataFrame] | DataFrame,
     pairs: Sequence[tuple[str, str]],
     orders: Sequence[int] = (1, 2, 3, 4),
     pad_id: int | None = None,
 ) -> DataFrame:
-    """Distances for every n-gram order and pair of cohorts, in one table."""
+    """Distances for every n-gram order and pair of cohorts, in one table.
+
+    ``cohorts`` has the tokens of each cohort by name, or is one token table
+    with a column ``cohort``, which is read once.
+    """
     longest = max(orders)
-    tagged_tokens = [
-        (drop_pads(tokens, pad_id) if pad_id is not None else tokens).select(F.lit(name).alias("cohort"), "seq", "pos", "token_id")
-        for name, tokens in cohorts.items()
-    ]
-    counts = ngram_levels(union_all(tagged_tokens), longest, ["cohort"])
+    if isinstance(cohorts, DataFrame):
+        used = [name for pair in pairs for name in pair]
+        tagged_tokens = cohorts.where(F.col("cohort").isin(used))
+        if pad_id is not None:
+            tagged_tokens = drop_pads(tagged_tokens, pad_id, ["cohort"])
+    else:
+        tagged_tokens = union_all(
+            [
+                (drop_pads(tokens, pad_id) if pad_id is not None else tokens).select(F.lit(name).alias("cohort"), "seq", "pos", "token_id")
+                for name, tokens in cohorts.items()
+            ]
+        )
+    counts = ngram_levels(tagged_tokens, longest, ["cohort"])
     group = ["cohort", "order"]
     totals = counts.groupBy(*group).agg(F.sum("n").alias("_total"))
     keys = [f"t{i + 1}" for i in range(longest)]
-    # One row per cohort and order.
-    shares = durable(
-        counts.where(F.col("order").isin(list(orders))).join(F.broadcast(totals), group).select(
-            *group,
-            *[F.coalesce(F.get("run", F.lit(i)), F.lit(-1)).alias(k) for i, k in enumerate(keys)],
-            (F.col("n") / F.col("_total")).alias("p"),
-        )
+    # One row per cohort and order. The levels lie written, their shares are not written again.
+    shares = counts.where(F.col("order").isin(list(orders))).join(F.broadcast(totals), group).select(
+        *group,
+        *[F.coalesce(F.get("run", F.lit(i)), F.lit(-1)).alias(k) for i, k in enumerate(keys)],
+        (F.col("n") / F.col("_total")).alias("p"),
     )
 
     def tagged(name: str, pair: str) -> DataFrame:

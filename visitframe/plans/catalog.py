@@ -1172,8 +1172,7 @@ _ngram_compare = f"""SELECT pair, ord AS "order",
 
 @query("pair:s order:i " + " ".join(f"{m}:f" for m in ngrams.METRICS), _ngram_compare)
 def ngram_compare(spark, d):
-    rows = split_tokens(Records(spark, d))
-    cohorts = {s: rows.where(F.col("split") == s) for s in ("train", "val", "synthetic")}
+    cohorts = Records(spark, d).dealt_split_tokens.withColumnRenamed("split", "cohort")
     return ngrams.ngram_report(cohorts, [("train", "val"), ("train", "synthetic")])
 
 
