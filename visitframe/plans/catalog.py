@@ -852,7 +852,7 @@ def padded(spark, d):
 def training_rows(spark, d):
     """Masked model rows of the whole context."""
     r = Records(spark, d)
-    out = tokens.training_rows(r.tokens, CONTEXT_TOKENS, r.meta.special("<pad>"), 0.15, 3)
+    out = tokens.training_rows(r.dealt_tokens, CONTEXT_TOKENS, r.meta.special("<pad>"), 0.15, 3)
     return out.select("seq", *[F.concat_ws(" ", c).alias(c) for c in ("input_ids", "labels", "attention_mask")])
 
 
