@@ -896,7 +896,7 @@ def roundtrip(spark, d):
 def saved_synthetic(spark, d):
     """One split, detokenized, saved as synthetic records and read again."""
     r = Records(spark, d)
-    picked = split_tokens(r).where(F.col("split") == "synthetic").select("seq", "pos", "token_id", "stay_idx", "row_idx")
+    picked = r.dealt_split_tokens.where(F.col("split") == "synthetic").select("seq", "pos", "token_id", "stay_idx", "row_idx")
     stays, events = tokens.detokenize(durable(picked), r.meta)
     rows, _ = tokens.events_as_input(stays, events)
     path = scratch(spark)
