@@ -338,3 +338,33 @@ def test_a_long_context_is_cut_to_what_can_be_drawn(penalty):
         want, weights = seqmodel.sampling_weights(nexts, n / n.sum(), seen, *options)
         assert got.tolist() == want.tolist() and np.allclose(cums, np.cumsum(weights))
         assert len(sampler.shares(0, 500, len(seen))[0]) == 5 + len(seen)
+
+
+def test_rings_of_all_sets_are_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = {
+        name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 3)))], "id int, vector array<double>")
+        for name in ("real", "test", "synthetic")
+    }
+    passes, search = [], nearest.nearest_pairs
+    monkeypatch.setattr(nearest, "nearest_pairs", lambda index, pairs, k=1: passes.append(k) or search(index, pairs, k))
+    found = privacy.VectorSets(sets)
+    for other in ("test", "synthetic"):
+        assert privacy.prdc(found, other).count() == 4
+    assert sorted(passes) == [1, 5]
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_few_candidates_are_taken_exactly(shift, monkeypatch):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(50, 8)) + shift, rng.normal(size=(4000, 8)) + shift
+    true = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    met, exact = [], nearest._exact
+    monkeypatch.setattr(nearest, "_exact", lambda x, y, row, col: met.append(len(row)) or exact(x, y, row, col))
+    none = (np.array([], dtype=int), np.array([], dtype=int))
+    # Bounds that a tenth of the cells are within, as those of a first look into one leaf.
+    bound = np.quantile(true, 0.1, axis=1)
+    row, dist, _ = nearest._k_nearest(x, y, none, np.ones(4000, dtype=int), 5, bound, [])
+    assert np.allclose(dist.reshape(50, 5), np.sort(true, axis=1)[:, :5], rtol=1e-12)
+    assert (row == np.repeat(np.arange(50), 5)).all()
+    assert met[0] < 50 * 60
