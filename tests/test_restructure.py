@@ -1,10 +1,12 @@
 """Nested records and the regular grid for ids of any size."""
 
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
 
 from visitframe.operators import restructure
+from visitframe.plans import proxy
 
 
 def test_nested_records_keep_order_and_come_back(spark):
@@ -41,3 +43,20 @@ def test_grid_limits_rows_before_the_shuffle(spark):
     late = spark.createDataFrame([(1, 99.0, 0.5), (1, None, 0.25)], "id int, hours double, v double")
     got = [(r["value_v"], r["mask_v"]) for r in restructure.to_grid(late, "id", "hours", ["v"], 1.0, 3).orderBy("cell").collect()]
     assert got == [(-0.5, 1), (0.0, -1), (0.0, -1)]
+
+
+def test_series_group_their_events_once(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1, 5)
+    rows = [(i, start + dt.timedelta(minutes=25 * i), i % 2, ["click", "view"][i % 3 == 0], float(i), '{"k": 5}') for i in range(40)]
+    rows += [(100, None, 0, "view", 1.0, None), (101, start, None, "view", 1.0, None)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "events.parquet"))
+    out = proxy.series(spark, str(tmp_path))
+    # By hour, and the first hour of each stay straight from the events.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+    hours = {}
+    for e, ts, user, *_ in rows[:40]:
+        hours.setdefault(user, set()).add(int((ts - start).total_seconds() // 3600))
+    want = {(u, i, float(h - min(hs))) for u, hs in hours.items() for i, h in enumerate(sorted(hs))}
+    got = {(r["sid"], r["row_idx"], r["hours"]) for r in out.where("stay_idx = 0").collect()}
+    assert got == want
