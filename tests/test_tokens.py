@@ -141,3 +141,17 @@ def test_aligned_horizons(spark, meta):
     assert kept == {12.0: 3, 24.0: -1}
     aligned = {r["horizon"]: r["position"] for r in tokens.token_horizons(df, want, aligned=True).collect()}
     assert aligned == {12.0: 2, 24.0: 3}
+
+
+def test_segments_compute_their_tokens_once(spark):
+    rows = spark.createDataFrame([(s, p, p % 3) for s in range(4) for p in range(9)], "seq int, pos int, token_id int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    out = tokens.segment_index(rows.mapInPandas(passed, rows.schema), [0], counted=rows.select("seq")).collect()
+    assert seen.value == 36
+    assert {(r["seq"], r["pos"]): r["segment"] for r in out} == {(s, p): p // 3 + 1 for s in range(4) for p in range(9)}

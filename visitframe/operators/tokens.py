@@ -244,11 +244,16 @@ def render_text(tokens: DataFrame, vocab: DataFrame, n_ctx: int) -> DataFrame:
 
 # --- per-position features -----------------------------------------------------
 
-def segment_index(tokens: DataFrame, boundary_ids: Sequence[int], width: int = 4096) -> DataFrame:
-    """Add ``segment``: boundary tokens seen so far, this one included."""
+def segment_index(
+    tokens: DataFrame, boundary_ids: Sequence[int], width: int = 4096, counted: DataFrame | None = None
+) -> DataFrame:
+    """Add ``segment``: boundary tokens seen so far, this one included.
+
+    ``counted`` has each ``seq`` in no fewer rows than ``tokens`` and is cheaper to count.
+    """
     hit = F.col("token_id").isin(list(boundary_ids)).cast("long")
     out = prefix_over_blocks(
-        tokens.withColumn("_block", block_of("pos", width)), ["seq"], ["_block"], ["pos"], {"segment": hit}, coarse=True
+        tokens.withColumn("_block", block_of("pos", width)), ["seq"], ["_block"], ["pos"], {"segment": hit}, coarse=True, counted=counted
     )
     return out.withColumn("segment", F.col("segment") + hit).drop("_block")
 

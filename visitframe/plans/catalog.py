@@ -937,7 +937,8 @@ def history_prompts(spark, d):
 )
 def segments(spark, d):
     r = Records(spark, d)
-    return tokens.segment_index(r.tokens, [r.meta.special(t) for t in ("<s>", "</label>", "</adm>")])
+    boundaries = [r.meta.special(t) for t in ("<s>", "</label>", "</adm>")]
+    return tokens.segment_index(r.dealt_tokens, boundaries, counted=r.token_owners)
 
 
 @query(

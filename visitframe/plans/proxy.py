@@ -203,6 +203,13 @@ class Records:
         """``tokens`` for a single reader, not written: they lie dealt by sequence, so what it does by ``seq`` shuffles nothing."""
         return tokenize(self.events, self.stays, self.meta)
 
+    @property
+    def token_owners(self) -> DataFrame:
+        """``seq`` in no fewer rows than it has tokens, for those that only count them: a stay has five closing
+        tokens, a sequence two more."""
+        marks = self.stays.select(F.col("sid").alias("seq"), F.explode(F.array_repeat(F.lit(0), 7))).select("seq")
+        return self.events.select(F.col("sid").alias("seq")).unionByName(marks)
+
     @property
     def dealt_split_tokens(self) -> DataFrame:
         """``dealt_tokens`` with the split of their subject, joined where they lie."""
