@@ -1,5 +1,7 @@
 """Nearest neighbours against NumPy, record distances, sampling, sources."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -197,6 +199,21 @@ def test_kde(spark):
     assert got[0] == pytest.approx(0.106977, abs=1e-6) and got[1] == pytest.approx(0.214895, abs=1e-6)
 
 
+def test_density_of_equal_and_of_far_distances(spark):
+    equal = spark.createDataFrame([(1.5, 2), (1.5, 1)], "dist double, weight long")
+    got = spark.range(1).select(privacy.distance_kde(equal, F.lit(4.0), 3).alias("y")).first()["y"]
+    assert all(math.isnan(y) for y in got)
+    # A density of the least double is halved to 0; the other one has none there.
+    far = spark.createDataFrame([([5e-324, 4.0, 1.0], [0.0, 4.0, 3.0])], "p array<double>, q array<double>")
+    got = privacy.density_divergence(far).first()
+    p, q = (0.8, 0.2), (4 / 7, 3 / 7)
+    m = [8 / 12, 4 / 12]  # of the sums
+    want = sum(x * math.log(x / z) + y * math.log(y / z) for x, y, z in zip(p, q, m)) / 2
+    assert got["jsd"] == pytest.approx(want) and got["wasserstein"] == pytest.approx(2 / 3)
+    unknown = spark.createDataFrame([([None, None], [None, None])], "p array<double>, q array<double>")
+    assert privacy.density_divergence(unknown).first()["jsd"] is None
+
+
 def toy_tokens(spark, n=40):
     rng = np.random.default_rng(7)
     rows = [(s, p, int(t)) for s in range(n) for p, t in enumerate([1, *rng.integers(2, 6, rng.integers(1, 9)), 9])]
