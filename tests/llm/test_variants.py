@@ -65,6 +65,17 @@ def test_pairs_come_once(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_tables_of_words_are_not_broadcast(spark):
+    table = variants.written(spark.createDataFrame([("abcde", 3), ("abcdf", 9)], "word string, n long"))
+    pairs = variants.near_pairs(table)
+    assert pairs.count() == 1
+    out = variants.group(table)
+    assert out.count() == 2
+    for df in (pairs, out):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_long_chains_and_partial_counts(spark):
     chain = ["".join("b" if j < k else "a" for j in range(40)) for k in range(40)]
     rows = [(w, 2**k, None) for k, w in enumerate(chain)] + [(chain[39], 2**39, None), (None, 4, None), ("abc", 9, None), ("", 2, None)]

@@ -105,7 +105,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     ``words`` (word, n) are distinct and have ``MIN_LENGTH`` code points at
     least. Both sides are shuffled by key: four rows of a word as the chunk
-    side, eight as the gram side (for words of its length and one less).
+    side, eight as the gram side (for words of its length and one less). Spark
+    sizes them by the table before the explode and would broadcast them.
     """
     a, b = F.col("word"), F.col("other")
     la, lb = F.char_length(a), F.char_length(b)
@@ -117,7 +118,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     near = once & (lb - la <= 1) & (F.levenshtein(a, b, 1) == 1)
     shared = F.zip_with(_keys(a, la), _keys(b, la), lambda x, y: x == y)
     lowest = F.array_position(shared, True) - 1
-    return chunks.join(grams, "key").where(near & (F.col("kind") == lowest)).select("word", "n", "other", "other_n")
+    return chunks.join(grams.hint("merge"), "key").where(near & (F.col("kind") == lowest)).select("word", "n", "other", "other_n")
 
 
 def forms(words: DataFrame, pairs: DataFrame, times: int = TIMES) -> DataFrame:
@@ -150,7 +151,7 @@ def roots(found: DataFrame) -> DataFrame:
     jumps = written(found.where(F.col("form").isNotNull()).select("word", F.col("form").alias("root")), "jumps")
     while True:
         ahead = jumps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = jumps.join(ahead, "root", "left")
+        moved = jumps.join(ahead.hint("merge"), "root", "left")  # written words are larger than their files
         jumps = written(moved.select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "jumps")
         if jumps.where("moved").isEmpty():
             return jumps.select("word", "root")
@@ -169,5 +170,5 @@ def group(counts: DataFrame, times: int = TIMES) -> DataFrame:
     words = written(whole, "words")
     found = written(forms(words, near_pairs(words), times), "forms")
     last = roots(found)
-    out = found.join(last, "word", "left")
+    out = found.join(last.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
