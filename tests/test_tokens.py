@@ -1,10 +1,13 @@
 """Token goldens, the detokenizer's rules, and round trips."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from visitframe.functions import ordered
 from visitframe.operators import tokens, vocab
 from visitframe.schema import FIXED_EDGES
 
@@ -155,3 +158,37 @@ def test_segments_compute_their_tokens_once(spark):
     out = tokens.segment_index(rows.mapInPandas(passed, rows.schema), [0], counted=rows.select("seq")).collect()
     assert seen.value == 36
     assert {(r["seq"], r["pos"]): r["segment"] for r in out} == {(s, p): p // 3 + 1 for s in range(4) for p in range(9)}
+
+
+def soup(meta, n=30):
+    """Sequences of random tokens, closed and not, some with tokens behind the end or nothing before it."""
+    rng = random.Random(6)
+    first, marks = meta.starts()[("special", -1)], ["</covar>", "</label>", "</code>", "</adm>", "</adm>", "</s>"]
+    out = [[meta.special("</s>"), 0], [meta.special("</adm>")]]
+    for _ in range(n):
+        out.append([rng.randrange(first) if rng.random() < 0.7 else meta.special(rng.choice(marks)) for _ in range(rng.randrange(1, 40))])
+    return out
+
+
+def test_detokenize_of_large_keys_is_the_same(spark, meta, monkeypatch):
+    df = table(spark, soup(meta))
+
+    def found():
+        return [sorted(map(tuple, t.select(sorted(t.columns)).collect()), key=str) for t in tokens.detokenize(df, meta, 4)]
+
+    whole = found()
+    monkeypatch.setattr(ordered, "WHOLE_ROWS", 0)
+    assert found() == whole and all(whole)
+
+
+def test_detokenize_computes_its_tokens_once(spark, meta):
+    df = table(spark, soup(meta))
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    stays, events = tokens.detokenize(df.mapInPandas(passed, df.schema), meta, counted=df.select("seq"))
+    assert stays.count() and events.count() and seen.value == df.count()

@@ -14,7 +14,9 @@ from pyspark.sql.window import Window
 
 from visitframe.functions.columns import attention_mask, hash_uniform, pad_array
 from visitframe.functions.ordered import (
+    BEFORE,
     block_of,
+    by_size,
     first_from_here,
     position_in,
     prefix_over_blocks,
@@ -282,41 +284,25 @@ def completion_report(tokens: DataFrame, meta: Metadata) -> DataFrame:
     return done.agg(F.sum("_done").alias("n_full"), F.sum(1 - F.col("_done")).alias("n_truncated"))
 
 
-def detokenize(tokens: DataFrame, meta: Metadata, width: int = 4096) -> tuple[DataFrame, DataFrame]:
+def detokenize(
+    tokens: DataFrame, meta: Metadata, width: int = 4096, counted: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Token table to (stays, events).
 
     ``stays``: seq, stay_idx, label_ihm, complete. ``events`` are covars, phe
     labels, codes and series cells in the layout of ``discretize``; a closed
     series row carries its gap as the last cell. Every token belongs to the
     next terminator of its kind, and the stay of that terminator owns it.
+
+    Tokens that lie dealt by ``seq`` are not shuffled, and read once if
+    ``counted`` has each ``seq`` in no fewer rows.
     """
-    known = tokens.select("seq", F.col("pos").cast("long").alias("pos"), "token_id").join(
-        meta.vocab().withColumn("_known", F.lit(True)), "token_id", "left"
-    )
-    known = known.withColumn(
-        "kind",
-        F.when(F.col("_known"), F.col("kind")).otherwise(
-            F.raise_error(F.concat(F.lit("unknown token id "), F.col("token_id").cast("string")))
-        ),
+    placed = tokens.where("seq IS NOT NULL").select("seq", F.col("pos").cast("long").alias("pos"), "token_id").withColumns(
+        meta.section_of("token_id")
     )
 
     def marks(text: str) -> Column:
-        return (F.col("kind") == "special") & (F.col("literal") == text)
-
-    ends = tokens.groupBy("seq").agg(
-        F.min(F.when(F.col("token_id") == meta.special("</s>"), F.col("pos"))).alias("_end")
-    )
-    live = known.join(ends, "seq").where(F.col("_end").isNull() | (F.col("pos") < F.col("_end")))
-    live = live.withColumn("_block", block_of("pos", width))
-    # Each ordered pass reads its input twice, so the passes are written.
-    live = durable(
-        prefix_over_blocks(
-            live, ["seq"], ["_block"], ["pos"], {"_stay": marks("</adm>").cast("long")}, coarse=True
-        )
-    )
-
-    def at(condition: Column) -> Column:
-        return F.when(condition, F.struct("pos", F.col("_stay").alias("stay")))
+        return F.col("token_id") == meta.special(text)
 
     closers = {
         "covar": marks("</covar>"),
@@ -324,49 +310,66 @@ def detokenize(tokens: DataFrame, meta: Metadata, width: int = 4096) -> tuple[Da
         "code": marks("</code>"),
         "series": F.col("kind") == "timestamp",
     }
-    live = durable(
-        first_from_here(
-            live, ["seq"], ["_block"], ["pos"], {f"_{n}": at(c) for n, c in closers.items()}
+    end = F.min(F.when(marks("</s>"), F.col("pos")))
+    is_live = F.col("_end").isNull() | (F.col("pos") < F.col("_end"))
+
+    def at(name: str) -> Column:
+        last = F.lit(True) if name == "series" else F.col("pos") == F.col(f"_last_{name}")
+        return F.when(closers[name], F.struct("pos", F.col("_stay").alias("stay"), last.alias("last")))
+
+    lasts = {f"_last_{n}": F.max(F.when(c, F.col("pos"))) for n, c in closers.items() if n != "series"}
+    picks = {f"_{n}": at(n) for n in closers}
+
+    def owned(live: DataFrame) -> DataFrame:
+        """What is kept of each stay, and the first row of each sequence with its number of stays."""
+        owner = F.when(F.col("kind") == "covar", F.col("_covar"))
+        owner = owner.when(F.col("kind").isin("phe", "ihm"), F.col("_label")).when(F.col("kind") == "code", F.col("_code"))
+        owner = owner.when(F.col("kind").isin("ts", "timestamp"), F.col("_series"))
+        stays = F.col("_n") + F.col("_end").isNull().cast("long")
+        # A phe label counts under any closing mark of its stay, other tokens under the last one.
+        kept = F.col("_t.stay").isNotNull() & ((F.col("kind") == "phe") | F.col("_t.last")) & (F.col("_t.stay") < stays)
+        rows = live.withColumn("_t", owner).withColumn("kept", F.coalesce(kept, F.lit(False))).where("kept OR first")
+        return rows.select(
+            "seq", "pos", "kind", "var_id", "value", F.col("_t.pos").alias("close"), F.col("_t.stay").alias("stay"), "kept",
+            F.when(F.col("first"), stays).alias("stays"), F.when(F.col("first"), F.col("_end").isNotNull()).alias("complete"),
+        )
+
+    def whole(rows: DataFrame) -> DataFrame:
+        seq, before = Window.partitionBy("seq"), Window.partitionBy("seq").orderBy("pos").rowsBetween(*BEFORE)
+        live = rows.withColumn("_end", end.over(seq)).where(is_live)
+        live = live.withColumns({
+            "_stay": F.coalesce(F.sum(marks("</adm>").cast("long")).over(before), F.lit(0)),
+            "first": F.row_number().over(Window.partitionBy("seq").orderBy("pos")) == 1,
+            "_n": F.count_if(marks("</adm>")).over(seq),
+        })
+        live = live.withColumns({n: c.over(Window.partitionBy("seq", "_stay")) for n, c in lasts.items()})
+        later = Window.partitionBy("seq").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+        return owned(live.withColumns({n: F.min(c).over(later) for n, c in picks.items()}))
+
+    def split(rows: DataFrame) -> DataFrame:
+        # Each ordered pass reads its input twice, so the passes are written.
+        rows = durable(rows)
+        facts = rows.join(rows.groupBy("seq").agg(end.alias("_end")), "seq").where(is_live)
+        facts = facts.groupBy("seq").agg(
+            F.max("_end").alias("_end"), F.count_if(marks("</adm>")).alias("_n"), F.min("pos").alias("_first")
         )
-    )
+        live = rows.join(durable(facts), "seq").where(is_live).withColumn("_block", block_of("pos", width))
+        live = durable(
+            prefix_over_blocks(live, ["seq"], ["_block"], ["pos"], {"_stay": marks("</adm>").cast("long")}, coarse=True)
+        )
+        live = live.join(live.groupBy("seq", "_stay").agg(*[c.alias(n) for n, c in lasts.items()]), ["seq", "_stay"])
+        return owned(first_from_here(durable(live), ["seq"], ["_block"], ["pos"], picks).withColumn("first", F.col("pos") == F.col("_first")))
+
+    found = durable(by_size(placed, ["seq"], whole, split, counted))
     # Stays: the closed ones, plus the open one of an unfinished sequence.
-    closed = tokens.join(ends, "seq").groupBy("seq").agg(
-        F.count_if(
-            (F.col("token_id") == meta.special("</adm>"))
-            & (F.col("_end").isNull() | (F.col("pos") < F.col("_end")))
-        ).alias("_n"),
-        F.max("_end").alias("_end"),
-    )
-    count = F.col("_n") + F.col("_end").isNull().cast("long")
-    stay_list = closed.where(count > 0).select(
-        "seq",
-        F.col("_end").isNotNull().alias("complete"),
-        F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("stay"),
+    stay_list = found.where("stays > 0").select(
+        "seq", "complete", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stays") - 1)).alias("stay")
     )
-    owner = (
-        F.when(F.col("kind") == "covar", F.struct(F.lit("covar").alias("group"), F.col("_covar").alias("t")))
-        .when(F.col("kind").isin("phe", "ihm"), F.struct(F.lit("label").alias("group"), F.col("_label").alias("t")))
-        .when(F.col("kind") == "code", F.struct(F.lit("code").alias("group"), F.col("_code").alias("t")))
-        .when(F.col("kind").isin("ts", "timestamp"), F.struct(F.lit("series").alias("group"), F.col("_series").alias("t")))
-    )
-    owned = live.withColumn("_o", owner).where(F.col("_o.t").isNotNull()).select(
-        "seq", "pos", "kind", "var_id", "value",
-        F.col("_o.group").alias("group"),
-        F.col("_o.t.pos").alias("close"),
-        F.col("_o.t.stay").alias("stay"),
-    )
-    last = (
-        live.select(
-            "seq", F.col("_stay").alias("stay"), "pos",
-            F.when(closers["covar"], "covar").when(closers["label"], "label").when(closers["code"], "code").alias("group"),
-        )
-        .where(F.col("group").isNotNull())
-        .groupBy("seq", "stay", "group")
-        .agg(F.max("pos").alias("_last"))
+    kept = found.where("kept").withColumn(
+        "group",
+        F.when(F.col("kind").isin("phe", "ihm"), "label").when(F.col("kind").isin("ts", "timestamp"), "series").otherwise(F.col("kind")),
     )
     is_phe, is_series = F.col("kind") == "phe", F.col("group") == "series"
-    tagged = owned.join(last, ["seq", "stay", "group"], "left")
-    kept = tagged.where(is_phe | is_series | (F.col("close") == F.col("_last")))
     ihm = (
         kept.where(F.col("kind") == "ihm")
         .groupBy("seq", "stay")
@@ -380,9 +383,7 @@ def detokenize(tokens: DataFrame, meta: Metadata, width: int = 4096) -> tuple[Da
     )
     section = F.when(F.col("group") == "covar", COVAR).when(F.col("group") == "label", LABEL)
     section = section.when(F.col("group") == "code", CODE).otherwise(SERIES)
-    events = kept.where(F.col("kind") != "ihm").join(
-        stay_list.select("seq", "stay"), ["seq", "stay"], "left_semi"
-    )
+    events = kept.where(F.col("kind") != "ihm")
     phe = events.where(is_phe).groupBy("seq", "stay", "value").agg(F.min("pos").alias("pos"))
     rest = events.where(~is_phe).select(
         "seq", F.col("stay").cast("int").alias("stay_idx"), section.alias("section"),

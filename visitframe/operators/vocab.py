@@ -339,6 +339,20 @@ class Metadata:
         }
         return {n: self.special(t) for n, t in names.items()}
 
+    def section_of(self, token_id: str) -> dict[str, Column]:
+        """``kind``, ``var_id`` and ``value`` of token ids, as ``vocab`` has them, without a join; other ids raise."""
+        token = F.col(token_id)
+        unknown = F.raise_error(F.concat(F.lit("unknown token id "), F.coalesce(token.cast("string"), F.lit("NULL"))))
+        found = unknown
+        sections = [("code", -1, 0, self.n_codes)]
+        starts = self.starts()
+        sections += [(kind, var_id, starts[(kind, var_id)], n) for kind, var_id, n, _ in self.sections()]
+        sections.append(("special", -1, starts[("special", -1)], len(SPECIAL_TOKENS)))
+        for kind, var_id, first, n in sections:
+            place = F.struct(F.lit(kind).alias("kind"), F.lit(var_id).alias("var_id"), (token - first).cast("int").alias("value"))
+            found = F.when((token >= first) & (token < first + n), place).otherwise(found)
+        return {name: found[name] for name in ("kind", "var_id", "value")}
+
     def vocab(self) -> DataFrame:
         """The whole vocabulary: token_id, kind, var_id, value, literal."""
         starts = self.starts()

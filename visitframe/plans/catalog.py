@@ -883,10 +883,11 @@ def render_text(spark, d):
 def roundtrip(spark, d):
     """Detokenized sequences hold, in order, exactly what was tokenized."""
     r = Records(spark, d)
-    stays, events = tokens.detokenize(r.tokens, r.meta)
+    stays, events = tokens.detokenize(r.dealt_tokens, r.meta, counted=r.token_owners)
     rows, _ = tokens.events_as_input(stays, events)
-    blocked = durable(rows.withColumnRenamed("sid", "seq").withColumn("_block", F.floor(F.col("a") / 4096)))
-    return position_in(blocked, ["seq", "stay_idx"], ["section", "_block"], ["a", "b"], "place")
+    blocked = rows.withColumnRenamed("sid", "seq").withColumn("_block", F.floor(F.col("a") / 4096))
+    owners = r.events.select(F.col("sid").alias("seq"), "stay_idx")  # no stay has more rows than were tokenized
+    return position_in(blocked, ["seq", "stay_idx"], ["section", "_block"], ["a", "b"], "place", counted=owners)
 
 
 @query(
