@@ -276,6 +276,29 @@ def test_sampling_is_that_of_a_plain_loop(spark, bucket_rows, options, monkeypat
         assert got.get(seq, []) == want, seq
 
 
+def test_a_round_of_sampling_writes_what_it_carries_on(spark, monkeypatch, tmp_path):
+    """Ended sequences are not written again, and the model lies packed in order."""
+    monkeypatch.setattr(seqmodel, "stage_path", lambda _, name: str(tmp_path / name))
+    monkeypatch.setattr(seqmodel, "PACKED_ROWS", 10)
+    packed = []
+    pack = seqmodel._packed
+    monkeypatch.setattr(seqmodel, "_packed", lambda *a: packed.append((pack(*a), a[1])) or packed[0][0])
+    _, toks = toy_tokens(spark)
+    fitted = seqmodel.fit_sequence_model(toks, 2)
+    prompts = spark.range(30).selectExpr("id + 9007199254740992 AS seq", "array(1) AS input_ids")
+    out = seqmodel.generate(fitted, prompts, 7, 9, 3, bucket_rows=60)
+    assert out.select("seq").distinct().count() == 30
+    rounds = [spark.read.parquet(str(p)) for p in sorted((tmp_path / "walk").iterdir(), key=lambda p: int(p.name.split("-")[1]))]
+    assert len(rounds) > 2
+    for one, later in zip(rounds, rounds[1:]):
+        assert {r["seq"] for r in one.where("NOT done").collect()} == {r["seq"] for r in later.collect()}
+    table, held = packed[0]
+    rows = [tuple(r) for r in table.where("bucket = 0").select("part", "k", "levels", "data").collect()]
+    columns, level = seqmodel._unpacked(rows, held)
+    keys = [(o, *x) for o in range(3) for x in zip(*(columns[c][level[o] : level[o + 1]].tolist() for c in ("t1", "t2", "next")))]
+    assert len(keys) > 10 and keys == sorted(set(keys))
+
+
 def test_distribution_of_a_model(spark):
     _, toks = toy_tokens(spark)
     dist = seqmodel.next_token_dist(seqmodel.fit_sequence_model(toks), top_k=3)
